@@ -35,7 +35,7 @@ def now() -> Column:
 
 
 def interval(amount: Column | int, unit: str) -> Column:
-    slot, factor = UNITS[unit.lower().rstrip("s") if unit.lower() not in UNITS else unit.lower()]
+    slot, factor = UNITS[unit.lower().removesuffix("s")]
     count = amount if isinstance(amount, Column) else F.lit(amount)
     if slot == "secs":
         count = (count * F.lit(factor)).cast("decimal(18,6)")
