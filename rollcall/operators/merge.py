@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from rollcall.plans.skew import keep_latest
+from rollcall.session import materialize
 
-__all__ = ["upsert", "insert_ignore", "upsert_many", "keep_latest", "new_rows", "row_identity", "ensure_view"]
+__all__ = [
+    "upsert", "upsert_files", "insert_ignore", "upsert_many", "keep_latest", "new_rows", "row_identity", "ensure_view",
+]
 
 # Filled in by the store, never taken from incoming rows.
 STORE_COLUMNS = ("created_at", "modified_at")
@@ -61,6 +65,42 @@ def upsert(
     return kept.unionByName(added)
 
 
+def read_files(spark, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing has been written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
+            return None
+        raise
+
+
+def upsert_files(
+    path: str,
+    incoming: DataFrame,
+    keys: list[str],
+    partition: Column | None = None,
+    order: list[Column | str] = (),
+) -> None:
+    """:func:`upsert` on a table stored as Parquet under ``path`` (made if missing).
+
+    ``partition`` is computed from the keys.  Only the partitions the incoming rows
+    fall in are read and replaced; the rest of the table is not touched.  The merged
+    rows are written aside first, so nothing is overwritten while it is being read,
+    and doing the same upsert again gives the same table.
+    """
+    spark = incoming.sparkSession
+    rows = incoming.withColumn("part", F.lit("all") if partition is None else partition)
+    stored = read_files(spark, path)
+    if stored is None:
+        stored = rows.limit(0)
+    touched = rows.select("part").distinct()
+    merged = upsert(stored.join(touched, "part", "left_semi").select(*stored.columns), rows, keys, order)
+    materialize(merged, "merge").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("part").parquet(path)
+
+
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column | str] = ()) -> DataFrame:
     """``target`` plus the incoming rows whose key it does not have (first per key)."""
     columns = [c for c in target.columns if c in incoming.columns]

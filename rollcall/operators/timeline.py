@@ -10,7 +10,7 @@ from rollcall.operators.clean import require_timeline
 from rollcall.operators.identity import load_people
 from rollcall.operators.merge import upsert
 from rollcall.operators.profile import infer_types
-from rollcall.plans.skew import HOT_ROWS, dense_ids, lookup, top_per_group
+from rollcall.plans.skew import HOT_ROWS, dense_ids, top_per_group
 
 # The entry types this package ships with, and their codes.  The codes are ours;
 # pass another mapping where a deployment has its own.
@@ -43,13 +43,16 @@ def append_dictionary_id(
     default: str | None = None,
     extra: dict[str, str] | None = None,
     order: list[Column | str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """``df`` with the dictionary id of ``field``, and the dictionary rows to add.
 
     Values match trimmed and case-insensitively.  Blank is 0.  Each unknown value
     is added once, in the spelling that comes first by ``order`` (then by text),
-    numbered after the largest id.  ``extra`` restricts the dictionary to rows with
+    numbered after the largest id.  The rows are counted per value inside each task
+    before anything moves; the join back is left to Spark, which broadcasts a
+    small dictionary and splits the partitions of a hot value otherwise.
+
+    ``extra`` restricts the dictionary to rows with
     those values (an input's plugin, say) and is set on new rows.
     """
     text = F.trim(F.col(field).cast("string"))
@@ -76,17 +79,14 @@ def append_dictionary_id(
         F.col("_spelling").alias(field),
         *[F.lit(value).alias(name) for name, value in (extra or {}).items()],
     )
-    all_ids = known.unionByName(numbered)
-    found = lookup(rows, all_ids, "_key", "left", hot_rows)
+    found = rows.join(known.unionByName(numbered), "_key", "left")
     # A given id stays; blank is 0.
     value = F.coalesce(F.nullif("_given", F.lit(0)), "_id", F.lit(0))
     return found.withColumn(out, value).drop("_key", "_id", "_given"), added
 
 
-def append_source_code_id(df: DataFrame, dictionary: DataFrame, order: list[Column | str] = (), hot_rows: int = HOT_ROWS):
-    return append_dictionary_id(
-        df, dictionary, "source_code", "source_code_id", "source_code_id", order=order, hot_rows=hot_rows
-    )
+def append_source_code_id(df: DataFrame, dictionary: DataFrame, order: list[Column | str] = ()):
+    return append_dictionary_id(df, dictionary, "source_code", "source_code_id", "source_code_id", order=order)
 
 
 def append_input_id(df: DataFrame, inputs: DataFrame, plugin_id: str, default: str | None = None, order: list[Column | str] = ()):
@@ -161,6 +161,17 @@ def append_entry_id(df: DataFrame, input_id: str | None = None, default_ts: str
     return rows.withColumn("id", value)
 
 
+def entry_day(entry_id: Column | str) -> Column:
+    """The partition an entry belongs to, from its id alone: the day in the leading
+    bits of a version 7 id, otherwise one of 256 hash groups.  The same id always
+    lands in the same partition, so an upsert rewrites only the days it brings."""
+    c = F.col(entry_id) if isinstance(entry_id, str) else entry_id
+    clock = F.conv(F.concat(F.substring(c, 1, 8), F.substring(c, 10, 4)), 16, 10).cast("bigint")
+    own = F.date_format(F.timestamp_millis(clock), "yyyy-MM-dd")
+    group = F.concat(F.lit("h-"), F.substring(F.md5(c.cast("binary")), 1, 2))
+    return F.when(F.substring(c, 15, 1) == "7", own).otherwise(group)
+
+
 def append_email_domain(df: DataFrame, email: str = "email") -> DataFrame:
     return df.withColumn("email_domain", email_domain(email))
 
@@ -184,7 +195,7 @@ def identify(
     typed = append_entry_type_id(df, default_entry_type)
     added = dictionary.limit(0)
     if "source_code" in typed.columns:
-        typed, added = append_source_code_id(typed, dictionary, [order] if order else [], hot_rows)
+        typed, added = append_source_code_id(typed, dictionary, [order] if order else [])
     else:
         typed = typed.withColumn("source_code_id", F.lit(0).cast("bigint"))
     people, state = load_people(typed, state, plugin_id, input_id, row_id, order, hot_rows=hot_rows)

@@ -96,6 +96,8 @@ class Scope:
         return out
 
     def condition(self, item: Any) -> Column:
+        if isinstance(item, Column):
+            return item
         if isinstance(item, str):
             item = {"eql": item}
         if item.get("eql"):
