@@ -199,23 +199,26 @@ def date_window(
     return df
 
 
-# Shapes of typed-in dates, and the Spark format that reads each.
-_DATE_SHAPES = [
-    (r"^\d{1,2}/\d{2}$", "d/M/yy", "1/"),
-    (r"^\d{1,2}/\d{4}$", "d/M/yyyy", "1/"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy", ""),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", ""),
-]
+# Two-digit years after this one are taken to be in the 1900s.
+LAST_SHORT_YEAR = 68
 
 
 def clean_timestamp(value: Column | str) -> Column:
-    """Free-form date text to a timestamp; null for what is not a date."""
+    """Free-form date text to a timestamp; null for what is not a date.
+
+    Understands month/year, month/day/year (years of two or four digits), a bare
+    year, and whatever Spark reads as an ISO date or timestamp.
+    """
     text = F.trim(_col(value))
-    out = None
-    for pattern, fmt, lead in _DATE_SHAPES:
-        read = F.try_to_timestamp(F.concat(F.lit(lead), text), F.lit(fmt))
-        out = F.when(text.rlike(pattern), read) if out is None else out.when(text.rlike(pattern), read)
-    return out.otherwise(text.try_cast("timestamp"))
+    short = F.right(text, F.lit(2))
+    century = F.when(short.try_cast("int") > LAST_SHORT_YEAR, "19").otherwise("20")
+    opened = F.concat(F.left(text, F.length(text) - 2), century, short)
+    full = F.when(text.rlike(r"^\d{1,2}/(\d{1,2}/)?\d{2}$"), opened).otherwise(text)
+    return (
+        F.when(full.rlike(r"^\d{1,2}/\d{4}$"), F.try_to_timestamp(F.concat(F.lit("1/"), full), F.lit("d/M/yyyy")))
+        .when(full.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(full, F.lit("M/d/yyyy")))
+        .otherwise(full.try_cast("timestamp"))
+    )
 
 
 def clean_date(df: DataFrame, field: str, target: str | None = None) -> DataFrame:

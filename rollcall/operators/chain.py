@@ -16,6 +16,8 @@ from rollcall.operators.identity import extract_identifiers
 from rollcall.operators.merge import upsert
 from rollcall.operators.timeline import append_email_domain, append_entry_id, append_entry_type_id, load_timeline
 from rollcall.plans.query import keyed_lookup
+from rollcall.sources.delimited import read_delimited, write_delimited
+from rollcall.sources.jsonlines import read_jsonl, write_jsonl
 
 # Transforms a chain may refer to by name.
 KNOWN: dict[str, Callable] = {
@@ -102,3 +104,13 @@ def store(result: Result, tables: dict[str, DataFrame], keys: dict[str, list[str
     if result.timeline is not None and timeline is not None:
         timeline = load_timeline(result.timeline, timeline)
     return out, timeline
+
+
+def map_files(source: DataFrame, path: str, *transforms: Any, gzip: bool = False, jsonl: bool = False) -> DataFrame:
+    """Row transforms from file to file: apply, write as CSV or JSON lines, read back."""
+    rows = run_chain(source, list(transforms)).rows
+    if jsonl:
+        write_jsonl(rows, path, gzip)
+        return read_jsonl(rows.sparkSession, path, rows.schema)
+    write_delimited(rows, path, gzip)
+    return read_delimited(rows.sparkSession, path, delimiter=",", relax=True)
