@@ -113,8 +113,13 @@ def register(spark: SparkSession) -> None:
 
 
 def expression(text: str) -> Column:
-    """A column from expression text; the session must have seen :func:`register`."""
-    return F.expr(spark_text(text))
+    """A column from expression text."""
+    spelled = spark_text(text)
+    if "rollcall_" in spelled:
+        session = SparkSession.active()
+        if not session.catalog.functionExists("rollcall_week"):
+            register(session)
+    return F.expr(spelled)
 
 
 # --- the same helpers for people who write columns rather than text ----------------

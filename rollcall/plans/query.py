@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import BUCKETS
-from rollcall.functions.expressions import expression, register, spark_text
+from rollcall.functions.expressions import expression
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
@@ -186,7 +186,6 @@ def run_query(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
     if not items:
         raise ValueError("no columns; at least specify columns=['*']")
     base, df = _base(spec, tables)
-    register(df.sparkSession)
     columns = {base: df.columns}
     df = _joined(df.alias(base), columns, spec.get("joins") or [], tables)
     scope = Scope(base, columns)
@@ -245,7 +244,6 @@ def keyed_lookup(
     foreign_key: str | None = None,
 ) -> DataFrame:
     """Rows of ``table`` whose ``foreign_key`` is among ``keys[key]``."""
-    register(table.sparkSession)
     wanted = keys.select(F.col(key).alias(foreign_key or key)).distinct()
     found = table.join(wanted, foreign_key or key, "left_semi")
     for condition in conditions:

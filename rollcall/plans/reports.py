@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 
 from rollcall.functions.dates import bucket_for_span, relative_bound
-from rollcall.functions.expressions import expression, register
+from rollcall.functions.expressions import expression
 from rollcall.plans.query import run_query
 
 DEFAULT_LIMIT = 1000
@@ -105,9 +105,6 @@ def run_report(
 ) -> dict[str, DataFrame | str]:
     """Every component as a DataFrame, by name; text components pass through."""
     overrides = overrides or {}
-    for table in tables.values():
-        register(table.sparkSession)
-        break
     out: dict[str, DataFrame | str] = {}
     for name, component in report["components"].items():
         if not isinstance(component, dict):

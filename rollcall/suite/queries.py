@@ -186,7 +186,7 @@ def _(t):
 
 @case(
     "q12_conditions_are_anded",
-    """select p_partkey, p_size from part where p_size > 10 and (p_brand = 'Brand#4' or p_type = 'PROMO') and p_name like '%ring%'""",
+    """select p_partkey, p_size::bigint as p_size from part where p_size > 10 and (p_brand = 'Brand#4' or p_type = 'PROMO') and p_name like '%ring%'""",
 )
 def _(t):
     return _conditions(
