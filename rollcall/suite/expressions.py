@@ -222,7 +222,7 @@ def _(t):
 @case(
     "x19_coalesce_nullif",
     """select event_id, coalesce(nullif(event_type, 'view'), nullif(event_type, 'click'), 'x') as kind, nullif(user_id, 8) as who,
-       round(value / nullif(user_id, 0), 4) as per_user, coalesce(nullif(user_id, 8), -1)::bigint as some_user, (value > 50) is true as high from events""",
+       value / nullif(user_id, 0) as per_user, coalesce(nullif(user_id, 8), -1)::bigint as some_user, (value > 50) is true as high from events""",
 )
 def _(t):
     found = _select(
@@ -232,7 +232,7 @@ def _(t):
     )
     other = t.events.select(
         "event_id",
-        F.round(divide("value", "user_id"), 4).alias("per_user"),
+        divide("value", "user_id").alias("per_user"),
         first_present(F.nullif("user_id", F.lit(8)), F.lit(-1)).cast("bigint").alias("some_user"),
         is_true(F.col("value") > 50).alias("high"),
     )
