@@ -64,20 +64,23 @@ def attach_children(
 ) -> DataFrame:
     """Parents with one array of ``{type, id}`` per relationship, empty if there are none.
 
+    Children beyond ``chunk_rows`` of one parent follow in rows with ``part`` > 0, in
+    which the parent's own columns other than the key are null.
+
     ``relationships`` maps a name to ``{"children", "foreign_key", "id", "type"}``.
     """
-    out = parents.withColumn("part", F.lit(0))
+    wanted = parents.select(F.col(key).alias("_parent")).distinct()
+    out = parents.withColumn("_parent", F.col(key)).withColumn("part", F.lit(0))
     for name, spec in relationships.items():
         links = spec["children"].select(
-            F.col(spec["foreign_key"]).alias(key),
+            F.col(spec["foreign_key"]).alias("_parent"),
             F.lit(spec.get("type", name)).alias("type"),
             F.col(spec["id"]).alias("id"),
         )
-        links = links.join(parents.select(key).distinct(), key, "left_semi")
-        nested = nest(links, key, name, chunk_rows)
-        out = out.join(nested, [key, "part"], "full")
+        nested = nest(links.join(wanted, "_parent", "left_semi"), "_parent", name, chunk_rows)
+        out = out.join(nested, ["_parent", "part"], "full")
         out = out.withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
-    return out
+    return out.withColumn(key, F.col("_parent")).drop("_parent")
 
 
 def resource_query(

@@ -63,6 +63,8 @@ def keep_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> Da
     """
     ranks = [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order]
     others = [c for c in df.columns if c not in keys]
+    if not ranks and not others:
+        return df.dropDuplicates(keys)
     if others:
         ranks.append(F.struct(*[F.col(f"`{c}`") for c in others]).desc())
     window = Window.partitionBy(*keys).orderBy(*ranks)

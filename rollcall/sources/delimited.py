@@ -38,7 +38,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_place"),
     )
     first = lines.where("_start = 0").groupBy("path").agg(F.min("_place").alias("_first"))
-    return lines.join(first, "path", "left").select(
+    # One row per file, which is what the driver listed to plan the read.
+    return lines.join(F.broadcast(first), "path", "left").select(
         "value", "path", F.when(F.col("_start") == 0, F.col("_place") - F.col("_first") + 1).alias("line")
     )
 
@@ -75,7 +76,10 @@ def read_delimited(
         width = len(header["value"].split(sep))
         raw_schema = ", ".join(f"c{i} string" for i in range(width))
         names = list(parsed.select(F.from_csv("v", raw_schema, options).alias("r")).select("r.*").first())
-        body = lines.where(F.col("line").isNull() | (F.col("line") > skip)).where(F.trim("value") != "")
+        # Lines above the body become null rather than filtered: what is read from them
+        # must never be looked at, however Spark orders the filters.
+        body = lines.select(F.when(F.col("line").isNull() | (F.col("line") > skip), F.col("value")).alias("value"))
+        body = body.where(F.trim("value") != "")
         schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{BAD} string"])
         rows = body.select(
             F.from_csv("value", schema, {**options, "columnNameOfCorruptRecord": BAD}).alias("r")

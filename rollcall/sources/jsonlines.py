@@ -38,7 +38,7 @@ def read_jsonl_header(spark: SparkSession, path: str, columns: list[str] | None
         first = headers.orderBy("path").first()
         order = list(first["names"]) if first else []
         columns = order + [r["n"] for r in found if r["n"] not in order]
-    rows = cells.where("line is null or line > 1").join(headers, "path")
+    rows = cells.where("line is null or line > 1").join(F.broadcast(headers), "path")
     def value(name: str):
         place = F.array_position("names", name)
         return F.when(place > 0, F.get("cells", (place - 1).cast("int"))).alias(name)

@@ -1 +1,83 @@
-"""To be filled."""
+"""Streaming (W): driven to the end of the data with availableNow, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rollcall.operators.timeline import entry_day
+from rollcall.session import scratch_path
+from rollcall.streaming import timeline as st
+from rollcall.suite import case, money
+from rollcall.suite.files import stored_inputs
+from rollcall.suite.timelines import entries
+
+
+@case(
+    "w1_stream_inputs",
+    """select '00000000-0000-4000-8000-00000000000' || n_regionkey as input_id, count(*) as records, cast(sum(cast(c_acctbal as decimal(19,2))) as double) as balance
+       from customer join nation on c_nationkey = n_nationkey group by 1""",
+)
+def _(t):
+    base = stored_inputs(t)
+    out, marks = scratch_path(t.spark, "picked-up"), scratch_path(t.spark, "marks")
+    schema = "c_custkey bigint, c_name string, c_acctbal double"
+
+    def pick_up():
+        rows = st.stream_inputs(t.spark, f"{base}/*/*/*", schema, files_per_batch=3).drop("_file")
+        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    pick_up()
+    pick_up()  # Nothing new has arrived: nothing may be read twice.
+    return t.spark.read.parquet(out).groupBy("input_id").agg(F.count(F.lit(1)).alias("records"), money("c_acctbal").alias("balance"))
+
+
+def _arrivals(t):
+    """Timeline entries as files, a view and its copy from a repeated delivery side by side."""
+    path = scratch_path(t.spark, "arrivals")
+    rows = entries(t).select("id", "ts", "person_id", "entry_type_id", "source_code_id", "value")
+    rows.unionByName(rows.where("entry_type_id = 3")).write.parquet(path)
+    return path, rows.schema
+
+
+@case("w2_stream_timeline_dedupe", "select event_type as kind, count(*) as records, count(distinct user_id) as people from events group by 1")
+def _(t):
+    path, schema = _arrivals(t)
+    out = scratch_path(t.spark, "deduped")
+    rows = st.stream_inputs(t.spark, path, schema, from_path=False)
+    query = st.stream_timeline_dedupe(rows, delay="60 days").writeStream.format("parquet").option("path", out)
+    query.option("checkpointLocation", scratch_path(t.spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    names = F.element_at(F.array(*[F.lit(n) for n in ("click", "signup", "view", "purchase", "error")]), F.col("entry_type_id"))
+    found = t.spark.read.parquet(out).groupBy(names.alias("kind"))
+    return found.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("person_id").alias("people"))
+
+
+@case(
+    "w3_stream_upsert",
+    """select strftime(ts, '%Y-%m-%d') as day, count(*) as records, cast(sum(cast(value as decimal(19,2))) as double) as total from events group by 1""",
+)
+def _(t):
+    path, schema = _arrivals(t)
+    out = scratch_path(t.spark, "timeline")
+    rows = st.stream_inputs(t.spark, path, schema, files_per_batch=4, from_path=False)
+    st.stream_upsert(rows, out, scratch_path(t.spark, "marks")).awaitTermination()
+    stored = t.spark.read.parquet(out)
+    return stored.groupBy(entry_day("id").alias("day")).agg(F.count(F.lit(1)).alias("records"), money("value").alias("total"))
+
+
+@case(
+    "w4_stream_statistics",
+    """select strftime(ts, '%Y-%m-%d') as date, case event_type when 'click' then 1 when 'signup' then 2 when 'view' then 3 when 'purchase' then 4 else 5 end::bigint as entry_type_id,
+       count(*) as records, true as people_close from events group by 1, 2""",
+)
+def _(t):
+    path = scratch_path(t.spark, "arrivals")
+    entries(t).select("id", "ts", "person_id", "entry_type_id").write.parquet(path)
+    schema = t.spark.read.parquet(path).schema
+    out = scratch_path(t.spark, "statistics")
+    rows = st.stream_inputs(t.spark, path, schema, files_per_batch=4, from_path=False)
+    st.stream_statistics(rows, out, scratch_path(t.spark, "marks"), delay="60 days").awaitTermination()
+    exact = entries(t).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), "entry_type_id").agg(F.count_distinct("person_id").alias("people"))
+    found = t.spark.read.parquet(out).join(exact, ["date", "entry_type_id"], "full")
+    close = F.abs(F.col("people_estimate") - F.col("people")) <= 2 + F.col("people") * 0.2
+    return found.select("date", F.col("entry_type_id").cast("bigint").alias("entry_type_id"), "records", close.alias("people_close"))
