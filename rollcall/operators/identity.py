@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rollcall.functions.dates import date_window
 from rollcall.functions.text import hash_v1, normalize_phone
 from rollcall.operators.merge import upsert
-from rollcall.plans.skew import HOT_ROWS, dense_ids, lookup
+from rollcall.plans.skew import HOT_ROWS, dense_ids, join_weighted
 from rollcall.session import materialize
 
 IDENTIFIERS = "array<struct<type:string,value:string>>"
@@ -55,55 +55,51 @@ def exploded(rows: DataFrame, row_id: str) -> DataFrame:
     )
 
 
-def _known_matches(rows: DataFrame, row_id: str, known: DataFrame, hot_rows: int) -> DataFrame:
+def _known_matches(rows: DataFrame, row_id: str, known: DataFrame) -> DataFrame:
     """(row id, _direct): the person of the strongest known identifier of each row, a
-    remote_person_id before any other, the lowest person id among equals."""
-    found = lookup(
-        exploded(rows, row_id).select(row_id, "id_value"),
-        known.select("id_value", F.col("id_type").alias("known_type"), "person_id"),
-        "id_value",
-        "inner",
-        hot_rows,
+    remote_person_id before any other, the lowest person id among equals.
+
+    Both sides are shuffled for the join, so a value that many rows share is split
+    by Spark's skew handling."""
+    found = exploded(rows, row_id).select(row_id, "id_value").join(
+        known.select("id_value", F.col("id_type").alias("known_type"), "person_id"), "id_value"
     )
     priority = F.when(F.col("known_type") == REMOTE, 0).otherwise(1).alias("priority")
     return found.groupBy(row_id).agg(F.min(F.struct(priority, "person_id")).alias("_direct"))
 
 
-def match_known(
-    rows: DataFrame, row_id: str, known: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def match_known(rows: DataFrame, row_id: str, known: DataFrame) -> DataFrame:
     """(row id, person_id) for rows that have an identifier in ``known``.
 
     ``known`` is (id_value, id_type, person_id), one row per id_value; a
     remote_person_id beats any other identifier.
     """
-    return _known_matches(rows, row_id, known, hot_rows).select(row_id, "_direct.person_id")
+    return _known_matches(rows, row_id, known).select(row_id, "_direct.person_id")
 
 
 # --- connected components -----------------------------------------------------------
 
 
-def _relink(edges: DataFrame, node: str, smallest: DataFrame, hot_rows: int) -> DataFrame:
-    """Edges with the smallest neighbour of ``node`` beside them."""
-    weights = smallest.select(node, "weight")
-    return lookup(edges, smallest.select(node, "least"), node, "inner", hot_rows, weights)
+def _beside_smallest(edges: DataFrame, node: str, smallest: DataFrame, hot_rows: int, total: int) -> DataFrame:
+    """Edges with the smallest neighbour of their ``node`` beside them."""
+    if total <= hot_rows:  # No node can have more edges than there are.
+        return edges.join(smallest.drop("weight"), node)
+    return join_weighted(edges, smallest, node, hot_rows)
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows."""
     both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     smallest = both.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("weight"))
-    smallest = smallest.select(
-        F.col("hi").alias("lo"), F.least("hi", "least").alias("least"), "weight"
-    )
-    linked = _relink(edges, "lo", smallest, hot_rows)
-    return linked.select("hi", F.col("least").alias("lo")).distinct()
+    smallest = smallest.select(F.col("hi").alias("lo"), F.least("hi", "least").alias("least"), "weight")
+    linked = _beside_smallest(edges, "lo", smallest, hot_rows, total)
+    return linked.select("hi", F.col("least").alias("lo"))
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the smallest of them."""
     smallest = edges.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("weight"))
-    linked = _relink(edges, "hi", smallest, hot_rows)
+    linked = _beside_smallest(edges, "hi", smallest, hot_rows, total)
     pairs = F.array(
         F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")),
         F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")),
@@ -111,14 +107,20 @@ def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     return linked.select(F.inline(pairs)).where("hi > lo").distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)),
-            F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")),
-            F.bit_xor(F.xxhash64("lo", "hi")),
-        ).first()
+def _shape(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they form stars: every node has at most
+    one smaller neighbour, and a node that has one is nobody's smaller neighbour."""
+    ends = F.array(
+        F.struct(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
     )
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    total, worst, inner = nodes.agg(
+        F.coalesce(F.sum("up"), F.lit(0)),
+        F.coalesce(F.max("up"), F.lit(0)),
+        F.count_if((F.col("up") > 0) & (F.col("down") > 0)),
+    ).first()
+    return total, worst <= 1 and inner == 0
 
 
 def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -128,28 +130,24 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Large-star / small-star contraction (Kiveris et al., 2014): each round every
     node re-attaches to the smallest node in reach, until all components are
     stars.  The number of rounds grows with the logarithm of the size, not with
-    the length of the longest chain, and the loop ends only when nothing changes.
+    the length of the longest chain, and the loop ends only when they are stars.
     Each round is written to the shared folder, which cuts the plan and survives
     lost executors.  A node with a huge number of edges is re-attached by
-    broadcasting its one row (see ``lookup``), never gathered in one task.
+    broadcasting its one row (``join_weighted``), never gathered in one task.
     """
-    edges = edges.where("hi > lo").distinct()
-    now = materialize(edges, "edges")
-    before = None
-    state = _fingerprint(now)
-    while state != before:
-        before = state
-        now = materialize(_small_star(_large_star(now, hot_rows), hot_rows), "edges")
-        state = _fingerprint(now)
+    now = materialize(edges.where("hi > lo").distinct(), "edges")
+    total, stars = _shape(now)
+    while not stars:
+        wide = _large_star(now, hot_rows, total)
+        now = materialize(_small_star(wide, hot_rows, 2 * total), "edges")
+        total, stars = _shape(now)
     roots = now.select(F.col("lo").alias("node")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
 
 
-def link_within(
-    rows: DataFrame, row_id: str, values: str = "values", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def link_within(rows: DataFrame, row_id: str, values: str = "values", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(row id, component): rows that share a value, through any number of others,
     get one component, named by its smallest value.  Rows without values get none.
 
@@ -159,7 +157,7 @@ def link_within(
     own = rows.where(F.size(values) > 0).select(row_id, F.array_min(values).alias("node"), values)
     links = own.select(F.explode(values).alias("hi"), F.col("node").alias("lo"))
     labels = components(links, hot_rows)
-    return lookup(own.select(row_id, "node"), labels, "node", "left", hot_rows).select(
+    return own.select(row_id, "node").join(labels, "node", "left").select(
         row_id, F.coalesce("component", "node").alias("component")
     )
 
@@ -177,27 +175,34 @@ def assign_person_ids(
     2. Other rows take the person known to their component, if there is one.
     3. What is left gets new ids after ``max_person_id``, one per component; a row
        without any identifier is a person of its own.
+
+    The work is done on (row id, identifiers) alone; the rows themselves are joined
+    to the outcome once.
     """
-    spark = rows.sparkSession
     rows = rows.drop("person_id")
-    nodes = rows.withColumn("_values", F.transform("identifiers", lambda i: i["value"]))
-    linked = link_within(nodes, row_id, "_values", hot_rows)
-    labelled = rows.select(row_id).join(linked, row_id, "left").select(
-        row_id, F.coalesce("component", F.concat(F.lit("row:"), F.col(row_id).cast("string"))).alias("component")
+    ids = materialize(rows.select(row_id, "identifiers"), "identifiers")
+    linked = link_within(
+        ids.withColumn("_values", F.transform("identifiers", lambda i: i["value"])), row_id, "_values", hot_rows
+    )
+    alone = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
+    labelled = ids.select(row_id).join(linked, row_id, "left").select(
+        row_id, F.coalesce("component", alone).alias("component")
     )
     if known is None:
-        known = spark.createDataFrame([], "id_value string, id_type string, person_id bigint")
-    # The strongest known identifier of each row; and from those, of each component.
-    by_row = _known_matches(rows, row_id, known, hot_rows)
-    state = materialize(labelled.join(by_row, row_id, "left"), "labels")
+        none = F.lit(None).cast("struct<priority:int,person_id:bigint>")
+        state = materialize(labelled.withColumn("_direct", none), "labels")
+    else:
+        state = materialize(labelled.join(_known_matches(ids, row_id, known), row_id, "left"), "labels")
 
-    by_component = state.groupBy("component").agg(F.min("_direct").alias("_known"))
+    by_component = state.groupBy("component").agg(
+        F.min("_direct").alias("_known"), F.count(F.lit(1)).alias("weight")
+    )
+    by_component = materialize(by_component, "components")
     fresh = dense_ids(by_component.where("_known is null"), "component", "_fresh", max_person_id)
-    people = (
-        by_component.join(fresh, "component", "left")
-        .select("component", F.coalesce("_known.person_id", "_fresh").alias("_person"))
+    people = by_component.join(fresh, "component", "left").select(
+        "component", F.coalesce("_known.person_id", "_fresh").alias("_person"), "weight"
     )
-    resolved = lookup(state, people, "component", "inner", hot_rows).select(
+    resolved = join_weighted(state, people, "component", hot_rows).select(
         row_id, F.coalesce("_direct.person_id", "_person").alias("person_id")
     )
     return rows.join(resolved, row_id)

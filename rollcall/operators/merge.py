@@ -24,45 +24,46 @@ def upsert(
     incoming: DataFrame,
     keys: list[str],
     order: list[Column | str] = (),
+    few: bool = False,
 ) -> DataFrame:
     """``target`` with ``incoming`` written over it.
 
     The last incoming row per key (by ``order``) wins.  Columns it does not
     supply keep their old value; columns ``target`` does not have are ignored.
 
-    ``target`` is only joined to, never grouped: while the incoming rows are few
-    Spark broadcasts them and the target is streamed through without a shuffle.
+    Both sides are matched in one full outer join; keys are unique on both, so no
+    key can overload a task.  With ``few`` (incoming rows Spark can broadcast) the
+    target is streamed past them instead and never shuffled.
     """
     supplied = [c for c in target.columns if c in incoming.columns and c not in STORE_COLUMNS]
-    order_only = [c for c in order if isinstance(c, str) and c not in supplied]
-    latest = keep_latest(incoming.select(*supplied, *order_only), keys, list(order)).select(*supplied)
-
-    fresh = latest.select(
-        *keys, F.struct(*[c for c in supplied if c not in keys] or keys).alias("_new")
-    )
-    matched = F.col("_new").isNotNull()
-
-    def updated(name: str) -> Column:
+    ranked_by = [c for c in order if isinstance(c, str) and c not in supplied]
+    latest = keep_latest(incoming.select(*supplied, *ranked_by), keys, list(order)).select(*supplied)
+    values = [c for c in supplied if c not in keys]
+    fresh = latest.select(*keys, F.struct(F.lit(True).alias("_present"), *values).alias("_new"))
+    kinds = {f.name: f.dataType for f in target.schema.fields}
+    given = F.col("_new").isNotNull()
+
+    def column(name: str, is_new: Column | None) -> Column:
         old = F.col(name)
         if name in keys:
             return old
-        if name in supplied:
-            return F.when(matched, F.col(f"_new.{name}").cast(target.schema[name].dataType)).otherwise(old).alias(name)
-        if name == "modified_at":
-            return F.when(matched, F.current_timestamp()).otherwise(old).alias(name)
+        if name in values:
+            return F.when(given, F.col(f"_new.{name}").cast(kinds[name])).otherwise(old).alias(name)
+        if name == "modified_at" or (name == "created_at" and is_new is not None):
+            stamped = given if name == "modified_at" else given & is_new
+            return F.when(stamped, F.current_timestamp().cast(kinds[name])).otherwise(old).alias(name)
         return old
 
-    def inserted(name: str) -> Column:
-        if name in supplied:
-            return F.col(name).cast(target.schema[name].dataType).alias(name)
-        if name in STORE_COLUMNS:
-            return F.current_timestamp().cast(target.schema[name].dataType).alias(name)
-        return F.lit(None).cast(target.schema[name].dataType).alias(name)
+    if not few:
+        marked = target.withColumn("_old", F.lit(True))
+        joined = marked.join(fresh, keys, "full")
+        return joined.select(*[column(c, F.col("_old").isNull()) for c in target.columns])
 
-    kept = target.join(fresh, keys, "left").select(*[updated(c) for c in target.columns])
+    kept = target.join(fresh, keys, "left").select(*[column(c, None) for c in target.columns])
     known = target.select(*keys).join(latest.select(*keys), keys, "left_semi")
-    added = latest.join(known, keys, "left_anti").select(*[inserted(c) for c in target.columns])
-    return kept.unionByName(added)
+    missing = [c for c in target.columns if c not in supplied]
+    added = fresh.join(known, keys, "left_anti").withColumns({c: F.lit(None).cast(kinds[c]) for c in [*values, *missing]})
+    return kept.unionByName(added.select(*[column(c, F.lit(True)) for c in target.columns]))
 
 
 def read_files(spark, path: str) -> DataFrame | None:
@@ -85,12 +86,13 @@ def upsert_files(
     """:func:`upsert` on a table stored as Parquet under ``path`` (made if missing).
 
     ``partition`` is computed from the keys.  Only the partitions the incoming rows
-    fall in are read and replaced; the rest of the table is not touched.  The merged
-    rows are written aside first, so nothing is overwritten while it is being read,
-    and doing the same upsert again gives the same table.
+    fall in are read and replaced; the rest of the table is not touched.  The incoming
+    rows are worked out once.  The merged rows are written aside first, so nothing is
+    overwritten while it is being read, and doing the same upsert again gives the
+    same table.
     """
     spark = incoming.sparkSession
-    rows = incoming.withColumn("part", F.lit("all") if partition is None else partition)
+    rows = materialize(incoming.withColumn("part", F.lit("all") if partition is None else partition), "incoming")
     stored = read_files(spark, path)
     if stored is None:
         stored = rows.limit(0)
@@ -105,8 +107,7 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order
     """``target`` plus the incoming rows whose key it does not have (first per key)."""
     columns = [c for c in target.columns if c in incoming.columns]
     first = keep_latest(incoming.select(*columns), keys, list(order))
-    known = target.select(*keys).join(first.select(*keys), keys, "left_semi")
-    added = first.join(known, keys, "left_anti")
+    added = first.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(added, allowMissingColumns=True)
 
 

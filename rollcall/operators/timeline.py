@@ -8,7 +8,7 @@ from rollcall.functions.dates import date_window
 from rollcall.functions.text import email_domain, normalize_lookup
 from rollcall.operators.clean import require_timeline
 from rollcall.operators.identity import load_people
-from rollcall.operators.merge import upsert
+from rollcall.operators.merge import upsert, upsert_files
 from rollcall.operators.profile import infer_types
 from rollcall.plans.skew import HOT_ROWS, dense_ids, top_per_group
 
@@ -117,23 +117,26 @@ def append_entry_type_id(df: DataFrame, default: str | None = None, types: dict[
     return out.drop("_type_name")
 
 
-def entry_uuid(millis: Column, *parts: Column) -> Column:
-    """A UUID (version 7 layout) from a time and what identifies the entry.
-
-    The time fills the leading 48 bits, so ids sort by time; the rest is a hash,
-    so the same entry gets the same id every time it is loaded.
-    """
+def entry_hex(millis: Column, *parts: Column) -> Column:
+    """The digits an entry id is made of: 48 bits of time, then a hash of what
+    identifies the entry.  The same entry gets the same digits whenever it is loaded."""
     digest = F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
-    clock = F.lower(F.lpad(F.hex(millis), 12, "0"))
-    variant = F.element_at(
-        F.array(*[F.lit(v) for v in "89ab"]),
-        (F.conv(F.substring(digest, 4, 1), 16, 10).cast("int") % 4 + 1),
-    )
-    return F.concat(
-        F.substring(clock, 1, 8), F.lit("-"), F.substring(clock, 9, 4),
-        F.lit("-7"), F.substring(digest, 1, 3),
-        F.lit("-"), variant, F.substring(digest, 5, 3),
-        F.lit("-"), F.substring(digest, 8, 12),
+    return F.concat(F.lower(F.lpad(F.hex(millis), 12, "0")), digest)
+
+
+def uuid_of(hex_column: str) -> Column:
+    """A column of :func:`entry_hex` digits laid out as a UUID, version 7, so that ids
+    sort by time.  It takes a column name: Spark then computes the digits once per
+    row instead of once per place they are used in."""
+    h = F.col(hex_column)
+    variant = F.translate(F.substring(h, 16, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws(
+        "-",
+        F.substring(h, 1, 8),
+        F.substring(h, 9, 4),
+        F.concat(F.lit("7"), F.substring(h, 13, 3)),
+        F.concat(variant, F.substring(h, 17, 3)),
+        F.substring(h, 20, 12),
     )
 
 
@@ -150,15 +153,15 @@ def append_entry_id(df: DataFrame, input_id: str | None = None, default_ts: str
     millis = F.unix_millis("ts")
     rows = df.withColumn("ts", ts).withColumn("remote_entry_id", remote)
     source = F.coalesce(optional("input_id"), F.lit(input_id).cast("string"))
-    made = entry_uuid(
+    digits = entry_hex(
         millis, source, F.col("entry_type_id"), optional("person_id", "bigint"), millis, F.col("remote_entry_id")
     )
     value = (
         F.when(own.isNotNull(), own)
         .when(F.col("ts").isNull(), F.raise_error(F.lit("no ts and no default timestamp")).cast("string"))
-        .otherwise(made)
+        .otherwise(uuid_of("_hex"))
     )
-    return rows.withColumn("id", value)
+    return rows.withColumn("_hex", digits).withColumn("id", value).drop("_hex")
 
 
 def entry_day(entry_id: Column | str) -> Column:
@@ -235,6 +238,16 @@ def load_timeline(rows: DataFrame, timeline: DataFrame, input_id: str | None = N
     return upsert(timeline, require_timeline(rows).select(*columns), ["id"], list(order))
 
 
+def load_timeline_files(rows: DataFrame, path: str, input_id: str | None = None, order: list[Column | str] = ("ts",)) -> None:
+    """:func:`load_timeline` into the timeline stored at ``path``: only the days that the
+    rows fall in are read and rewritten."""
+    if input_id is not None:
+        given = F.col("input_id") if "input_id" in rows.columns else F.lit(None).cast("string")
+        rows = rows.withColumn("input_id", F.coalesce(given, F.lit(input_id)))
+    columns = [c for c in TIMELINE if c in rows.columns]
+    upsert_files(path, require_timeline(rows).select(*columns), ["id"], entry_day("id"), list(order))
+
+
 def detail_columns(df: DataFrame) -> list[str]:
     return ["id", *[c for c in df.columns if c not in NOT_DETAIL]]
 

@@ -11,27 +11,21 @@ from pyspark.sql.window import Window
 HOT_ROWS = 4_000_000
 
 
-def lookup(
-    facts: DataFrame,
-    keyed: DataFrame,
-    on: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    weights: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``facts`` to ``keyed``, which has one row per ``on``.
+def join_weighted(facts: DataFrame, keyed: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``facts`` to ``keyed``, which has one row per ``on`` and in ``weight``
+    how many rows of ``facts`` carry it.
 
-    Keys that own more than ``hot_rows`` rows never go through the shuffle: their
-    few ``keyed`` rows are broadcast.  All other keys take the ordinary join.
-    ``weights`` (``on``, ``weight``) saves counting when the counts are known.
+    Keys heavier than ``hot_rows`` never go through the shuffle: their few ``keyed``
+    rows are broadcast.  All other keys take the ordinary join.
+
+    Spark's own skew handling covers joins of two shuffled tables.  This is for a
+    ``keyed`` side that was just grouped by the key: it is not shuffled again for
+    the join, so Spark has nothing to split there.
     """
-    if weights is None:
-        weights = facts.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("weight"))
-    hot_keys = weights.where(F.col("weight") > hot_rows).select(on)
-    hot = keyed.join(F.broadcast(hot_keys), on, "left_semi")
-    matched = facts.join(F.broadcast(hot), on, "inner")
-    rest = facts.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed, on, how)
-    return matched.unionByName(rest)
+    hot = keyed.where(F.col("weight") > hot_rows).drop("weight")
+    warm = keyed.where(F.col("weight") <= hot_rows).drop("weight")
+    rest = facts.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return facts.join(F.broadcast(hot), on).unionByName(rest.join(warm, on))
 
 
 def dense_ids(keys: DataFrame, key: str, out: str, offset: Column | int = 0, digits: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.text import normalize_lookup
 from rollcall.operators.clean import coerce, conform, drift, missing_report, with_defaults
-from rollcall.operators.timeline import entry_uuid
+from rollcall.operators.timeline import entry_hex, uuid_of
 from rollcall.suite import case, plain
 
 
@@ -118,10 +118,10 @@ def _(t):
        count(*) filter (user_id = 8) as missing_person_id, 0::bigint as missing_entry_type_id, count(*) filter (event_type = 'view') as missing_source_code_id from events""",
 )
 def _(t):
-    millis = F.unix_millis("ts")
-    rows = t.events.select(
+    digits = entry_hex(F.unix_millis("ts"), F.col("event_id"))
+    rows = t.events.withColumn("_hex", digits).select(
         F.when(F.col("event_id") % 10 == 0, F.col("event_id").cast("string"))
-        .otherwise(entry_uuid(millis, F.col("event_id")))
+        .otherwise(uuid_of("_hex"))
         .alias("id"),
         "ts",
         F.nullif("user_id", F.lit(8)).alias("person_id"),

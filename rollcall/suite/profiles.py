@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollcall.operators.profile import infer_types, profile, profile_table, suggest_storage
-from rollcall.operators.timeline import entry_uuid
+from rollcall.operators.timeline import entry_hex, uuid_of
 from rollcall.suite import case, plain
 
 
@@ -41,14 +41,14 @@ def _(t):
 )
 def _(t):
     key = F.col("o_orderkey")
-    raw = t.orders.select(
+    raw = t.orders.withColumn("_hex", entry_hex(F.unix_millis("o_orderdate"), key)).select(
         key.cast("string").alias("key"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         F.date_format(F.col("o_orderdate") + F.expr("interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("moment"),
         F.col("o_totalprice").cast("string").alias("amount"),
         F.col("o_totalprice").cast("string").alias("paid"),
         F.col("o_orderstatus").alias("status"),
-        entry_uuid(F.unix_millis("o_orderdate"), key).alias("id"),
+        uuid_of("_hex").alias("id"),
         F.when(key % 2 == 0, key.cast("string")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("mixed"),
         F.when(key % 2 == 0, key.cast("string")).alias("gaps"),
         F.lit(None).cast("string").alias("nothing"),

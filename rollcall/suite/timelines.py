@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import identity, timeline as tl
 from rollcall.operators.merge import ensure_view
+from rollcall.session import scratch_path
 from rollcall.suite import case, money, plain
 
 TYPES = {"click": 1, "signup": 2, "view": 3, "purchase": 4, "error": 5}
@@ -184,15 +185,15 @@ def entries(t):
        (select """ + _TYPE_SQL + """::bigint as entry_type_id, event_id % 50 as source_code_id, user_id as person_id from events) group by 1""",
 )
 def _(t):
-    rows = entries(t).drop("input_id")
+    rows = entries(t)
+    path = scratch_path(t.spark, "timeline")
     # The timeline already holds the purchases, with a source code that is out of date.
-    stored = rows.where("entry_type_id = 4").select(
-        "id", "ts", "person_id", "entry_type_id", F.lit(0).cast("bigint").alias("source_code_id"), F.lit("old").alias("input_id")
-    )
-    loaded = tl.load_timeline(rows, stored, "input-1")
-    again = tl.load_timeline(rows, loaded, "input-1")
+    stored = rows.where("entry_type_id = 4").withColumn("source_code_id", F.lit(0).cast("bigint"))
+    tl.load_timeline_files(stored, path, "old")
+    tl.load_timeline_files(rows, path, "input-1")
+    tl.load_timeline_files(rows, path, "input-1")
     return plain(
-        again.groupBy("entry_type_id").agg(
+        t.spark.read.parquet(path).groupBy("entry_type_id").agg(
             F.count(F.lit(1)).alias("records"),
             F.sum("source_code_id").alias("codes"),
             F.count_distinct("person_id").alias("people"),
