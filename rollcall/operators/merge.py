@@ -98,9 +98,9 @@ def upsert_files(
         stored = rows.limit(0)
     touched = rows.select("part").distinct()
     merged = upsert(stored.join(touched, "part", "left_semi").select(*stored.columns), rows, keys, order)
-    materialize(merged, "merge").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("part").parquet(path)
+    # Rebalancing brings a partition's rows together (few files) but splits a crowded one.
+    ready = materialize(merged, "merge").hint("rebalance", "part")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column | str] = ()) -> DataFrame:

@@ -148,11 +148,12 @@ def profile(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
         F.min(F.length("value")).alias("_min_length"),
         F.max(F.length("value")).alias("_max_length"),
     )
-    window = Window.partitionBy("position").orderBy(F.col("_n").desc(), value.asc())
+    # Nulls are ranked last and dropped after the cut, so that this reads the same
+    # shuffled counts as the figures above.
+    window = Window.partitionBy("position").orderBy(value.isNull(), F.col("_n").desc(), value.asc())
     frequent = (
-        counts.where(value.isNotNull())
-        .withColumn("_rank", F.row_number().over(window))
-        .where(F.col("_rank") <= SAMPLE_SIZE)
+        counts.withColumn("_rank", F.row_number().over(window))
+        .where((F.col("_rank") <= SAMPLE_SIZE) & value.isNotNull())
         .groupBy("position")
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "value")))["value"].alias("sample"))
     )

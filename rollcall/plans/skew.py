@@ -50,7 +50,8 @@ def dense_ids(keys: DataFrame, key: str, out: str, offset: Column | int = 0, dig
 
 
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """One row per key: the last by ``order``, then by the remaining columns.
+    """One row per key: the last by ``order``; a hash of the row decides between equals,
+    so the choice is the same on every run.
 
     ``row_number() = 1`` lets Spark drop all but one row per key in every task
     before the shuffle, so a key with a third of the rows ships one row a task.
@@ -60,7 +61,7 @@ def keep_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> Da
     if not ranks and not others:
         return df.dropDuplicates(keys)
     if others:
-        ranks.append(F.struct(*[F.col(f"`{c}`") for c in others]).desc())
+        ranks.append(F.xxhash64(*[F.col(f"`{c}`") for c in others]).desc())
     window = Window.partitionBy(*keys).orderBy(*ranks)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
