@@ -19,6 +19,10 @@ __all__ = [
 STORE_COLUMNS = ("created_at", "modified_at")
 
 
+# Partition folders one upsert may write; far fewer make better files.
+MAX_FOLDERS = 20_000
+
+
 def upsert(
     target: DataFrame,
     incoming: DataFrame,
@@ -92,12 +96,19 @@ def upsert_files(
     same table.
     """
     spark = incoming.sparkSession
-    rows = materialize(incoming.withColumn("part", F.lit("all") if partition is None else partition), "incoming")
+    # The lead keeps Spark from reading folder names back as dates or numbers.
+    part = F.concat(F.lit("p-"), F.lit("all") if partition is None else partition)
+    rows = materialize(incoming.withColumn("part", part), "incoming")
     stored = read_files(spark, path)
     if stored is None:
         stored = rows.limit(0)
-    touched = rows.select("part").distinct()
-    merged = upsert(stored.join(touched, "part", "left_semi").select(*stored.columns), rows, keys, order)
+    else:
+        # One short name per folder, so that only these folders are listed and read.
+        touched = [r["part"] for r in rows.select("part").distinct().limit(MAX_FOLDERS + 1).collect()]
+        if len(touched) > MAX_FOLDERS:
+            raise ValueError(f"the rows fall in more than {MAX_FOLDERS} partitions; choose a coarser partition")
+        stored = stored.where(F.col("part").isin(touched))
+    merged = upsert(stored, rows, keys, order)
     # Rebalancing brings a partition's rows together (few files) but splits a crowded one.
     ready = materialize(merged, "merge").hint("rebalance", "part")
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)

@@ -15,12 +15,15 @@ PAGE = 100
 CHILDREN_PER_PARENT = 25
 
 
-def nest(children: DataFrame, key: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(key, part, array of the other columns), sorted.
+def nest(
+    children: DataFrame, key: str, name: str, chunk_rows: int = CHUNK_ROWS, wanted: DataFrame | None = None
+) -> DataFrame:
+    """(key, part, array of the other columns), sorted; for the keys in ``wanted`` if given.
 
     Part 0 holds all children of an ordinary parent.  The children of a parent with
-    more than ``chunk_rows`` are counted per distinct value (so copies shrink inside
-    each task), and dealt by hash into parts of about that size.
+    more than ``chunk_rows`` never meet in one task: they are counted per distinct
+    value (so copies shrink where they are read), and dealt by hash into parts of
+    about that size.
     """
     item = F.struct(*[F.col(f"`{c}`") for c in children.columns if c != key]).alias("_item")
     crowded = (
@@ -29,9 +32,12 @@ def nest(children: DataFrame, key: str, name: str, chunk_rows: int = CHUNK_ROWS)
         .where(F.col("_n") > chunk_rows)
         .select(key, F.ceil(F.col("_n") / chunk_rows).cast("int").alias("_parts"))
     )
+    few = children.join(F.broadcast(crowded.select(key)), key, "left_anti")
+    if wanted is not None:
+        few = few.join(wanted, key, "left_semi")
+        crowded = crowded.join(wanted, key, "left_semi")
     ordinary = (
-        children.join(F.broadcast(crowded.select(key)), key, "left_anti")
-        .select(key, item)
+        few.select(key, item)
         .groupBy(key)
         .agg(F.sort_array(F.collect_list("_item")).alias(name))
         .select(key, F.lit(0).alias("part"), name)
@@ -77,7 +83,7 @@ def attach_children(
             F.lit(spec.get("type", name)).alias("type"),
             F.col(spec["id"]).alias("id"),
         )
-        nested = nest(links.join(wanted, "_parent", "left_semi"), "_parent", name, chunk_rows)
+        nested = nest(links, "_parent", name, chunk_rows, wanted)
         out = out.join(nested, ["_parent", "part"], "full")
         out = out.withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
     return out.withColumn(key, F.col("_parent")).drop("_parent")

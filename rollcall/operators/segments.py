@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rollcall.functions.expressions import expression
 from rollcall.operators.merge import insert_ignore, new_rows
 from rollcall.operators.resources import CHUNK_ROWS, nest
-from rollcall.plans.query import keyed_lookup, run_query
+from rollcall.plans.query import run_query
 
 Part = DataFrame | dict
 
@@ -121,15 +122,17 @@ def export_people(
     binding goes on in further rows, numbered by ``part``: nothing is dropped, and
     no row (or task) grows with the largest member.
     """
-    out = members.select("person_id").distinct().withColumn("part", F.lit(0))
+    wanted = members.select("person_id").distinct()
+    out = wanted.withColumn("part", F.lit(0))
     for name, binding in bindings.items():
+        rows = binding
         if isinstance(binding, dict):
-            table = tables[binding["table"]]
-            rows = keyed_lookup(table, members, "person_id", None, binding.get("conditions") or ())
-            rows = rows.select("person_id", *[c for c in binding.get("columns") or table.columns if c != "person_id"])
-        else:
-            rows = binding.join(members.select("person_id").distinct(), "person_id", "left_semi")
-        out = out.join(nest(rows, "person_id", name, chunk_rows), ["person_id", "part"], "full")
+            rows = tables[binding["table"]]
+            for condition in binding.get("conditions") or ():
+                rows = rows.where(expression(condition))
+            rows = rows.select("person_id", *[c for c in binding.get("columns") or rows.columns if c != "person_id"])
+        nested = nest(rows, "person_id", name, chunk_rows, wanted)
+        out = out.join(nested, ["person_id", "part"], "full")
     return out
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import BUCKETS
 from rollcall.functions.expressions import expression
+from rollcall.session import materialize
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
@@ -243,8 +244,14 @@ def keyed_lookup(
     conditions: list[str] = (),
     foreign_key: str | None = None,
 ) -> DataFrame:
-    """Rows of ``table`` whose ``foreign_key`` is among ``keys[key]``."""
-    wanted = keys.select(F.col(key).alias(foreign_key or key)).distinct()
+    """Rows of ``table`` whose ``foreign_key`` is among ``keys[key]``.
+
+    The distinct keys are written aside first: their size is then known, so Spark
+    broadcasts them only if they are small, and otherwise shuffles both sides and
+    splits the rows of a hot key.
+    """
+    wanted = keys.where(F.col(key).isNotNull()).select(F.col(key).alias(foreign_key or key)).distinct()
+    wanted = materialize(wanted, "keys")
     found = table.join(wanted, foreign_key or key, "left_semi")
     for condition in conditions:
         found = found.where(expression(condition))

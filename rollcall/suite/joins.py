@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rollcall.operators.resources import attach_children
 from rollcall.operators.segments import segment_people
@@ -202,13 +201,12 @@ def _(t):
 @case(
     "j10_dimension_lookup",
     """select o_orderkey, coalesce(d.id, 0)::bigint as priority_id from orders left join
-       (select lower(trim(o_orderpriority)) as k, row_number() over (order by lower(trim(o_orderpriority))) as id
+       (select lower(trim(o_orderpriority)) as k, left(o_orderpriority, 1)::bigint as id
         from (select distinct o_orderpriority from orders where o_orderpriority <> '5-LOW')) d on d.k = lower(trim(o_orderpriority))""",
 )
 def _(t):
-    # The five priorities are the whole dimension, so numbering them in one task is fine.
     names = t.orders.where("o_orderpriority <> '5-LOW'").select(F.lower(F.trim("o_orderpriority")).alias("k")).distinct()
-    dimension = names.withColumn("id", F.row_number().over(Window.orderBy("k")))
+    dimension = names.withColumn("id", F.substring("k", 1, 1).cast("bigint"))
     return (
         t.orders.withColumn("k", F.lower(F.trim("o_orderpriority")))
         .join(dimension, "k", "left")

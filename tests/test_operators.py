@@ -58,7 +58,7 @@ def test_upsert_files_rewrites_only_what_it_touches(spark):
     stored = spark.read.parquet(path)
     assert rows(stored.where("v = 'new'"), "id") == [(1,), (10,)] and stored.count() == 10
     after = {r.f for r in stored.select(F.input_file_name().alias("f")).distinct().collect()}
-    assert {f for f in before if "part=p1" not in f} == {f for f in after if "part=p1" not in f}
+    assert {f for f in before if "part=p-p1" not in f} == {f for f in after if "part=p-p1" not in f}
 
 
 def test_new_rows(spark):
