@@ -124,8 +124,8 @@ def _shape(edges: DataFrame) -> tuple[int, bool]:
 
 
 def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(node, component) for every node of ``edges`` (hi, lo), the component being
-    its smallest node.
+    """(node, component) for every node of ``edges`` (hi, lo: two numbers), the
+    component being its smallest node.
 
     Large-star / small-star contraction (Kiveris et al., 2014): each round every
     node re-attaches to the smallest node in reach, until all components are
@@ -149,17 +149,28 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def link_within(rows: DataFrame, row_id: str, values: str = "values", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(row id, component): rows that share a value, through any number of others,
-    get one component, named by its smallest value.  Rows without values get none.
+    get one component number.  Rows without values get none.
 
-    ``values`` is an array column, so the links inside a row need no shuffle; only
-    distinct links between values are, and rows meet the result once at the end.
+    ``values`` is an array column, so the links inside a row need no shuffle.  The
+    distinct links are kept, their values numbered (in the order of ``dense_ids``, so
+    a rerun gives the same numbers), and the contraction runs on pairs of numbers.
+    A component's number is the smallest of its values' numbers.
     """
     own = rows.where(F.size(values) > 0).select(row_id, F.array_min(values).alias("node"), values)
-    links = own.select(F.explode(values).alias("hi"), F.col("node").alias("lo"))
-    labels = components(links, hot_rows)
-    return own.select(row_id, "node").join(labels, "node", "left").select(
-        row_id, F.coalesce("component", "node").alias("component")
+    links = materialize(own.select(F.explode(values).alias("hi"), F.col("node").alias("lo")).distinct(), "links")
+    # Every value is the upper end of a link, if only of one to itself.
+    numbers = materialize(dense_ids(links.select("hi").distinct(), "hi", "number"), "numbers")
+    edges = (
+        links.where("hi <> lo")
+        .join(numbers, "hi")
+        .join(numbers.select(F.col("hi").alias("lo"), F.col("number").alias("_lo")), "lo")
+        .select(F.greatest("number", "_lo").alias("hi"), F.least("number", "_lo").alias("lo"))
     )
+    labels = components(edges, hot_rows).withColumnRenamed("node", "number")
+    named = numbers.join(labels, "number", "left").select(
+        F.col("hi").alias("node"), F.coalesce("component", "number").alias("component")
+    )
+    return own.select(row_id, "node").join(named, "node").select(row_id, "component")
 
 
 def assign_person_ids(
@@ -186,7 +197,7 @@ def assign_person_ids(
     )
     alone = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
     labelled = ids.select(row_id).join(linked, row_id, "left").select(
-        row_id, F.coalesce("component", alone).alias("component")
+        row_id, F.coalesce(F.col("component").cast("string"), alone).alias("component")
     )
     if known is None:
         none = F.lit(None).cast("struct<priority:int,person_id:bigint>")

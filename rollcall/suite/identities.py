@@ -88,7 +88,8 @@ def _(t):
     "i4_assign_person_ids",
     f"""{_REACH},
     known as (select 'b:' || floor(s_acctbal)::bigint as v, min(s_suppkey) + 500000 as p from supplier group by 1),
-    cname as (select root, min(v) as name from comp join ids using (k) group by 1),
+    numbers as (select v, row_number() over (order by md5(v), v) as n from (select distinct v from ids)),
+    cname as (select root, min(n)::varchar as name from comp join ids using (k) join numbers using (v) group by 1),
     direct as (select k, min(p) as p from ids join known using (v) group by 1),
     cknown as (select root, min(p) as p from comp join direct using (k) group by 1),
     fresh as (select root, row_number() over (order by md5(name), name) + 600000 as p from cname where root not in (select root from cknown))
