@@ -317,8 +317,8 @@ def custom_fields(df: DataFrame, table: str, key: str = "person_id") -> DataFram
 def load_people(
     df: DataFrame,
     state: dict[str, DataFrame],
-    plugin_id: str,
-    input_id: str,
+    plugin_id: str | None = None,
+    input_id: str | None = None,
     row_id: str | None = None,
     order: str | None = None,
     custom_tables: dict[str, list[str]] | None = None,
@@ -326,12 +326,19 @@ def load_people(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Resolve ``df`` to people and write them into ``state``.
 
-    Returns the rows with person_id, and the updated person tables.  ``row_id``
-    names a unique column; without one a row is known by its content, so copies
+    Returns the rows with person_id, and the updated person tables.  Rows may carry
+    their own plugin_id and input_id; the arguments fill in for those that do not.
+    ``row_id`` names a unique column; without one a row is known by its content, so copies
     of a row are one.  ``order`` decides which of several rows for one person
     has the last word.
     """
-    rows = extract_identifiers(df.withColumn("input_id", F.lit(input_id)), plugin_id)
+
+    def own_or(name: str, value: str | None) -> Column:
+        fallback = F.lit(value).cast("string")
+        return F.coalesce(F.col(name).cast("string"), fallback) if name in df.columns else fallback
+
+    rows = df.withColumn("input_id", own_or("input_id", input_id))
+    rows = extract_identifiers(rows, own_or("plugin_id", plugin_id))
     if row_id is None:
         row_id = "_row"
         rows = rows.dropDuplicates(df.columns).withColumn(
@@ -372,4 +379,5 @@ def load_people(
         fields = custom_fields(rows, table)
         if fields is not None:
             out[table] = upsert(state[table], fields, ["person_id"]) if table in state else fields
-    return rows.drop("_row"), {name: materialize(frame, name) for name, frame in out.items()}
+    changed = {name: materialize(frame, name) for name, frame in out.items() if frame is not state.get(name)}
+    return rows.drop("_row"), {**state, **changed}

@@ -11,6 +11,7 @@ from rollcall.operators.identity import load_people
 from rollcall.operators.merge import upsert, upsert_files
 from rollcall.operators.profile import infer_types
 from rollcall.plans.skew import HOT_ROWS, dense_ids, top_per_group
+from rollcall.session import materialize
 
 # The entry types this package ships with, and their codes.  The codes are ours;
 # pass another mapping where a deployment has its own.
@@ -183,8 +184,8 @@ def identify(
     df: DataFrame,
     state: dict[str, DataFrame],
     dictionary: DataFrame,
-    plugin_id: str,
-    input_id: str,
+    plugin_id: str | None = None,
+    input_id: str | None = None,
     default_entry_type: str | None = None,
     default_ts: str | None = None,
     row_id: str | None = None,
@@ -193,7 +194,8 @@ def identify(
 ) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
     """A raw input to timeline rows: type, source code, person, entry id.
 
-    Returns (rows, updated person tables, dictionary rows to add).
+    Rows of many inputs go through at once when they carry input_id and plugin_id
+    (as ``scan_stored_inputs`` adds them).  Returns (rows, updated person tables, dictionary rows to add).
     """
     typed = append_entry_type_id(df, default_entry_type)
     added = dictionary.limit(0)
@@ -208,6 +210,15 @@ def identify(
     return rows, state, added
 
 
+def identify_inputs(
+    files: DataFrame, state: dict[str, DataFrame], dictionary: DataFrame, inputs: DataFrame, **options
+) -> tuple[DataFrame, dict[str, DataFrame], DataFrame, DataFrame]:
+    """:func:`identify` for the rows of many inputs in one go, and the input table with
+    its first and last timestamps stretched to what was found."""
+    rows, state, added = identify(files, state, dictionary, **options)
+    return rows, state, added, widen_bounds(inputs, input_bounds(rows))
+
+
 def input_bounds(rows: DataFrame) -> DataFrame:
     """Records, first and last timestamp per input."""
     return rows.groupBy("input_id").agg(
@@ -348,20 +359,33 @@ def stats_by_email_domain(timeline: DataFrame, kind: str = "entry_type_id", n: i
 
 
 def input_statistics(files: DataFrame, source: str = "source", kind: str = "entry_type_id") -> dict[str, DataFrame]:
-    """Total, by type, by type and date and (with email_domain) by domain, per source."""
-    entries = files.dropDuplicates([source, "id"])
+    """Total, by type, by type and date and (with email_domain) by domain, per source.
+
+    The entries are de-duplicated and counted per person, type and day once; the four
+    tables are summed up from that.
+    """
+    domain = ["email_domain"] if "email_domain" in files.columns else []
+    dated = files.dropDuplicates([source, "id"]).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    counted = materialize(
+        dated.groupBy(source, "date", kind, "person_id", *domain).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi")
+        ),
+        "statistics",
+    )
+    measures = [F.sum("_n").alias("records"), F.count_distinct("person_id").alias("distinct_people")]
+    bounds = [F.min("_lo").alias("min_ts"), F.max("_hi").alias("max_ts")]
     out = {
-        "total": stats_total(entries, [source]),
-        "by_type": stats_by_type(entries, kind, [source]),
-        "by_type_by_date": stats_by_type_by_date(entries, kind, [source]),
+        "total": counted.groupBy(source).agg(*measures, *bounds),
+        "by_type": counted.groupBy(source, kind).agg(*measures),
+        "by_type_by_date": counted.groupBy(source, "date", kind).agg(*measures).orderBy(source, "date", kind),
     }
-    if "email_domain" in files.columns:
-        sizes = entries.groupBy(source, "email_domain").agg(F.count(F.lit(1)).alias("_n"))
-        largest = top_per_group(sizes, [source], [F.desc("_n"), F.col("email_domain")], TOP_DOMAINS)
+    if domain:
+        sizes = counted.groupBy(source, "email_domain").agg(F.sum("_n").alias("_size"))
+        largest = top_per_group(sizes, [source], [F.desc("_size"), F.col("email_domain")], TOP_DOMAINS)
         out["by_email_domain"] = (
-            entries.join(largest.select(source, "email_domain"), [source, "email_domain"], "left_semi")
+            counted.join(largest.select(source, "email_domain"), [source, "email_domain"], "left_semi")
             .groupBy(source, "email_domain", kind)
-            .agg(*_measures())
+            .agg(*measures)
         )
     return out
 

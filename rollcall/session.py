@@ -20,8 +20,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Rewrites of a partitioned table replace only the partitions they touch.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 _local_scratch: str | None = None

@@ -149,17 +149,26 @@ _STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 
 @case(
     "a8_identify_inputs",
-    f"""select n_nationkey as id, strftime(least(timestamp '2024-01-02', min(ts)), {_STAMP}) as min_ts, strftime(greatest(timestamp '2024-01-20', max(ts)), {_STAMP}) as max_ts
-        from (select n_nationkey::bigint as n_nationkey from nation) left join events on user_id % 20 = n_nationkey group by 1""",
+    f"""select n_nationkey::varchar as id, strftime(least(timestamp '2024-01-02', min(ts)), {_STAMP}) as min_ts,
+        strftime(greatest(timestamp '2024-01-20', max(ts)), {_STAMP}) as max_ts, count(event_id) as ids, count(distinct user_id) as people
+        from nation left join events on user_id % 20 = n_nationkey group by n_nationkey""",
 )
 def _(t):
-    found = tl.input_bounds(t.events.withColumn("input_id", F.col("user_id") % 20))
+    files = activity(t).withColumns({"input_id": (F.col("remote_person_id") % 20).cast("string"), "plugin_id": F.lit("shop")})
+    codes = t.spark.createDataFrame([], "source_code_id bigint, source_code string")
     inputs = t.nation.select(
-        F.col("n_nationkey").cast("bigint").alias("id"),
+        F.col("n_nationkey").cast("string").alias("id"),
         F.lit("2024-01-02").cast("timestamp").alias("min_ts"),
         F.lit("2024-01-20").cast("timestamp").alias("max_ts"),
     )
-    return plain(tl.widen_bounds(inputs, found))
+    rows, _, _, bounds = tl.identify_inputs(
+        files, identity.empty_state(t.spark), codes, inputs, row_id="remote_entry_id", order="remote_entry_id"
+    )
+    found = rows.groupBy(F.col("input_id").alias("id")).agg(
+        F.count_distinct("id").alias("ids"), F.count_distinct("person_id").alias("people")
+    )
+    whole = bounds.join(found, "id", "left")
+    return plain(whole.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ids", "people")}))
 
 
 def entries(t):
