@@ -129,6 +129,21 @@ def cut(text: Column, length: int | None, policy: str = "cut") -> Column:
     raise ValueError(f"unknown over-length policy {policy}")
 
 
+def whole_cast(value: Column, kind: str) -> Column:
+    """Cast that loses nothing: a value the type cannot hold fails the job.
+
+    Whole numbers may be written 5.0 or 1e3, and fractions of a second after a comma."""
+    text = value.cast("string")
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        read = F.coalesce(value.try_cast(kind), text.try_cast("decimal(38,10)").try_cast(kind))
+    elif kind in ("timestamp", "date"):
+        read = F.coalesce(value.try_cast(kind), F.translate(text, ",", ".").try_cast(kind))
+    else:
+        read = value.try_cast(kind)
+    told = F.raise_error(F.concat(F.lit(f"not a {kind}: "), text)).cast(kind)
+    return F.when(value.isNotNull() & read.isNull(), told).otherwise(read)
+
+
 def coerced(df: DataFrame, name: str, to: Declared, policy: str = "cut") -> Column:
     kind, field = to.spark_type, df.schema[name].dataType
     if isinstance(field, (T.StructType, T.ArrayType, T.MapType)):

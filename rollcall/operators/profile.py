@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from rollcall.operators.clean import UUID
+from rollcall.operators.clean import UUID, whole_cast
 
 SAMPLE_SIZE = 32
 TABLE_SAMPLE = 25_000
@@ -75,7 +75,7 @@ def _with_classes(cells: DataFrame) -> DataFrame:
         cells.withColumn("_number", number)
         .withColumn("_instant", instant)
         .withColumn("_uuid", value.rlike(UUID))
-        .withColumn("_whole", F.col("_number") == F.floor("_number"))
+        .withColumn("_whole", (F.col("_number") == F.floor("_number")) & (F.abs("_number") < 2.0**63))
         .withColumn("_midnight", F.col("_instant") == F.date_trunc("day", "_instant"))
     )
 
@@ -250,6 +250,7 @@ def suggest_storage(profiled: DataFrame) -> DataFrame:
 
 
 def narrow(df: DataFrame, suggested: DataFrame) -> DataFrame:
-    """``df`` cast to the suggested types (one small row per column is read back)."""
+    """``df`` cast to the suggested types (one small row per column is read back).  Values
+    that do not fit, because they were not in the profile, fail the job."""
     kinds = {r["name"]: r["spark_type"] for r in suggested.select("name", "spark_type").collect()}
-    return df.select(*[F.col(f"`{c}`").try_cast(kinds.get(c, "string")).alias(c) for c in df.columns])
+    return df.select(*[whole_cast(F.col(f"`{c}`"), kinds.get(c, "string")).alias(c) for c in df.columns])

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollcall.functions.text import clean_column_name, email_domain
+from rollcall.operators.clean import whole_cast
 from rollcall.operators.profile import infer_types
 from rollcall.sources.delimited import write_delimited
 
@@ -84,7 +85,7 @@ def identified_columns(df: DataFrame, hints: dict[str, str] | None = None) -> Da
     if text:
         # One row per text column comes back to the driver.
         kinds = {r["name"]: STORED_AS[r["type"]] for r in infer_types(df.select(*text), hints).collect()}
-    return df.select(*fixed, *[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in own])
+    return df.select(*fixed, *[whole_cast(F.col(f"`{c}`"), kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in own])
 
 
 def write_identified(df: DataFrame, path: str, hints: dict[str, str] | None = None) -> Written:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import date_window
 from rollcall.functions.text import clean_columns
+from rollcall.operators.clean import whole_cast
 from rollcall.operators.merge import keep_latest, read_files
 from rollcall.operators.profile import infer_types
 
@@ -32,7 +33,7 @@ def typed(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
     if not text:
         return df
     kinds = {r["name"]: TABLE_TYPES[r["type"]] for r in infer_types(df.select(*text), hints).collect()}
-    return df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+    return df.select(*[whole_cast(F.col(c), kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
 
 
 def create_and_load(
@@ -110,7 +111,9 @@ def sync_table(
         rows = typed(rows)
     else:
         # A value the stored type cannot hold fails the copy instead of being lost.
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema.fields])
+        rows = rows.select(
+            *[whole_cast(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in stored.schema.fields]
+        )
     rows.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 

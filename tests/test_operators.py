@@ -144,6 +144,19 @@ def test_inferred_types(spark):
     assert (low, high) == ("9", "100")
 
 
+def test_whole_cast(spark):
+    df = spark.createDataFrame([("5.0", "2024-01-02T10:00:00,5"), ("1e3", "2024-01-02"), (" 7 ", None)], "n string, t string")
+    got = df.select(clean.whole_cast(F.col("n"), "bigint").alias("n"), clean.whole_cast(F.col("t"), "timestamp").alias("t")).collect()
+    assert [r.n for r in got] == [5, 1000, 7] and got[0].t == dt.datetime(2024, 1, 2, 10, 0, 0, 500000) and got[2].t is None
+    with pytest.raises(PySparkException, match="not a bigint: x"):
+        spark.createDataFrame([("x",)], "n string").select(clean.whole_cast(F.col("n"), "bigint")).collect()
+
+
+def test_numbers_too_large_for_an_integer_are_doubles(spark):
+    df = spark.createDataFrame([("123456789012345678901234",), ("5",)], "n string")
+    assert pr.infer_types(df).first().type == "double"
+
+
 def test_profile_keeps_32_values(spark):
     df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
     only = pr.profile(df).first()
@@ -194,6 +207,20 @@ def test_entry_types_and_ids(spark):
     assert ids.select(tl.entry_day("id")).first()[0].startswith("h-")
 
 
+def test_statistics(spark):
+    data = [("a", "i1", 1, "x", "m.org", 1), ("a", "i1", 1, "x", "m.org", 1), ("a", "i2", 1, "y", "m.org", 2), ("b", "i1", 2, "x", "n.org", 1)]
+    df = spark.createDataFrame(data, "source string, id string, person_id int, entry_type_id string, email_domain string, day int")
+    df = df.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)))
+    stats = tl.input_statistics(df)
+    assert rows(stats["total"], "source", "records", "distinct_people") == [("a", 2, 1), ("b", 1, 1)]
+    assert rows(stats["by_type_by_date"], "source", "date", "entry_type_id", "records") == [
+        ("a", "2024-01-01", "x", 1), ("a", "2024-01-02", "y", 1), ("b", "2024-01-01", "x", 1),
+    ]
+    folder = scratch_path(spark, "stats")
+    tl.write_statistics(stats, folder)
+    assert spark.read.json(f"{folder}/by_email_domain").count() == 3
+
+
 def test_reload_and_new_file(spark):
     def file(n):
         df = spark.createDataFrame([(f"r{k}", dt.datetime(2024, 1, 1 + k % 5), k, 0) for k in range(n)], "remote_entry_id string, ts timestamp, person_id long, source_code_id long")
