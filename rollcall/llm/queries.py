@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import license_scan
+from rollcall.llm import license_scan, packing, records
+from rollcall.llm.shipping import ship
+from rollcall.session import scratch_path
 from rollcall.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +18,11 @@ SQL: dict[str, str] = {}
 
 def case(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        def query(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = query
         if sql:
             SQL[name] = sql.strip()
         return fn
@@ -26,3 +33,17 @@ def case(name: str, sql: str | None = None):
 @case("op7_license_scan")
 def op7(t: Tables) -> DataFrame:
     return license_scan.license_labels(t.documents)
+
+
+@case("op8_mixture_packing")
+def op8(t: Tables) -> DataFrame:
+    packed = packing.pack(t.documents, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+    return packed.drop("ids", "source")
+
+
+@case("op9_binary_records")
+def op9(t: Tables) -> DataFrame:
+    path, index = scratch_path(t.spark, "records"), scratch_path(t.spark, "records-index")
+    records.write_records(t.documents, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    records.write_index(t.spark, path, index)
+    return records.token_offsets(t.spark, path)
