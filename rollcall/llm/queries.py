@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import license_scan, packing, records
+from rollcall.llm import embedding_dedup, exact_topk, license_scan, packing, records
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -47,3 +47,29 @@ def op9(t: Tables) -> DataFrame:
     records.write_records(t.documents, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     records.write_index(t.spark, path, index)
     return records.token_offsets(t.spark, path)
+
+
+@case("op10_itq_embedding_dedup")
+def op10(t: Tables) -> DataFrame:
+    return embedding_dedup.link_vectors(t.embeddings)
+
+
+@case(
+    "op6_nra_topk",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as e
+        from embeddings
+        where embedding is not null and len(embedding) > 0 and vec_id is not null
+          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    ), s as (
+        select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e::double[], c.e::double[]) as bigint) as score
+        from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+    )
+    select query_id, cast(rank as integer) as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    where rank <= 20
+    """,
+)
+def op6(t: Tables) -> DataFrame:
+    return exact_topk.top_scores(t.embeddings, lambda vec_id: vec_id % 20 == 0, k=20)
