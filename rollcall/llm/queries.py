@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import embedding_dedup, exact_topk, license_scan, packing, records
+from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, records
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -73,3 +73,8 @@ def op10(t: Tables) -> DataFrame:
 )
 def op6(t: Tables) -> DataFrame:
     return exact_topk.top_scores(t.embeddings, lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+@case("op2_setsketch_near_dedup")
+def op2(t: Tables) -> DataFrame:
+    return near_dedup.link_documents(t.documents)
