@@ -87,32 +87,25 @@ def spans(
     beside = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), F.greatest(F.size("_w"), F.lit(1))).alias("b"))
     rolling = words.select(*key, F.posexplode(beside).alias("d_pos", "_g"))
     rolling = rolling.select(*key, "d_pos", "_g.a", "_g.b", F.xxhash64("_g.a", "_g.b").alias("gram_hash"))
-    # The hash finds the template position, the words themselves confirm it.
-    votes = rolling.join(grams, "gram_hash").where("a = t_a and b = t_b")
+    # The hash finds the template position, the words themselves confirm it.  Two prefix
+    # tests are an equality that stays out of the join key, which so is one number.
+    same = [F.col(x).startswith(F.col(y)) for x, y in (("a", "t_a"), ("t_a", "a"), ("b", "t_b"), ("t_b", "b"))]
+    votes = rolling.join(grams, "gram_hash").where(same[0] & same[1] & same[2] & same[3])
     votes = votes.select(
         *key, "template", "label", "phrase", "n_grams", "d_pos", (F.col("d_pos") - F.col("t_pos")).alias("diagonal")
     )
     group = [*key, "template", "label", "phrase", "n_grams"]
-    diagonals = votes.groupBy(*group, "diagonal").agg(
-        F.array_sort(F.collect_set("d_pos")).alias("at"),
-    )
-    exact = diagonals.where(F.col("phrase") & (F.size("at") == F.col("n_grams"))).select(
-        *key,
-        "label",
-        "phrase",
-        F.col("diagonal").cast("bigint").alias("first_word"),
-        (F.col("diagonal") + F.col("n_grams")).cast("bigint").alias("last_word"),
-        F.lit(1.0).alias("share"),
-    )
-    by_diagonal = Window.partitionBy(*group).orderBy("diagonal")
-    merged = (
-        diagonals.where(~F.col("phrase"))
-        .withColumn("_new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > gap).cast("int"))
-        .withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(by_diagonal))
+    diagonals = votes.groupBy(*group, "diagonal").agg(F.collect_set("d_pos").alias("at"))
+    beside = Window.partitionBy(*group).orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(beside) > F.when(F.col("phrase"), 0).otherwise(gap)
+    share = F.least(F.lit(1.0), F.size("at") / F.col("n_grams"))
+    return (
+        diagonals.withColumn("_new", apart.cast("int"))
+        .withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(beside))
         .groupBy(*group, "_run")
         .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-        .withColumn("share", F.least(F.lit(1.0), F.size("at") / F.col("n_grams")))
-        .where(F.col("share") >= least_share)
+        .withColumn("share", share)
+        .where(F.col("share") >= F.when(F.col("phrase"), 1.0).otherwise(least_share))
         .select(
             *key,
             "label",
@@ -122,7 +115,6 @@ def spans(
             "share",
         )
     )
-    return exact.unionByName(merged)
 
 
 def license_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
