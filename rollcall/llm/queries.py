@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, records
+from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, records, substring_dedup
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -78,3 +78,8 @@ def op6(t: Tables) -> DataFrame:
 @case("op2_setsketch_near_dedup")
 def op2(t: Tables) -> DataFrame:
     return near_dedup.link_documents(t.documents)
+
+
+@case("op3_paragraph_dedup")
+def op3(t: Tables) -> DataFrame:
+    return substring_dedup.drop_repeats(t.documents).select("doc_id", "removed_words", "text")
