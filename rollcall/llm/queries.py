@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, records, substring_dedup
+from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, quality_kn, records, substring_dedup
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -83,3 +83,8 @@ def op2(t: Tables) -> DataFrame:
 @case("op3_paragraph_dedup")
 def op3(t: Tables) -> DataFrame:
     return substring_dedup.drop_repeats(t.documents).select("doc_id", "removed_words", "text")
+
+
+@case("op1_kneser_ney_quality")
+def op1(t: Tables) -> DataFrame:
+    return quality_kn.quality_model(t.documents, t.labels).judged()

@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHED_WORDS = 300_000
+# Words in each of a cache's two generations.
+CACHED_WORDS = 450_000
 LONGEST_CACHED = 48
 # First and last character of a word: visible ASCII, letters and digits of any script.
 PLAIN = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.DOTALL)
@@ -41,16 +44,20 @@ class _Odd(Exception):
 
 
 class _Words(dict):
+    """Ids of words that follow ``before``, in two generations of bounded size."""
+
     def __init__(self, encode, before: str):
         super().__init__()
         self.encode, self.before = encode, before
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
-            raise _Odd
-        ids = self.encode(word, self.before)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word, self)
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED_WORDS:  # words in use move on from the older generation
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -65,25 +72,38 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
+        self.kind = "I" if wide else "H"
         self.newline = self._library("\n")
-        self.marks = {m: self._library(m) for m in ".,;:!?"} | {"": b""}
+        self.marks = {m: self._library(m) for m in ".,;:!?"}
         # Tokenizers with a normalizer here lower the case and drop white space.
         self.lowers = self.tokenizer.normalizer is not None
         self.model = self.tokenizer.model
-        self.first = _Words(self._word, "")
+        self.space = "" if self.lowers else " ".translate(BYTE_LETTERS)
         self.later = _Words(self._word, " ")
+        self.first = self.later if self.lowers else _Words(self._word, "")
+
+    def _library(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str, before: str) -> bytes:
+    def _bytes(self, ids: list[int]) -> bytes:
+        data = array(self.kind, ids)
+        if sys.byteorder == "big":
+            data.byteswap()
+        return data.tobytes()
+
+    def _word(self, word: str, known: _Words) -> bytes:
         plain = LETTERS.fullmatch(word)
         if not plain:
-            return self._library(before + word)
-        letters = plain[1].lower() if self.lowers else before + plain[1]
-        piece = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
-        return ids + self.marks[plain[2]]
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            if not PLAIN.fullmatch(word):
+                raise _Odd
+            return self._library(known.before + word)
+        if plain[2]:
+            return known[plain[1]] + self.marks[plain[2]]
+        letters = word.lower() if self.lowers else word
+        piece = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if known.before:
+            piece = self.space + piece
+        return self._bytes([t.id for t in self.model.tokenize(piece)])
 
     def encode(self, text: str | None) -> bytes:
         """A null text counts as empty and has no ids."""
