@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, quality_kn, records, substring_dedup
+from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, quality_kn, records, source_mix, substring_dedup
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -58,10 +58,10 @@ def op10(t: Tables) -> DataFrame:
     "op6_nra_topk",
     """
     with v as (
-        select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as e
+        select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
         from embeddings
         where embedding is not null and len(embedding) > 0 and vec_id is not null
-          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
     ), s as (
         select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e::double[], c.e::double[]) as bigint) as score
         from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
@@ -88,3 +88,63 @@ def op3(t: Tables) -> DataFrame:
 @case("op1_kneser_ney_quality")
 def op1(t: Tables) -> DataFrame:
     return quality_kn.quality_model(t.documents, t.labels).judged()
+
+
+@case(
+    "op5_hierarchical_mix",
+    r"""
+    with d as (
+        select doc_id, coalesce(lang, '') as l, coalesce(source, '') as s,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 as tokens,
+               case (length(source) + ascii(right(source, 1))) % 3 when 0 then 'web' when 1 then 'books' else 'reference' end as d
+        from documents
+    ), supply as (
+        select d, l, s, sum(tokens)::bigint as tokens from d group by all
+    ), n1 as (
+        select d, sum(tokens) * 2 as c, case d when 'web' then 5.0::double when 'books' then 3.0 else 2.0 end as w,
+               (select sum(tokens) from supply)::double as o from supply group by d
+    ), f1 as (
+        select *, (o - coalesce(sum(c) over (order by c / w, d rows between unbounded preceding and 1 preceding), 0))
+               / sum(w) over (order by c / w, d rows between current row and unbounded following) as v from n1
+    ), g1 as (select *, max(case when v * w <= c then v end) over () as m from f1),
+    b1 as (select d, coalesce(least(c::double, greatest(0.0, m * w)), c::double) as b from g1),
+    n2 as (
+        select d, l, sum(tokens) * 2 as c,
+               case l when 'en' then 6.0::double when 'de' then 2.0 when 'fr' then 2.0 else 1.0 end as w, any_value(b) as o
+        from supply join b1 using (d) group by d, l
+    ), f2 as (
+        select *, (o - coalesce(sum(c) over (partition by d order by c / w, l rows between unbounded preceding and 1 preceding), 0))
+               / sum(w) over (partition by d order by c / w, l rows between current row and unbounded following) as v from n2
+    ), g2 as (select *, max(case when v * w <= c then v end) over (partition by d) as m from f2),
+    b2 as (select d, l, coalesce(least(c::double, greatest(0.0, m * w)), c::double) as b from g2),
+    n3 as (select d, l, s, tokens, tokens * 2 as c, 1.0::double as w, b as o from supply join b2 using (d, l)),
+    f3 as (
+        select *, (o - coalesce(sum(c) over (partition by d, l order by c / w, s rows between unbounded preceding and 1 preceding), 0))
+               / sum(w) over (partition by d, l order by c / w, s rows between current row and unbounded following) as v from n3
+    ), g3 as (select *, max(case when v * w <= c then v end) over (partition by d, l) as m from f3),
+    leaves as (
+        select d, l, s, tokens, floor(coalesce(least(c::double, greatest(0.0, m * w)), c::double) + 1e-6)::bigint as b from g3
+    ), cuts as (select d, l, s, b // tokens as whole, b % tokens as rest from leaves),
+    placed as (
+        select d.*, whole, rest, md5('20:' || whole || ':' || coalesce(cast(doc_id as varchar), '')) as place
+        from d join cuts using (d, l, s)
+    ), summed as (
+        select *, sum(tokens) over (partition by d, l, s order by place range between unbounded preceding and current row) as upto
+        from placed
+    ), used as (select *, whole + case when upto <= rest then 1 else 0 end as times from summed)
+    select doc_id, l as lang, s as source, d as domain, cast(tokens as bigint) as tokens,
+           cast(unnest(range(0, times)) as integer) as epoch
+    from used
+    """,
+)
+def op5(t: Tables) -> DataFrame:
+    levels = source_mix.corpus_levels()
+    docs = source_mix.mix(t.documents, levels, source_mix.WEIGHTS, share=1.0, epochs=2)
+    return docs.select(
+        "doc_id",
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        levels["domain"].alias("domain"),
+        source_mix.token_cost(F.col("text")).alias("tokens"),
+        "epoch",
+    )
