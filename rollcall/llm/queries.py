@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import embedding_dedup, exact_topk, license_scan, near_dedup, packing, quality_kn, records, source_mix, substring_dedup
+from rollcall.llm import embedding_dedup, exact_topk, language_mixture, license_scan, near_dedup, packing, quality_kn, records, source_mix, substring_dedup
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -148,3 +148,11 @@ def op5(t: Tables) -> DataFrame:
         source_mix.token_cost(F.col("text")).alias("tokens"),
         "epoch",
     )
+
+
+@case("op4_em_language_mixture")
+def op4(t: Tables) -> DataFrame:
+    docs = t.documents
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language_mixture.identify(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
