@@ -158,7 +158,8 @@ def pack(
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
         "offset bigint, source string, ids binary"
     )
-    return table.join(bases, ["task", "source"]).mapInArrow(pieces, schema)
+    packed = table.join(bases, ["task", "source"]).mapInArrow(pieces, schema)
+    return packed.withColumn("source", F.when(F.col("source").startswith("="), F.substring("source", 2, 1 << 30)))
 
 
 def _pieces(batch: pa.RecordBatch, totals: np.ndarray, number: dict[str, int], window: int) -> pa.RecordBatch:
