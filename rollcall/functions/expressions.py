@@ -32,7 +32,7 @@ FUNCTION_NAMES = {
 }
 
 # Cast targets, by the Spark type that holds them.
-CAST_TYPES = {"signed": "bigint", "unsigned": "decimal(20,0)", "char": "string", "datetime": "timestamp", "time": "string"}
+CAST_TYPES = {"signed": "bigint", "unsigned": "decimal(20,0)", "char": "string", "datetime": "timestamp"}
 
 # SQL functions for names whose result differs from Spark's own.
 SQL_FUNCTIONS = [
@@ -54,6 +54,7 @@ SQL_FUNCTIONS = [
     r" else true end)"
     r" and (contains(terms, '+') or not exists(split(terms, ' +'), t -> not startswith(t, '-'))"
     r" or arrays_overlap(split(lower(x), '[^\\p{L}\\p{N}_]+'), split(lower(terms), ' +')))",
+    "rollcall_time(x string) returns string return date_format(try_cast(x as timestamp), 'HH:mm:ss')",
     "rollcall_plus(x timestamp, span interval) returns timestamp return x + span",
     "rollcall_minus(x timestamp, span interval) returns timestamp return x - span",
 ]
@@ -64,7 +65,6 @@ _SPELLING = re.compile(
     r"""(?P<keep>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`)"""
     r"""|(?<![\w\])])\[(?P<bracket>[A-Za-z_][^\]]*)\]"""
     r"""|(?P<and>&&)|(?P<or>\|\|)"""
-    r"""|\)\s*(?P<xor>xor)\s*\("""
     rf"""|\binterval\s+(?P<amount>[\w.`]+|'[^']*'|\([^()]*\))\s+(?P<unit>{_UNIT})\b"""
     rf"""|\bdate_(?P<move>add|sub)\s*\((?={_NEST},\s*interval\b)"""
     rf"""|\bas\s+(?P<type>{"|".join(CAST_TYPES)})\s*(?=\))"""
@@ -82,8 +82,6 @@ def _respell(found: re.Match) -> str:
         return " and "
     if found["or"]:
         return " or "
-    if found["xor"]:
-        return ") <> ("
     if found["unit"]:
         amount = found["amount"].strip("'")
         unit = found["unit"].lower()
@@ -101,8 +99,99 @@ def _respell(found: re.Match) -> str:
     return FUNCTION_NAMES[found["name"].lower()] + "("
 
 
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|\[[A-Za-z_][^\]]*\]""")
+_NAME = re.compile(r"\s*-?\s*[\w.\x00]+\s*")
+_TIME = re.compile(r"(.*)\bas\s+time\s*", re.IGNORECASE | re.DOTALL)
+_WORDS = "null|true|false|exists|case|in|between|like|rlike|regexp_like|cast"
+_DENIED = re.compile(
+    rf"(?<!\bis )(?:\bnot\s+|!(?!=)\s*)(?!(?:{_WORDS})\b)([A-Za-z_][\w.\x00]*|\x00[\w.\x00]*|\d+(?:\.\d+)?)"
+    r"(?=\s*(?:$|[),]|&&|\|\||(?:and|or|xor|then|when|else|end)\b))",
+    re.IGNORECASE,
+)
+
+
+def _closing(text: str, at: int) -> int:
+    """Where the parenthesis that opens at ``at`` closes."""
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if not depth:
+            return i
+    raise ValueError("a parenthesis is not closed")
+
+
+def _operand_end(text: str, at: int) -> int:
+    """The end of the number, name, call or parentheses that begins at ``at``."""
+    found = _NAME.match(text, at)
+    end = found.end() if found else at + len(text[at:]) - len(text[at:].lstrip())
+    if end < len(text) and text[end] == "(":
+        end = _closing(text, end) + 1
+    return end
+
+
+def _divided(text: str) -> str:
+    """Division by zero gives null: every divisor becomes null where it is zero."""
+    at = text.rfind("/")
+    while at >= 0:
+        end = _operand_end(text, at + 1)
+        text = f"{text[: at + 1]} nullif({text[at + 1 : end].strip()}, 0) {text[end:]}"
+        at = text.rfind("/", 0, at)
+    return text
+
+
+def _timed(text: str) -> str:
+    """``cast(x as time)`` is the time of day of a timestamp or a text."""
+    for found in reversed(list(re.finditer(r"\bcast\s*\(", text, re.IGNORECASE))):
+        end = _closing(text, found.end() - 1)
+        inner = _TIME.fullmatch(text[found.end() : end])
+        if inner:
+            text = f"{text[: found.start()]}rollcall_time({inner[1].strip()}){text[end + 1 :]}"
+    return text
+
+
+def _parted(text: str, pattern: str) -> list[str]:
+    """``text`` cut at matches of ``pattern`` outside of parentheses."""
+    parts, last = [], 0
+    for found in re.finditer(pattern, text, re.IGNORECASE):
+        before = text[: found.start()]
+        if before.count("(") == before.count(")"):
+            parts.append(text[last : found.start()])
+            last = found.end()
+    return [*parts, text[last:]]
+
+
+def _exclusive(text: str) -> str:
+    """``a xor b`` as ``(a) <> (b)``: below ``and``, above ``or``, at every level of parentheses."""
+    if not re.search(r"\bxor\b", text, re.IGNORECASE):
+        return text
+    out, at = "", 0
+    while (opens := text.find("(", at)) >= 0:
+        closes = _closing(text, opens)
+        out += text[at : opens + 1] + ", ".join(_exclusive(p) for p in _parted(text[opens + 1 : closes], ","))
+        at = closes
+    text = out + text[at:]
+    either = []
+    for part in _parted(text, r"\bor\b|\|\|"):
+        sides = _parted(part, r"\bxor\b")
+        joined = sides[0]
+        for side in sides[1:]:
+            joined = f"(({joined.strip()}) <> ({side.strip()}))"
+        either.append(joined)
+    return " or ".join(either)
+
+
 def spark_text(text: str) -> str:
-    """``text`` with the words Spark spells differently swapped, quoted text untouched."""
+    """``text`` with what Spark spells differently swapped, quoted text untouched."""
+    kept: list[str] = []
+
+    def keep(found: re.Match) -> str:
+        kept.append(found[0])
+        return f"\x00{len(kept) - 1}\x00"
+
+    bare = _QUOTED.sub(keep, text)
+    bare = _exclusive(_DENIED.sub(r"not try_cast(\1 as boolean)", _timed(bare)))
+    bare = _divided(bare)
+    text = re.sub("\x00(\\d+)\x00", lambda found: kept[int(found[1])], bare)
     return _SPELLING.sub(_respell, text)
 
 
@@ -152,6 +241,8 @@ def first_present(*values: Column | str) -> Column:
 
 def cast_as(value: Column | str, name: str) -> Column:
     """Lenient cast by the tool's type names (signed, char, datetime …)."""
+    if name.lower() == "time":
+        return F.date_format(_col(value).cast("string").try_cast("timestamp"), "HH:mm:ss")
     return _col(value).try_cast(CAST_TYPES.get(name.lower(), name))
 
 

@@ -69,7 +69,7 @@ def run_chain(rows: DataFrame, steps: list[Any], tables: dict[str, DataFrame] |
     A step is a function, a known name, or ``{"transform", "options", "bindings"}``.
     Bound lookups arrive as keyword arguments.  A step returns the new rows, or
     :class:`Outputs` to also hand over rows for other tables or for the timeline.
-    Everything stays lazy: the chain is one Spark plan, whatever the step count.
+    The chain is one Spark plan, whatever the step count.
     """
     side: dict[str, DataFrame] = {}
     timeline = None
@@ -96,13 +96,20 @@ def run_chain(rows: DataFrame, steps: list[Any], tables: dict[str, DataFrame] |
     return Result(rows, side, timeline, seconds)
 
 
-def store(result: Result, tables: dict[str, DataFrame], keys: dict[str, list[str]], timeline: DataFrame | None = None):
-    """Side outputs written over their tables, and timeline rows over the timeline."""
+def store(
+    result: Result,
+    tables: dict[str, DataFrame],
+    keys: dict[str, list[str]],
+    timeline: DataFrame | None = None,
+    order: list[str] = (),
+):
+    """Side outputs written over their tables, and timeline rows over the timeline (the last
+    version of an entry by ``order``)."""
     out = dict(tables)
     for name, frame in result.tables.items():
         out[name] = upsert(tables[name], frame, keys[name]) if name in tables else frame
     if result.timeline is not None and timeline is not None:
-        timeline = load_timeline(result.timeline, timeline)
+        timeline = load_timeline(result.timeline, timeline, list(order))
     return out, timeline
 
 

@@ -117,8 +117,8 @@ def as_boolean(text: Column) -> Column:
     return F.when(number.isNotNull(), number != 0).otherwise(word.contains("y") | word.contains("t"))
 
 
-def cut(text: Column, length: int | None, policy: str = "cut") -> Column:
-    """Over-long text: ``cut`` it, ``keep`` it, or ``fail`` the job."""
+def cut(text: Column, length: int | None, policy: str = "keep") -> Column:
+    """Over-long text: ``keep`` it, ``fail`` the job, or ``cut`` it on request."""
     if not length or policy == "keep":
         return text
     if policy == "cut":
@@ -144,7 +144,7 @@ def whole_cast(value: Column, kind: str) -> Column:
     return F.when(value.isNotNull() & read.isNull(), told).otherwise(read)
 
 
-def coerced(df: DataFrame, name: str, to: Declared, policy: str = "cut") -> Column:
+def coerced(df: DataFrame, name: str, to: Declared, policy: str = "keep") -> Column:
     kind, field = to.spark_type, df.schema[name].dataType
     if isinstance(field, (T.StructType, T.ArrayType, T.MapType)):
         return F.coalesce(F.to_json(F.col(f"`{name}`")), to.blank).alias(name)
@@ -174,7 +174,7 @@ def coerced(df: DataFrame, name: str, to: Declared, policy: str = "cut") -> Colu
     return F.coalesce(value, to.blank).alias(name)
 
 
-def coerce(df: DataFrame, schema: dict[str, Any], policy: str = "cut") -> DataFrame:
+def coerce(df: DataFrame, schema: dict[str, Any], policy: str = "keep") -> DataFrame:
     """The declared columns typed leniently, the others untouched; one projection."""
     declared = declare(schema)
     return df.select(
@@ -203,7 +203,7 @@ def with_defaults(df: DataFrame, defaults: dict[str, Any]) -> DataFrame:
     return df.withColumns(out)
 
 
-def conform(df: DataFrame, schema: dict[str, Any], policy: str = "cut") -> DataFrame:
+def conform(df: DataFrame, schema: dict[str, Any], policy: str = "keep") -> DataFrame:
     """Exactly the declared columns, typed; columns ``df`` lacks hold their default."""
     declared = declare(schema)
     return df.select(

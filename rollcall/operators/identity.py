@@ -80,26 +80,19 @@ def match_known(rows: DataFrame, row_id: str, known: DataFrame) -> DataFrame:
 # --- connected components -----------------------------------------------------------
 
 
-def _beside_smallest(edges: DataFrame, node: str, smallest: DataFrame, hot_rows: int, total: int) -> DataFrame:
-    """Edges with the smallest neighbour of their ``node`` beside them."""
-    if total <= hot_rows:  # No node can have more edges than there are.
-        return edges.join(smallest.drop("weight"), node)
-    return join_weighted(edges, smallest, node, hot_rows)
-
-
-def _large_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows."""
     both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     smallest = both.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("weight"))
     smallest = smallest.select(F.col("hi").alias("lo"), F.least("hi", "least").alias("least"), "weight")
-    linked = _beside_smallest(edges, "lo", smallest, hot_rows, total)
+    linked = join_weighted(edges, smallest, "lo", hot_rows)
     return linked.select("hi", F.col("least").alias("lo"))
 
 
-def _small_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the smallest of them."""
     smallest = edges.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("weight"))
-    linked = _beside_smallest(edges, "hi", smallest, hot_rows, total)
+    linked = join_weighted(edges, smallest, "hi", hot_rows)
     pairs = F.array(
         F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")),
         F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")),
@@ -107,20 +100,19 @@ def _small_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
     return linked.select(F.inline(pairs)).where("hi > lo").distinct()
 
 
-def _shape(edges: DataFrame) -> tuple[int, bool]:
-    """How many edges there are, and whether they form stars: every node has at most
-    one smaller neighbour, and a node that has one is nobody's smaller neighbour."""
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges form stars: every node has at most one smaller neighbour, and a node
+    that has one is nobody's smaller neighbour."""
     ends = F.array(
         F.struct(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
         F.struct(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
     )
     nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    total, worst, inner = nodes.agg(
-        F.coalesce(F.sum("up"), F.lit(0)),
+    worst, inner = nodes.agg(
         F.coalesce(F.max("up"), F.lit(0)),
         F.count_if((F.col("up") > 0) & (F.col("down") > 0)),
     ).first()
-    return total, worst <= 1 and inner == 0
+    return worst <= 1 and inner == 0
 
 
 def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -136,11 +128,8 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     broadcasting its one row (``join_weighted``), never gathered in one task.
     """
     now = materialize(edges.where("hi > lo").distinct(), "edges")
-    total, stars = _shape(now)
-    while not stars:
-        wide = _large_star(now, hot_rows, total)
-        now = materialize(_small_star(wide, hot_rows, 2 * total), "edges")
-        total, stars = _shape(now)
+    while not _stars(now):
+        now = materialize(_small_star(_large_star(now, hot_rows), hot_rows), "edges")
     roots = now.select(F.col("lo").alias("node")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

@@ -19,10 +19,6 @@ __all__ = [
 STORE_COLUMNS = ("created_at", "modified_at")
 
 
-# Partition folders one upsert may write; far fewer make better files.
-MAX_FOLDERS = 20_000
-
-
 def upsert(
     target: DataFrame,
     incoming: DataFrame,
@@ -80,6 +76,14 @@ def read_files(spark, path: str) -> DataFrame | None:
         raise
 
 
+def _touched(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """``stored`` in the folders that ``rows`` fall in.  The folder names are a table of known
+    size, so Spark reads them first and opens only those folders, however many they are.
+    (The comparison tells Spark that the names are a selection.)"""
+    names = materialize(rows.select("part").distinct(), "folders")
+    return stored.join(names.where("part >= 'p-'"), "part", "left_semi").select(*stored.columns)
+
+
 def upsert_files(
     path: str,
     incoming: DataFrame,
@@ -103,11 +107,7 @@ def upsert_files(
     if stored is None:
         stored = rows.limit(0)
     else:
-        # One short name per folder, so that only these folders are listed and read.
-        touched = [r["part"] for r in rows.select("part").distinct().limit(MAX_FOLDERS + 1).collect()]
-        if len(touched) > MAX_FOLDERS:
-            raise ValueError(f"the rows fall in more than {MAX_FOLDERS} partitions; choose a coarser partition")
-        stored = stored.where(F.col("part").isin(touched))
+        stored = _touched(stored, rows)
     merged = upsert(stored, rows, keys, order)
     # Rebalancing brings a partition's rows together (few files) but splits a crowded one.
     ready = materialize(merged, "merge").hint("rebalance", "part")

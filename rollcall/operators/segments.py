@@ -11,6 +11,7 @@ from rollcall.functions.expressions import expression
 from rollcall.operators.merge import insert_ignore, new_rows
 from rollcall.operators.resources import CHUNK_ROWS, nest
 from rollcall.plans.query import run_query
+from rollcall.session import materialize
 
 Part = DataFrame | dict
 
@@ -122,7 +123,7 @@ def export_people(
     binding goes on in further rows, numbered by ``part``: nothing is dropped, and
     no row (or task) grows with the largest member.
     """
-    wanted = members.select("person_id").distinct()
+    wanted = materialize(members.select("person_id").distinct(), "members")
     out = wanted.withColumn("part", F.lit(0))
     for name, binding in bindings.items():
         rows = binding
@@ -137,10 +138,15 @@ def export_people(
 
 
 def write_export(export: DataFrame, path: str, gzip: bool = False) -> None:
-    """JSON lines; empty bindings are absent from the line."""
-    export.drop("part").write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
+    """JSON lines; empty bindings are absent from the line.  Only a line that goes on with a
+    person (``part`` 1 and up) carries its part."""
+    if "part" in export.columns:
+        export = export.withColumn("part", F.when(F.col("part") > 0, F.col("part")))
+    export.write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
 
 
 def export_delta(export: DataFrame, previous: DataFrame, by_person: bool = False) -> DataFrame:
-    """Rows that differ from an earlier export (or, by person, of people not in it)."""
-    return new_rows(export, previous, ["person_id"] if by_person else None)
+    """Rows that differ from an earlier export (or, by person, all rows of people not in it)."""
+    if by_person:
+        return export.join(previous.select("person_id").distinct(), "person_id", "left_anti")
+    return new_rows(export, previous)

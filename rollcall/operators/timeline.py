@@ -10,7 +10,7 @@ from rollcall.operators.clean import require_timeline
 from rollcall.operators.identity import load_people
 from rollcall.operators.merge import upsert, upsert_files
 from rollcall.operators.profile import infer_types
-from rollcall.plans.skew import HOT_ROWS, dense_ids, top_per_group
+from rollcall.plans.skew import HOT_ROWS, dense_ids, keep_latest, top_per_group
 from rollcall.session import materialize
 
 # The entry types this package ships with, and their codes.  The codes are ours;
@@ -240,23 +240,29 @@ def widen_bounds(inputs: DataFrame, found: DataFrame) -> DataFrame:
 # --- timeline tables --------------------------------------------------------------------
 
 
-def load_timeline(rows: DataFrame, timeline: DataFrame, input_id: str | None = None, order: list[Column | str] = ("ts",)) -> DataFrame:
-    """``timeline`` with complete entries written over it by id; loading twice changes nothing."""
+def load_timeline(rows: DataFrame, timeline: DataFrame, order: list[Column | str], input_id: str | None = None) -> DataFrame:
+    """``timeline`` with complete entries written over it by id; loading twice changes nothing.
+
+    ``order`` (the time of a file, the number of a line) decides which version of an entry is
+    the last; the entry's own time cannot, it is part of the id."""
     if input_id is not None:
         given = F.col("input_id") if "input_id" in rows.columns else F.lit(None).cast("string")
         rows = rows.withColumn("input_id", F.coalesce(given, F.lit(input_id)))
     columns = [c for c in timeline.columns if c in rows.columns]
-    return upsert(timeline, require_timeline(rows).select(*columns), ["id"], list(order))
+    ranked = [c for c in order if isinstance(c, str) and c not in columns]
+    return upsert(timeline, require_timeline(rows).select(*columns, *ranked), ["id"], list(order))
 
 
-def load_timeline_files(rows: DataFrame, path: str, input_id: str | None = None, order: list[Column | str] = ("ts",)) -> None:
+def load_timeline_files(rows: DataFrame, path: str, order: list[Column | str], input_id: str | None = None) -> None:
     """:func:`load_timeline` into the timeline stored at ``path``: only the days that the
     rows fall in are read and rewritten."""
     if input_id is not None:
         given = F.col("input_id") if "input_id" in rows.columns else F.lit(None).cast("string")
         rows = rows.withColumn("input_id", F.coalesce(given, F.lit(input_id)))
     columns = [c for c in TIMELINE if c in rows.columns]
-    upsert_files(path, require_timeline(rows).select(*columns), ["id"], entry_day("id"), list(order))
+    # The last version of each entry is chosen here, so that what it is chosen by is not stored.
+    latest = keep_latest(require_timeline(rows), ["id"], list(order)).select(*columns)
+    upsert_files(path, latest, ["id"], entry_day("id"))
 
 
 def detail_columns(df: DataFrame) -> list[str]:
@@ -264,10 +270,13 @@ def detail_columns(df: DataFrame) -> list[str]:
 
 
 def load_details(rows: DataFrame, details: DataFrame | None = None, order: list[Column | str] = ()) -> DataFrame:
-    """Everything the timeline does not hold, keyed by entry id; made if missing."""
+    """Everything the timeline does not hold, keyed by entry id; made if missing.  Columns
+    that are new to ``details`` are added to it."""
     fresh = rows.select(*detail_columns(rows))
     if details is None:
         details = fresh.limit(0)
+    new = [f for f in fresh.schema.fields if f.name not in details.columns]
+    details = details.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new})
     return upsert(details, fresh, ["id"], list(order))
 
 
@@ -322,9 +331,9 @@ def timeline_range(timeline: DataFrame, start=None, end=None, at: Column | None
 # --- statistics -------------------------------------------------------------------------
 
 
-def once(timeline: DataFrame) -> DataFrame:
-    """Each entry id once, however often its file was loaded."""
-    return timeline.dropDuplicates(["id"])
+def once(timeline: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Each entry id once, however often its file was loaded: its last version by ``order``."""
+    return keep_latest(timeline, ["id"], list(order))
 
 
 def _measures() -> list[Column]:
@@ -358,14 +367,16 @@ def stats_by_email_domain(timeline: DataFrame, kind: str = "entry_type_id", n: i
     )
 
 
-def input_statistics(files: DataFrame, source: str = "source", kind: str = "entry_type_id") -> dict[str, DataFrame]:
+def input_statistics(
+    files: DataFrame, order: list[Column | str], source: str = "source", kind: str = "entry_type_id"
+) -> dict[str, DataFrame]:
     """Total, by type, by type and date and (with email_domain) by domain, per source.
 
-    The entries are de-duplicated and counted per person, type and day once; the four
+    The last version of each entry by ``order`` is counted per person, type and day once; the four
     tables are summed up from that.
     """
     domain = ["email_domain"] if "email_domain" in files.columns else []
-    dated = files.dropDuplicates([source, "id"]).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    dated = keep_latest(files, [source, "id"], list(order)).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
     counted = materialize(
         dated.groupBy(source, "date", kind, "person_id", *domain).agg(
             F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi")

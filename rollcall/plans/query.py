@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import BUCKETS
 from rollcall.functions.expressions import expression
-from rollcall.session import materialize
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
@@ -246,23 +245,20 @@ def keyed_lookup(
 ) -> DataFrame:
     """Rows of ``table`` whose ``foreign_key`` is among ``keys[key]``.
 
-    The distinct keys are written aside first: their size is then known, so Spark
-    broadcasts them only if they are small, and otherwise shuffles both sides and
-    splits the rows of a hot key.
+    Nothing is run here.  Spark sees at run time how many distinct keys there are,
+    and broadcasts them only if they are few.
     """
     wanted = keys.where(F.col(key).isNotNull()).select(F.col(key).alias(foreign_key or key)).distinct()
-    wanted = materialize(wanted, "keys")
     found = table.join(wanted, foreign_key or key, "left_semi")
     for condition in conditions:
         found = found.where(expression(condition))
     return found.select(*columns) if columns else found.select(*table.columns)
 
 
-def fetch_by_id(table: DataFrame, key: str, value: int | str | None = None, limit: int = 100) -> DataFrame:
-    """One row by id, or the first ``limit`` rows by id."""
-    if value is not None:
-        return table.where(F.col(key) == F.lit(value)).limit(limit)
-    return table.orderBy(key).limit(limit)
+def fetch_by_id(table: DataFrame, key: str, value: int | str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of one id, or all rows by id; the first ``limit`` of them if it is given."""
+    found = table.orderBy(key) if value is None else table.where(F.col(key) == F.lit(value))
+    return with_limit(found, limit)
 
 
 def read_query(spark: SparkSession, sql: str) -> DataFrame:

@@ -11,7 +11,6 @@ from rollcall.functions.dates import bucket_for_span, relative_bound
 from rollcall.functions.expressions import expression
 from rollcall.plans.query import run_query
 
-DEFAULT_LIMIT = 1000
 DATE_NAME = "dimension_name"
 
 
@@ -59,7 +58,8 @@ def component_query(component: dict, source: dict, overrides: dict, at: Column |
     """The query object of one component.
 
     Dimensions (a date, one, or several), then breakdowns, then metrics; grouped by
-    dimensions and breakdowns.  Without either it is a scorecard: one row.
+    dimensions and breakdowns.  Without either it is a scorecard: one row.  All rows are
+    returned unless the overrides set a limit.
     """
     if component.get("query"):
         return component["query"]
@@ -86,7 +86,7 @@ def component_query(component: dict, source: dict, overrides: dict, at: Column |
         "conditions": conditions,
         "groupBy": groups,
         "orderBy": component.get("orderBy") or [],
-        "limit": int(overrides.get("limit") or DEFAULT_LIMIT),
+        "limit": overrides.get("limit"),
         "offset": overrides.get("offset") or component.get("offset") or 0,
     }
     inner = source.get("subquery")

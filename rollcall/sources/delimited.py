@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,7 +27,7 @@ def _kept(names: list[str]) -> list[tuple[int, str]]:
     return [(i, name) for name, i in out.items()]
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value, path, line): lines of text with their place in the file.
 
     Spark splits large files, so only lines of a file's first split get a number
@@ -38,12 +40,31 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_place"),
     )
     first = lines.where("_start = 0").groupBy("path").agg(F.min("_place").alias("_first"))
-    # One row per file, which is what the driver listed to plan the read.
-    return lines.join(F.broadcast(first), "path", "left").select(
+    return lines.join(first, "path", "left").select(
         "value", "path", F.when(F.col("_start") == 0, F.col("_place") - F.col("_first") + 1).alias("line")
     )
 
 
+def _headers(spark: SparkSession, path: str, line: int) -> list[tuple[str, list[str]]]:
+    """Each distinct header line, and the files it heads.
+
+    The driver lists the files to plan the read anyway; here they come grouped by header.
+    A file that ends before its header line fails the read, an empty file has no rows.
+    """
+    lines = numbered_lines(spark, path)
+    heads = lines.where(F.col("line").isNotNull()).groupBy("path").agg(
+        F.max(F.when(F.col("line") == line, F.col("value"))).alias("head")
+    )
+    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    found = sorted((r for r in found), key=lambda r: r["paths"][0])
+    without = [r for r in found if r["head"] is None]
+    if without:
+        raise ValueError(f"{unquote(without[0]['paths'][0])} has no line {line}")
+    if not found:
+        raise ValueError(f"{path} is empty")
+    return [(r["head"], [unquote(x) for x in r["paths"]]) for r in found]
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -57,7 +78,9 @@ def read_delimited(
 ) -> DataFrame:
     """CSV or tab-delimited text, gzipped or not.
 
-    All values are strings; blank cells are null, blank rows and columns without a
+    Each file is read by its own header, so files may order their columns differently or
+    lack some; the result has all columns, in the order they are met, null where a file has
+    none.  All values are strings; blank cells are null, blank rows and columns without a
     name are dropped.  ``skip`` is the 1-based line the header is on.  ``relax``
     accepts rows with missing or surplus cells; otherwise such a row fails the
     read, unless ``skip_bad_lines`` leaves it out.  ``multi_line`` (line breaks
@@ -67,39 +90,27 @@ def read_delimited(
     options = {"sep": sep, "quote": '"', "escape": escape or '"', "mode": "PERMISSIVE"}
     if encoding:
         options["encoding"] = encoding
-    if skip and skip > 1:
-        lines = numbered_lines(spark, path)
-        header = lines.where(F.col("line") == skip).first()
-        if header is None:
-            raise ValueError(f"{path} has no line {skip}")
-        parsed = spark.range(1).select(F.lit(header["value"]).alias("v"))
-        width = len(header["value"].split(sep))
-        raw_schema = ", ".join(f"c{i} string" for i in range(width))
-        names = list(parsed.select(F.from_csv("v", raw_schema, options).alias("r")).select("r.*").first())
-        # Lines above the body become null rather than filtered: what is read from them
-        # must never be looked at, however Spark orders the filters.
-        body = lines.select(F.when(F.col("line").isNull() | (F.col("line") > skip), F.col("value")).alias("value"))
-        body = body.where(F.trim("value") != "")
-        schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{BAD} string"])
-        rows = body.select(
-            F.from_csv("value", schema, {**options, "columnNameOfCorruptRecord": BAD}).alias("r")
-        ).select("r.*")
-    else:
-        reader = spark.read.options(**options)
-        if multi_line:
-            reader = reader.option("multiLine", True)
-        names = reader.csv(path, header=False, schema=None).limit(1).first()
-        if names is None:
-            raise ValueError(f"{path} is empty")
-        names = list(names)
+    out = None
+    for head, files in _headers(spark, path, skip or 1):
+        names = next(csv.reader([head], delimiter=sep))
         schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{BAD} string"])
-        rows = (
-            reader.option("header", True)
-            .option("enforceSchema", True)
-            .option("columnNameOfCorruptRecord", BAD)
-            .schema(schema)
-            .csv(path)
-        )
+        parsed = {**options, "columnNameOfCorruptRecord": BAD}
+        if skip and skip > 1:
+            lines = numbered_lines(spark, files)
+            # Lines above the body become null rather than filtered: what is read from them
+            # must never be looked at, however Spark orders the filters.
+            body = lines.select(F.when(F.col("line").isNull() | (F.col("line") > skip), F.col("value")).alias("value"))
+            rows = body.where(F.trim("value") != "").select(F.from_csv("value", schema, parsed).alias("r")).select("r.*")
+        else:
+            reader = spark.read.options(**parsed).option("header", True).option("enforceSchema", True)
+            rows = reader.option("multiLine", multi_line).schema(schema).csv(files)
+        rows = _named(rows, names, relax, skip_bad_lines)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def _named(rows: DataFrame, names: list[str], relax: bool, skip_bad_lines: bool) -> DataFrame:
+    """Cells under their names; what is to be done with bad and blank lines."""
     if skip_bad_lines:
         rows = rows.where(F.col(BAD).isNull())
     elif not relax:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rollcall.operators.merge import upsert_files
+from rollcall.operators.merge import read_files, upsert_files
 from rollcall.operators.timeline import entry_day
+from rollcall.session import materialize
 from rollcall.sources.stored import input_from_path, with_path
 
 
@@ -18,9 +19,11 @@ def stream_inputs(
     files_per_batch: int = 1000,
     from_path: bool = True,
     options: dict[str, str] | None = None,
+    file_time: str | None = None,
 ) -> DataFrame:
     """Rows of new files below ``path`` as they appear, with input and plugin ids
-    from the path.  ``files_per_batch`` bounds the work of one micro-batch."""
+    from the path.  ``files_per_batch`` bounds the work of one micro-batch.  ``file_time``
+    names a column for the time each row's file was written: an order for upserts."""
     rows = (
         spark.readStream.format(format)
         .schema(schema)
@@ -28,25 +31,34 @@ def stream_inputs(
         .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
     )
+    if file_time:
+        rows = rows.withColumn(file_time, F.col("_metadata.file_modification_time"))
     return input_from_path(with_path(rows)) if from_path else rows
 
 
-def stream_timeline_dedupe(rows: DataFrame, key: str = "id", ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Each entry id once within ``delay``; the state kept is bounded by it.  Copies that
-    come later than that are absorbed by the upsert downstream."""
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def stream_timeline_dedupe(rows: DataFrame, key: str = "id", delay: str = "1 day") -> DataFrame:
+    """Each entry id once among the rows that arrive within ``delay`` of each other; the
+    state kept is bounded by it.
+
+    The watermark is on the time of arrival, never on an entry's own time, so a backfill
+    of old entries loses none.  A copy that arrives later than ``delay`` comes through and is
+    absorbed by the upsert downstream.
+    """
+    arrived = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
 def stream_upsert(
     rows: DataFrame,
     path: str,
     checkpoint: str,
+    order: list[str],
     keys: list[str] = ("id",),
-    order: list[str] = ("ts",),
     partition: Column | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Every micro-batch written over the table at ``path``.
+    """Every micro-batch written over the table at ``path``.  ``order`` decides between rows
+    of one key in a batch (see ``file_time`` of :func:`stream_inputs`); a later batch wins.
 
     Only the partitions a batch falls in are rewritten.  A batch that is repeated
     after a failure gives the same table."""
@@ -63,34 +75,62 @@ def stream_upsert(
     )
 
 
-def daily_statistics(rows: DataFrame, kind: str = "entry_type_id", ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Records and (estimated) distinct people per day and type.  Exact distinct people
-    would need every person in the state; the batch statistics have them."""
-    return (
-        rows.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day"), kind)
-        .agg(F.count(F.lit(1)).alias("records"), F.approx_count_distinct("person_id").alias("people_estimate"))
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), kind, "records", "people_estimate")
+def recount_days(timeline: DataFrame, days: DataFrame, kind: str = "entry_type_id") -> DataFrame:
+    """Records and distinct people per day and type, of the ``days`` (column date) alone."""
+    bounds = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    if bounds["a"] is None:
+        return daily_statistics(timeline.limit(0), kind)
+    # The bounds reach the scan; the join leaves only the days themselves.
+    low, high = F.lit(bounds["a"]).cast("timestamp"), F.date_add(F.lit(bounds["b"]).cast("date"), 1).cast("timestamp")
+    dated = timeline.where((F.col("ts") >= low) & (F.col("ts") < high))
+    return daily_statistics(dated.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).join(days, "date", "left_semi"), kind)
+
+
+def daily_statistics(rows: DataFrame, kind: str = "entry_type_id") -> DataFrame:
+    """Records and distinct people per day and type."""
+    return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), kind).agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("person_id").alias("distinct_people")
     )
 
 
 def stream_statistics(
     rows: DataFrame,
+    timeline: str,
     path: str,
     checkpoint: str,
+    order: list[str],
     kind: str = "entry_type_id",
-    delay: str = "1 day",
+    keys: list[str] = ("id",),
+    partition: Column | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """:func:`daily_statistics` kept current at ``path``: one row per day and type."""
+    """Every micro-batch written over the timeline at ``timeline``, and the days it touched
+    counted again into ``path``: one row per day and type, exact whatever the order in which
+    entries arrive.
+
+    A day an entry is moved away from counts as touched.  Repeating a batch gives the same
+    tables."""
+    part = entry_day(keys[0]) if partition is None else partition
 
     def merge(batch: DataFrame, _: int) -> None:
-        upsert_files(path, batch, ["date", kind], None)
+        spark = batch.sparkSession
+        batch = materialize(batch, "batch")
+        day = F.date_format("ts", "yyyy-MM-dd").alias("date")
+        days = batch.select(day)
+        stored = read_files(spark, timeline)
+        if stored is not None:
+            days = days.unionByName(stored.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(day))
+        days = materialize(days.where("date is not null").distinct(), "days")
+        upsert_files(timeline, batch, list(keys), part, list(order))
+        counted = recount_days(spark.read.parquet(timeline), days, kind)
+        old = read_files(spark, path)
+        if old is not None:
+            # Types that a touched day no longer has go; other days stay as they are.
+            counted = old.join(days, "date", "left_anti").select(*counted.columns).unionByName(counted)
+        materialize(counted, "statistics").write.mode("overwrite").parquet(path)
 
     return (
-        daily_statistics(rows, kind, "ts", delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(merge)
+        rows.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

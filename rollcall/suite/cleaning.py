@@ -43,7 +43,7 @@ def _(t):
         "note": {"type": "text", "length": 8},
         "status": {"type": "enum", "values": ["F", "O"]},
     }
-    return plain(coerce(raw_orders(t).withColumnRenamed("o_orderstatus", "status"), schema))
+    return plain(coerce(raw_orders(t).withColumnRenamed("o_orderstatus", "status"), schema, policy="cut"))
 
 
 @case(
@@ -52,7 +52,7 @@ def _(t):
 )
 def _(t):
     names = t.part.select("p_partkey", *[F.col("p_name").alias(c) for c in ("cut", "kept", "checked")])
-    cut = coerce(names, {"cut": {"type": "text", "length": 6}})
+    cut = coerce(names, {"cut": {"type": "text", "length": 6}}, "cut")
     kept = coerce(cut, {"kept": {"type": "text", "length": 6}}, "keep")
     return coerce(kept, {"checked": {"type": "text", "length": 255}}, "fail")
 

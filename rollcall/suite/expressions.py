@@ -23,7 +23,7 @@ def _(t):
     return _select(
         t, "orders", "o_orderkey",
         mixed="round((o_totalprice + o_custkey / 2) * 2 - 1, 4)",
-        ratio="round(try_divide(o_totalprice, mod(o_custkey, 3)), 4)",
+        ratio="round(o_totalprice / mod(o_custkey, 3), 4)",
     )
 
 
@@ -72,7 +72,7 @@ def _(t):
 
 @case("x5_xor", "select event_id, (value > 50) <> (event_type = 'view') as one_of, (user_id > 70) <> (value > 20) as other from events")
 def _(t):
-    found = _select(t, "events", "event_id", one_of="(value > 50) xor (event_type = 'view')")
+    found = _select(t, "events", "event_id", one_of="value > 50 xor event_type = 'view'")
     other = t.events.select("event_id", xor(F.col("user_id") > 70, F.col("value") > 20).alias("other"))
     return found.join(other, "event_id")
 
@@ -165,7 +165,7 @@ def _(t):
     "x14_casts",
     """select o_orderkey, cast(cast(o_orderdate as date) as varchar) as day, cast(o_custkey as varchar) as text,
        try_cast(split_part(o_orderpriority, '-', 1) as bigint) as lead, try_cast(o_orderpriority as bigint) as nothing,
-       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') as stamp, try_cast(o_orderstatus as double) as number from orders""",
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') as stamp, strftime(o_orderdate, '%H:%M:%S') as clock, try_cast(o_orderstatus as double) as number from orders""",
 )
 def _(t):
     found = _select(
@@ -175,6 +175,7 @@ def _(t):
         lead="cast(substring_index(o_orderpriority, '-', 1) as signed)",
         nothing="cast(o_orderpriority as signed)",
         stamp="cast(cast(o_orderdate as char) as datetime)",
+        clock="cast(o_orderdate as time)",
     )
     return found.join(t.orders.select("o_orderkey", cast_as("o_orderstatus", "double").alias("number")), "o_orderkey")
 

@@ -209,7 +209,7 @@ def _(t):
     )
 
 
-@case("q14_fetch_by_id", "select event_id, user_id, event_type from events order by event_id limit 100")
+@case("q14_fetch_by_id", "select event_id, user_id, event_type from events")
 def _(t):
     return fetch_by_id(t.events, "event_id").select("event_id", "user_id", "event_type")
 

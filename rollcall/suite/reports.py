@@ -89,8 +89,8 @@ def _bucketed(t, days):
     "r3_adaptive_date_bucket",
     """select 'year' as bucket, year(o_orderdate)::varchar as dimension_name, o_orderstatus as status, count(*) as orders from orders group by 2, 3
        union all select 'month', cast(date_trunc('month', o_orderdate)::date as varchar), o_orderstatus, count(*) from orders group by 2, 3
-       union all (select 'week', cast(cast(o_orderdate as date) - cast(dayofweek(o_orderdate) as int) as varchar) as w, o_orderstatus as s, count(*) from orders group by 2, 3 order by w, s limit 1000)
-       union all (select 'day', cast(cast(o_orderdate as date) as varchar) as d, o_orderstatus as s, count(*) from orders group by 2, 3 order by d, s limit 1000)""",
+       union all select 'week', cast(cast(o_orderdate as date) - cast(dayofweek(o_orderdate) as int) as varchar), o_orderstatus, count(*) from orders group by 2, 3
+       union all select 'day', cast(cast(o_orderdate as date) as varchar), o_orderstatus, count(*) from orders group by 2, 3""",
 )
 def _(t):
     out = None

@@ -152,7 +152,7 @@ _PAGE = "(select * from customer order by c_custkey limit 100)"
     "b8_resource_query",
     f"""select 'customer' as type, c_custkey as id, c_name as name, c_acctbal as balance, n as orders, ids as order_ids from {_PAGE}
         left join (select o_custkey, count(*) as n, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as ids from
-          (select * from orders where o_custkey in (select c_custkey from {_PAGE}) order by o_orderkey limit 2500) group by 1) on o_custkey = c_custkey""",
+          (select * from orders where o_custkey in (select c_custkey from {_PAGE})) group by 1) on o_custkey = c_custkey""",
 )
 def _(t):
     data, _ = resource_query(
@@ -172,7 +172,7 @@ def _(t):
 @case(
     "b8_resource_included",
     f"""select 'order' as type, o_orderkey as id, o_orderstatus as status from orders
-        where o_custkey in (select c_custkey from {_PAGE}) order by o_orderkey limit 2500""",
+        where o_custkey in (select c_custkey from {_PAGE})""",
 )
 def _(t):
     _, included = resource_query(

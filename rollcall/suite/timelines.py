@@ -198,9 +198,12 @@ def _(t):
     path = scratch_path(t.spark, "timeline")
     # The timeline already holds the purchases, with a source code that is out of date.
     stored = rows.where("entry_type_id = 4").withColumn("source_code_id", F.lit(0).cast("bigint"))
-    tl.load_timeline_files(stored, path, "old")
-    tl.load_timeline_files(rows, path, "input-1")
-    tl.load_timeline_files(rows, path, "input-1")
+    # A file has an earlier version of every entry above its last one.
+    earlier = rows.withColumn("source_code_id", F.lit(-1).cast("bigint")).withColumn("line", F.lit(1))
+    file = earlier.unionByName(rows.withColumn("line", F.lit(2)))
+    tl.load_timeline_files(stored.withColumn("line", F.lit(1)), path, ["line"], "old")
+    tl.load_timeline_files(file, path, ["line"], "input-1")
+    tl.load_timeline_files(file, path, ["line"], "input-1")
     return plain(
         t.spark.read.parquet(path).groupBy("entry_type_id").agg(
             F.count(F.lit(1)).alias("records"),
@@ -217,7 +220,8 @@ def _(t):
 )
 def _(t):
     rows = entries(t)
-    made = tl.load_details(rows.where("value > 50"))
+    # The first file knows no props: the column comes with the second one.
+    made = tl.load_details(rows.where("value > 50").drop("props"))
     full = tl.load_details(rows, made)
     return full.groupBy("entry_type").agg(
         F.count(F.lit(1)).alias("records"), money("value").alias("total"), F.count_distinct("props").alias("props")
@@ -242,7 +246,7 @@ def _(t):
     # Three identified files; the second is delivered twice.
     files = rows.unionByName(rows.where("input_id = '1'"))
     columns = ["id", "ts", "person_id", "entry_type_id", "source_code_id", "input_id"]
-    timeline = tl.load_timeline(files, rows.select(*columns).limit(0))
+    timeline = tl.load_timeline(files, rows.select(*columns).limit(0), ["value"])
     details = tl.load_details(files).withColumnRenamed("id", "detail_id")
     both = timeline.join(details, F.col("id") == F.col("detail_id"), "left")
     return both.groupBy(F.col("input_id").cast("bigint").alias("file")).agg(
@@ -278,13 +282,16 @@ def _(t):
 
 
 def delivered_twice(t):
-    """Entries as files hold them after a repeated delivery: some ids occur twice."""
+    """Entries as files hold them after a second delivery: some ids occur twice, with another
+    type and person in the first one."""
     rows = t.events.select(
         F.col("event_id").alias("id"), "ts", F.col("user_id").alias("person_id"), F.col("event_type").alias("entry_type"),
         F.concat(F.lit("mail"), (F.col("user_id") % 60).cast("string"), F.lit(".org")).alias("email_domain"),
         (F.col("user_id") % 20).alias("source"),
     )
-    return rows.unionByName(rows.where("entry_type = 'view'"))
+    first = rows.where("entry_type = 'view'").withColumn("entry_type", F.lit("draft"))
+    first = first.withColumn("person_id", F.lit(-1).cast("bigint")).withColumn("delivery", F.lit(1))
+    return rows.withColumn("delivery", F.lit(2)).unionByName(first)
 
 
 @case(
@@ -292,12 +299,12 @@ def delivered_twice(t):
     f"select count(*) as records, count(distinct user_id) as distinct_people, strftime(min(ts), {_STAMP}) as min_ts, strftime(max(ts), {_STAMP}) as max_ts from events",
 )
 def _(t):
-    return plain(tl.stats_total(tl.once(delivered_twice(t))))
+    return plain(tl.stats_total(tl.once(delivered_twice(t), ["delivery"])))
 
 
 @case("l8_stats_by_type", "select event_type as entry_type, count(*) as records, count(distinct user_id) as distinct_people from events group by 1")
 def _(t):
-    return tl.stats_by_type(tl.once(delivered_twice(t)), "entry_type")
+    return tl.stats_by_type(tl.once(delivered_twice(t), ["delivery"]), "entry_type")
 
 
 _BY_DATE = "select strftime(ts, '%Y-%m-%d') as date, event_type as entry_type, count(*) as records, count(distinct user_id) as distinct_people from events group by 1, 2"
@@ -319,7 +326,7 @@ _DOMAIN = "'mail' || (user_id % 60) || '.org'"
         from events where {_DOMAIN} in (select d from big) group by 1, 2""",
 )
 def _(t):
-    return tl.stats_by_email_domain(tl.once(delivered_twice(t)), "entry_type")
+    return tl.stats_by_email_domain(tl.once(delivered_twice(t), ["delivery"]), "entry_type")
 
 
 @case(
@@ -330,7 +337,7 @@ def _(t):
         union all select 'by_email_domain', user_id % 20, null, event_type, {_DOMAIN}, count(*), count(distinct user_id) from events group by 2, 4, 5""",
 )
 def _(t):
-    stats = tl.input_statistics(delivered_twice(t), "source", "entry_type")
+    stats = tl.input_statistics(delivered_twice(t), ["delivery"], "source", "entry_type")
 
     def lined_up(name):
         rows = stats[name]

@@ -80,7 +80,7 @@ def test_coerce(spark):
         "n": {"type": "int", "nullable": False}, "d": "currency", "b": "boolean", "t": "date",
         "s": {"type": "text", "length": 3}, "e": {"type": "enum", "values": ["red"]},
     }
-    got = [tuple(r) for r in clean.coerce(df, schema).collect()]
+    got = [tuple(r) for r in clean.coerce(df, schema, "cut").collect()]
     assert got[0][0] == 1200 and str(got[0][1]) == "12.35" and got[0][2:] == (True, dt.date(2024, 1, 2), "abc", "red")
     assert got[1][0] == 0 and got[1][1] == 0 and got[1][2:] == (True, None, None, None)
     assert got[2] == (0, None, False, None, None, None)
@@ -211,7 +211,7 @@ def test_statistics(spark):
     data = [("a", "i1", 1, "x", "m.org", 1), ("a", "i1", 1, "x", "m.org", 1), ("a", "i2", 1, "y", "m.org", 2), ("b", "i1", 2, "x", "n.org", 1)]
     df = spark.createDataFrame(data, "source string, id string, person_id int, entry_type_id string, email_domain string, day int")
     df = df.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)))
-    stats = tl.input_statistics(df)
+    stats = tl.input_statistics(df, ["ts"])
     assert rows(stats["total"], "source", "records", "distinct_people") == [("a", 2, 1), ("b", 1, 1)]
     assert rows(stats["by_type_by_date"], "source", "date", "entry_type_id", "records") == [
         ("a", "2024-01-01", "x", 1), ("a", "2024-01-02", "y", 1), ("b", "2024-01-01", "x", 1),
@@ -228,7 +228,7 @@ def test_reload_and_new_file(spark):
 
     path = scratch_path(spark, "timeline")
     for n, expected in ((3, 3), (3, 3), (8, 8)):
-        tl.load_timeline_files(file(n), path, "in")
+        tl.load_timeline_files(file(n), path, ["ts"], "in")
         assert spark.read.parquet(path).count() == expected
     details = tl.load_details(file(3).withColumn("note", F.lit("x")))
     assert "ts" not in details.columns and tl.load_details(file(8).withColumn("note", F.lit("y")), details).count() == 8

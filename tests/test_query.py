@@ -23,40 +23,33 @@ def test_no_table(spark):
     assert run_query({"table": "dual", "columns": [{"eql": "1 + 1", "name": "two"}]}, {}).first().two == 2
 
 
-def test_joins_with_aliases(people):
+def test_one_table_under_two_names(spark):
+    flights = spark.createDataFrame([("F1", "OSL", "CDG"), ("F2", "CDG", "XXX")], "flight string, origin string, target string")
+    ports = spark.createDataFrame([("OSL", "Oslo"), ("CDG", "Paris")], "code string, city string")
     spec = {
-        "table": "person",
+        "table": "flights",
         "joins": [
-            {"table": "person_email", "join_eql": "person.id = person_email.person_id"},
-            {
-                "table": "person_email", "alias": "work", "type": "left",
-                "join_eql": "person.id = work.person_id and work.kind = 'Work'",
-            },
+            {"table": "ports", "alias": "here", "join_eql": "flights.origin = here.code"},
+            {"table": "ports", "alias": "there", "type": "left", "join_eql": "flights.target = there.code"},
         ],
-        "columns": [
-            {"eql": "person.id", "name": "id"},
-            {"eql": "count(person_email.email)", "name": "emails"},
-            {"eql": "max(work.email)", "name": "work"},
-        ],
-        "groupBy": [{"eql": "person.id"}],
-        "limit": 0,
+        "columns": [{"eql": "flights.flight", "name": "flight"}, {"eql": "here.city", "name": "start"}, {"eql": "there.city", "name": "stop"}],
     }
-    assert rows(run_query(spec, people)) == [(1, 2, "a@w.org"), (2, 1, None)]
+    assert rows(run_query(spec, {"flights": flights, "ports": ports})) == [("F1", "Oslo", "Paris"), ("F2", "Paris", None)]
 
 
-def test_subquery_levels(people):
-    level = "case when counted.emails > 1 then 'multi-email' else 'one-email' end"
+def test_aggregate_of_an_aggregate(spark):
+    readings = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 6.0), ("b", 1, 1.0), ("b", 1, 3.0)], "site string, day int, level double")
     spec = {
-        "table": "counted",
+        "table": "daily",
         "subquery": {
-            "table": "person_email",
-            "columns": [{"eql": "person_id", "name": "person_id"}, {"eql": "count(*)", "name": "emails"}],
-            "groupBy": [{"eql": "person_id"}],
+            "table": "readings",
+            "columns": ["site", {"eql": "max(level)", "name": "peak"}],
+            "groupBy": ["site", "day"],
         },
-        "columns": [{"eql": level, "name": "level"}, {"eql": "count(person_id)", "name": "people"}],
-        "groupBy": [{"eql": level}],
+        "columns": ["site", {"eql": "avg(peak)", "name": "usual_peak"}],
+        "groupBy": ["site"],
     }
-    assert rows(run_query(spec, people)) == [("multi-email", 1), ("one-email", 1)]
+    assert rows(run_query(spec, {"readings": readings})) == [("a", 5.0), ("b", 3.0)]
 
 
 def test_contains_is_literal(people):
