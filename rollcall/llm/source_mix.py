@@ -128,13 +128,14 @@ def mix(
     last = inside.withColumn("_sum", upto).where("_sum <= left").groupBy(*names).agg(F.max("_place").alias("last"))
     # Nothing of the end bucket may fit: then the cut is the bucket's own name, before all in it.
     cuts = leaves.join(ends, names, "left").join(last, names, "left")
-    cuts = materialize(cuts.select(*names, "whole", F.coalesce("last", "_bucket").alias("cut")), "cuts")
+    cuts = cuts.select(*names, F.col("whole").alias("_whole"), F.coalesce("last", "_bucket").alias("_cut"))
+    cuts = materialize(cuts, "cuts")
 
     chosen = docs.withColumns(clean).join(cuts, names)
-    extra = F.when(_order(seed, F.col("whole"), F.col(doc_id)) <= F.col("cut"), 1).otherwise(0)
-    times = F.col("whole") + F.when(F.col("cut").isNull(), 0).otherwise(extra)
+    extra = F.when(_order(seed, F.col("_whole"), F.col(doc_id)) <= F.col("_cut"), 1).otherwise(0)
+    times = F.col("_whole") + F.when(F.col("_cut").isNull(), 0).otherwise(extra)
     chosen = chosen.withColumn("_times", times).where("_times > 0")
-    return chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop(*names, "whole", "cut", "_times")
+    return chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop(*names, "_whole", "_cut", "_times")
 
 
 # Weights of the corpus query.  The tables have no domain, so sources are put in three.
