@@ -8,7 +8,7 @@ import xxhash
 MIX_1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX_2 = np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 class WordHashes(dict):

@@ -21,7 +21,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Words in each of a cache's two generations.
-CACHED_WORDS = 450_000
+CACHED_WORDS = 280_000
 LONGEST_CACHED = 48
 # First and last character of a word: visible ASCII, letters and digits of any script.
 PLAIN = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.DOTALL)
