@@ -67,22 +67,22 @@ def melt(df: DataFrame) -> DataFrame:
     return df.select(F.inline(cells))
 
 
-def _with_classes(cells: DataFrame) -> DataFrame:
-    value = F.col("value")
-    number = F.when(value.rlike(NUMERIC), F.trim(value).try_cast("double"))
-    instant = F.when(value.rlike(ISO_DATE), F.translate(value, ",", ".").try_cast("timestamp"))
-    return (
-        cells.withColumn("_number", number)
-        .withColumn("_instant", instant)
-        .withColumn("_uuid", value.rlike(UUID))
-        .withColumn("_whole", (F.col("_number") == F.floor("_number")) & (F.abs("_number") < 2.0**63))
-        .withColumn("_midnight", F.col("_instant") == F.date_trunc("day", "_instant"))
-    )
+def _number(value: Column) -> Column:
+    return F.when(value.rlike(NUMERIC), F.trim(value).try_cast("double"))
 
 
-def _all(test: Column) -> Column:
-    """Whether every value passes (nulls are left out, so no values is null)."""
-    return F.bool_and(F.when(F.col("value").isNotNull(), F.coalesce(test, F.lit(False))))
+def _class_tests(value: Column) -> dict[str, Column]:
+    """What a text is, by the name of the aggregate over a column."""
+    number, instant = _number(value), F.when(value.rlike(ISO_DATE), F.translate(value, ",", ".").try_cast("timestamp"))
+    tests = {
+        "_all_uuid": value.rlike(UUID),
+        "_all_midnight": instant == F.date_trunc("day", instant),
+        "_all_instant": instant.isNotNull(),
+        "_all_whole": (number == F.floor(number)) & (F.abs(number) < 2.0**63),
+        "_all_number": number.isNotNull(),
+    }
+    # Nulls are left out, so a column without values has nulls here.
+    return {name: F.bool_and(F.when(value.isNotNull(), F.coalesce(test, F.lit(False)))) for name, test in tests.items()}
 
 
 def _type(hints: dict[str, str] | None) -> Column:
@@ -100,28 +100,19 @@ def _type(hints: dict[str, str] | None) -> Column:
     )
 
 
-_CLASS_TESTS = {
-    "_all_uuid": lambda: F.col("_uuid"),
-    "_all_midnight": lambda: F.col("_midnight"),
-    "_all_instant": lambda: F.col("_instant").isNotNull(),
-    "_all_whole": lambda: F.col("_whole"),
-    "_all_number": lambda: F.col("_number").isNotNull(),
-}
-
-
 def infer_types(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
     """(position, name, type) per column.
 
     All values UUIDs, else all ISO dates at midnight, else all ISO timestamps,
     else all whole numbers, else all numbers (decimal where hinted), else string.
     """
-    tests = [_all(test()).alias(name) for name, test in _CLASS_TESTS.items()]
-    return (
-        _with_classes(melt(df))
-        .groupBy("position", "name")
-        .agg(*tests)
-        .select("position", "name", _type(hints).alias("type"))
-    )
+    results = []
+    for i, column in enumerate(df.columns):
+        tests = [test.alias(name) for name, test in _class_tests(F.col(f"`{column}`").cast("string")).items()]
+        results.append(F.struct(F.lit(i).alias("position"), F.lit(column).alias("name"), *tests))
+    # One wide aggregate: all that is shuffled is a row per task.
+    found = df.agg(F.array(*results).alias("_columns")).select(F.inline("_columns"))
+    return found.select("position", "name", _type(hints).alias("type"))
 
 
 def profile(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
@@ -133,11 +124,11 @@ def profile(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
     frequent values, ties in text order.
     """
     counts = melt(df).groupBy("position", "name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    classed = _with_classes(counts)
     value = F.col("value")
+    classed = counts.withColumn("_number", _number(value))
     by_number = F.when(F.col("_number").isNotNull(), F.struct("_number", "value"))
     stats = classed.groupBy("position", "name").agg(
-        *[_all(test()).alias(name) for name, test in _CLASS_TESTS.items()],
+        *[test.alias(name) for name, test in _class_tests(value).items()],
         F.sum("_n").alias("records"),
         F.sum(F.when(value.isNull(), F.col("_n")).otherwise(0)).alias("empty"),
         F.count("value").alias("distinct"),

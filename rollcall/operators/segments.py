@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.functions.expressions import expression
-from rollcall.operators.merge import insert_ignore, new_rows
+from rollcall.operators.merge import new_rows
 from rollcall.operators.resources import CHUNK_ROWS, nest
 from rollcall.plans.query import run_query
 from rollcall.session import materialize
@@ -55,9 +55,11 @@ def segment_count(members: DataFrame) -> DataFrame:
 def build_segment(segment_id: str, people: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(member table with this segment's people added once, its member count)."""
     rows = people.select(F.lit(segment_id).alias("segment_id"), "person_id")
-    keys = ["segment_id", "person_id"]
-    table = rows.distinct() if members is None else insert_ignore(members, rows, keys)
-    counted = table.where(F.col("segment_id") == segment_id).agg(
+    # Only this segment's members are read; partitioned by segment_id, only its folder.
+    known = rows.limit(0) if members is None else members.where(F.col("segment_id") == segment_id)
+    added = rows.distinct().join(known.select("person_id"), "person_id", "left_anti").select("segment_id", "person_id")
+    table = added if members is None else members.unionByName(added, allowMissingColumns=True)
+    counted = known.select("person_id").unionByName(added.select("person_id")).agg(
         F.lit(segment_id).alias("segment_id"), F.count("person_id").alias("people")
     )
     return table, counted

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from rollcall.functions.text import clean_column_name, email_domain
 from rollcall.operators.clean import whole_cast
 from rollcall.operators.profile import infer_types
+from rollcall.session import materialize
 from rollcall.sources.delimited import write_delimited
 
 # Columns every identified file starts with, and their types.
@@ -91,6 +92,7 @@ def identified_columns(df: DataFrame, hints: dict[str, str] | None = None) -> Da
 def write_identified(df: DataFrame, path: str, hints: dict[str, str] | None = None) -> Written:
     """Gzipped Parquet with a bloom filter on ``ts``; returns records and time range."""
     spark = df.sparkSession
+    df = materialize(df, "identified")  # read for its types and again for the file
     identified_columns(df, hints).write.option("compression", "gzip").option(
         "parquet.bloom.filter.enabled#ts", "true"
     ).parquet(path)
@@ -104,7 +106,8 @@ def write_identified_csv(df: DataFrame, path: str, original: list[str]) -> Writt
     drop = {"identifiers", "input_id", *(h for h in HASHES if h not in original)}
     first = [c for c in IDENTIFIED if c in df.columns]
     rest = [c for c in df.columns if c not in drop and c not in first]
+    seen = Observation()
     rows = df.select(*first, *[f"`{c}`" for c in rest])
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("records"), F.min("ts").alias("low"), F.max("ts").alias("high"))
     write_delimited(rows, path, gzip=True)
-    found = rows.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
-    return Written(path, *found)
+    return Written(path, seen.get["records"], seen.get["low"], seen.get["high"])
