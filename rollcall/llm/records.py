@@ -125,24 +125,26 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def scan_records(spark: SparkSession, path: str) -> DataFrame:
+def scan_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Every record read back and checked: path, position in the file (record), offset,
-    length, doc_id, ids before it in the file (file_start), n_tokens, ids (little-endian
-    unsigned 32-bit) and their ids_crc32.  An empty folder gives no rows; damage raises."""
+    length, doc_id, ids before it in the file (file_start), n_tokens, the ids_crc32 of its ids
+    as little-endian unsigned 32-bit numbers, and those ids if they are asked for.  An empty
+    folder gives no rows; damage raises."""
     schema = (
         "path string, record bigint, offset bigint, length bigint, doc_id bigint, file_start bigint, "
-        "n_tokens bigint, ids binary, ids_crc32 bigint"
+        "n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     )
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, before = [], 0
+                rows, before, file = [], 0, name.as_py()
                 for record, (at, length, payload) in enumerate(frames_in(memoryview(content.as_buffer()))):
                     doc, ids = record_of(payload)
                     data = ids.astype("<u4").tobytes()
-                    rows.append((name.as_py(), record, at, length, doc, before, len(ids), data, zlib.crc32(data)))
+                    row = (file, record, at, length, doc, before, len(ids), zlib.crc32(data))
+                    rows.append((*row, data) if with_ids else row)
                     before += len(ids)
                     if len(rows) == 512:
                         yield _batch(rows, names)
@@ -161,7 +163,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def write_index(spark: SparkSession, path: str, index: str) -> None:
     """The offset index of the files in ``path``: one row per record, as Parquet."""
-    scan_records(spark, path).select("path", "record", "offset", "length", "doc_id", "n_tokens").write.parquet(index)
+    scan_records(spark, path, with_ids=False).select("path", "record", "offset", "length", "doc_id", "n_tokens").write.parquet(index)
 
 
 def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     The running count inside a file comes from reading it; the files' own starts are summed
     over one row per file.
     """
-    found = scan_records(spark, path).select("path", "doc_id", "file_start", "n_tokens", "ids_crc32")
+    found = scan_records(spark, path, with_ids=False).select("path", "doc_id", "file_start", "n_tokens", "ids_crc32")
     found = found.withColumn("_file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
     totals = found.groupBy("_file").agg(F.sum("n_tokens").alias("_tokens"))
     before = F.coalesce(F.sum("_tokens").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -25,8 +25,8 @@ CACHED_WORDS = 280_000
 LONGEST_CACHED = 48
 # First and last character of a word: visible ASCII, letters and digits of any script.
 PLAIN = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.DOTALL)
-# Letters of one piece whatever the tokenizer's pattern, and marks that are another piece.
-LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
+# Letters up to this one are Latin: a run of them is one piece whatever the tokenizer's pattern.
+LAST_LETTER = "ɏ"
 
 
 def byte_letters() -> dict[int, str]:
@@ -92,18 +92,18 @@ class TextEncoder:
         return data.tobytes()
 
     def _word(self, word: str, known: _Words) -> bytes:
-        plain = LETTERS.fullmatch(word)
-        if not plain:
-            if not PLAIN.fullmatch(word):
-                raise _Odd
-            return self._library(known.before + word)
-        if plain[2]:
-            return known[plain[1]] + self.marks[plain[2]]
-        letters = word.lower() if self.lowers else word
-        piece = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
-        if known.before:
-            piece = self.space + piece
-        return self._bytes([t.id for t in self.model.tokenize(piece)])
+        if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER):
+            letters = word.lower() if self.lowers else word
+            piece = letters if word.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if known.before:
+                piece = self.space + piece
+            return self._bytes([t.id for t in self.model.tokenize(piece)])
+        mark = self.marks.get(word[-1:])
+        if mark and word[:-1].isalpha():
+            return known[word[:-1]] + mark
+        if not PLAIN.fullmatch(word):
+            raise _Odd
+        return self._library(known.before + word)
 
     def encode(self, text: str | None) -> bytes:
         """A null text counts as empty and has no ids."""
