@@ -47,6 +47,30 @@ def test_kneser_ney_sums_to_one(spark, prose):
     assert np.abs(sums - 1).max() < 1e-3
 
 
+def test_quality_grows_with_the_vocabulary_and_sees_salad(spark):
+    draw = random.Random(8)
+    letters = [chr(c) for c in range(0x430, 0x450)]
+    lexicon = ["".join(draw.choices(letters, k=draw.randint(4, 9))) for _ in range(400)]
+    after = {w: draw.sample(lexicon, 3) for w in lexicon}  # three words may follow each
+
+    def prose_of(n):
+        out = [draw.choice(lexicon)]
+        while len(out) < n:
+            out.append(draw.choice(after[out[-1]]))
+        return " ".join(out)
+
+    rows = [(k, prose_of(150)) for k in range(300)]
+    rows += [(1000 + k, " ".join(draw.choices(lexicon, k=150))) for k in range(20)]
+    rows += [(2000 + k, " ".join("".join(draw.choices(letters, k=6)) for _ in range(150))) for k in range(20)]
+    docs = spark.createDataFrame([(*r, "ru") for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(200)], "doc_id long, quality int")
+    model = quality_kn.quality_model(docs, labels)
+    accepted = {r.doc_id: r.accepted for r in model.judged().collect()}
+    assert sum(accepted[k] for k in range(300)) >= 295
+    assert not any(accepted[k] for k in accepted if k >= 1000)
+    assert model.model.words.count() > 2 * 1600  # words, pairs and triples of both halves, without a limit
+
+
 def test_quality_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (6, 1), (2, 0), (None, 1)], "doc_id long, quality int")
     model = quality_kn.quality_model(odd_docs, labels)
