@@ -241,7 +241,7 @@ def _candidates(registers: int, rows: int, percent: int):
     return run
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, **options) -> DataFrame:
     """``docs`` without the documents that are near copies of another, smaller id."""
-    linked = link_documents(docs, doc_id, text, **options).where(~F.col("kept")).select(F.col("doc_id").alias(doc_id))
+    linked = link_documents(docs, doc_id, text, percent=percent, **options).where(~F.col("kept")).select(F.col("doc_id").alias(doc_id))
     return docs.join(linked.distinct(), doc_id, "left_anti")

@@ -32,3 +32,20 @@ def test_registered(spark):
 @pytest.mark.parametrize("name", ["op5_hierarchical_mix", "op6_nra_topk"])
 def test_sql_agrees(spark, name):
     assert compare(entry.queries()[name](spark, SMALL), connect(SMALL), entry.oracle_sql()[name]) in (None, "empty")
+
+
+def test_near_copies_of_four_fifths_go(spark, prose):
+    from test_documents import brute_components
+
+    rows = []
+    for k in range(10):
+        words = prose(200, 300 + k).split()
+        rows.append((2 * k, " ".join(words)))
+        for at in (30, 80, 130, 180)[: 2 + k % 3]:  # five shingles each: 186/206, 181/211 and 176/216
+            words[at] = f"other{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, SMALL).collect()}
+    want = brute_components(rows, 80)
+    assert want != brute_components(rows, 85)
+    assert kept == {d for d, c in want.items() if d == c}
