@@ -9,6 +9,10 @@ rows and the recall asked for, by one rule for every size:
 
     a substring of s bits is shared at cosine c with probability (1 - acos(c) / pi) ** s
 
+Signs are taken around the mean, where the angle is larger: two unit vectors of cosine c
+at a squared distance d from the mean have a cosine of 1 - (1 - c) / d there.  The sample's distances
+say how many tables that asks for; if they are too many, signs are of the vectors as they are.
+
 Vectors with the same components are one class and are compared once.  A bucket of any
 size is cut into cells (``cells.split_groups``), a pair counts only in the first table it
 shares, and a cell gives counts and a spanning forest, never its pairs.
@@ -30,22 +34,28 @@ from rollcall.session import materialize
 
 SAMPLE = 8192
 CELL = 768
+# Signs are not taken around the mean if that asks for more tables than this.
+MOST_TABLES = 256
 
 
-def table_shape(rows: int, cosine: float, recall: float) -> tuple[int, int]:
-    """(bits of a substring, number of tables) for so many vectors."""
+def table_shape(rows: int, cosine: float, recall: float, spread: np.ndarray) -> tuple[int, int]:
+    """(bits of a substring, number of tables) for so many vectors, ``spread`` being squared
+    distances of unit vectors from the point that signs are taken around."""
     bits = min(24, max(8, round(math.log2(max(rows, 2))) - 4))
-    shared = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - shared))
+    near = np.clip(1 - (1 - cosine) / np.maximum(spread, 1e-12), -1, 1)
+    missed = 1 - (1 - np.arccos(near) / math.pi) ** bits
+    tables = 1
+    while tables <= MOST_TABLES and (missed**tables).mean() > 1 - recall:
+        tables += 1
+    return bits, tables
 
 
-def learn_rotations(sample: np.ndarray, blocks: int, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): ``sign((x - mean) @ matrix)`` is the code of a unit vector x.
+def learn_rotations(sample: np.ndarray, mean: np.ndarray, blocks: int, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """The matrix that makes ``sign((x - mean) @ matrix)`` the code of a unit vector x.
 
     Each block is iterative quantisation from its own random start: signs of the rotated
     components, then the rotation that brings the components closest to the signs.
     """
-    mean = sample.mean(axis=0)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     parts = centred @ axes
@@ -58,7 +68,7 @@ def learn_rotations(sample: np.ndarray, blocks: int, rounds: int = 30, seed: int
             left, _, right = np.linalg.svd(signs.T @ parts)
             rotation = (left @ right).T
         found.append(axes @ rotation)
-    return mean, np.concatenate(found, axis=1)
+    return np.concatenate(found, axis=1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -109,10 +119,15 @@ def link_vectors(
         )
     dims, rows = common["dims"], common["count"]
     valid = valid.where(F.length("vec") == dims * 8)
-    bits, tables = table_shape(rows, cosine, recall)
     some = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(rows / sample))) == 0).select("vec").limit(2 * sample)
     seen = [np.frombuffer(r["vec"], "<f8") for r in some.collect()] or [np.ones(dims)]
-    mean, matrix = learn_rotations(unit(np.stack(seen)), math.ceil(bits * tables / dims))
+    seen = unit(np.stack(seen))
+    mean = seen.mean(axis=0)
+    bits, tables = table_shape(rows, cosine, recall, ((seen - mean) ** 2).sum(axis=1))
+    if tables > MOST_TABLES:
+        mean = np.zeros(dims)
+        bits, tables = table_shape(rows, cosine, recall, np.ones(1))
+    matrix = learn_rotations(seen, mean, math.ceil(bits * tables / dims))
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,36 @@ def test_links_equal_brute_force(vectors, cell):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("common", [0.8, 0.97])
+def test_links_around_a_large_mean(spark, common):
+    draw = np.random.default_rng(6)
+    mean = np.zeros(32)
+    mean[0] = np.sqrt(common)
+
+    def at(direction):
+        direction[:, 0] = 0
+        return mean + np.sqrt(1 - common) * direction / np.linalg.norm(direction, axis=1, keepdims=True)
+
+    a = draw.standard_normal((2500, 32))
+    a[:, 0] = 0
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    cosine = 1 - (1 - 0.953) / (1 - common)  # within the rest, for 0.953 as a whole
+    v = draw.standard_normal((2500, 32))
+    v[:, 0] = 0
+    v -= (v * a).sum(1, keepdims=True) * a
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.float32(np.concatenate([at(a), at(cosine * a + np.sqrt(1 - cosine**2) * v)])).astype(np.float64)
+    if common > 0.9:
+        x = x[:1000]  # nearly all of them are links
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    links = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df).collect()}
+    assert all(links[k] <= n for k, n in enumerate(close.sum(1)))
+    assert sum(links.values()) >= 0.985 * close.sum() > 0
+
+
 def test_links_odd(odd, spark):
     rows = embedding_dedup.link_vectors(odd).collect()
     assert len(rows) == odd.count()
