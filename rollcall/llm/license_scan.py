@@ -5,7 +5,8 @@ positions of that 2-gram in the templates.  A match is a vote for the diagonal
 ``document position - template position``: a copy of a template puts its votes on one
 diagonal, a copy with words put in or left out on a few neighbouring ones.  Votes are
 counted per diagonal, diagonals close to each other are merged, and the merged spans are
-verified against the share of the template they hold.
+verified: of their votes the longest chain that goes forward in both document and template
+must hold enough of the template, each place of it once, and not be stretched over many words more.
 
 The templates are a parameter; up to a checked number of 2-grams they are broadcast, and
 the documents are not shuffled, only votes are.
@@ -37,7 +38,10 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 3
 # Templates are broadcast up to this many 2-grams; more than that take an ordinary join.
 BROADCAST_GRAMS = 200_000
-LEAST_SHARE = 0.5
+# Common phrases ("is subject to the terms of the") make half of a short notice.
+LEAST_SHARE = 0.6
+# A chain may be so many times as long as its template.
+MOST_STRETCH = 1.5
 
 
 def words_of(text: Column) -> Column:
@@ -62,6 +66,24 @@ def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[s
     return F.broadcast(grams) if len(rows) <= BROADCAST_GRAMS else grams
 
 
+def longest_chain(votes: Column) -> Column:
+    """(n, t, first, last) of the longest chain of votes (d, back) that rises in d and in t = -back.
+
+    ``chains`` holds, for each length, the chain that ends at the least place of the template.
+    Votes come in the order of the document, those of one word from the last place to the first.
+    """
+    none = F.array().cast("array<struct<n:int,t:int,first:int,last:int>>")
+
+    def longer(chains: Column, vote: Column) -> Column:
+        t = -vote["back"]
+        n = F.size(F.filter(chains, lambda c: c["t"] < t))
+        first = F.when(n > 0, F.get(chains, n - 1)["first"]).otherwise(vote["d"])
+        now = F.struct((n + 1).alias("n"), t.alias("t"), first.alias("first"), vote["d"].alias("last"))
+        return F.concat(F.slice(chains, F.lit(1), n), F.array(now), F.slice(chains, n + 2, F.size(chains)))
+
+    return F.aggregate(F.array_sort(votes), none, longer, lambda chains: F.element_at(chains, -1))
+
+
 def spans(
     docs: DataFrame,
     key: list[str],
@@ -74,8 +96,8 @@ def spans(
     """Verified spans: key columns, label, phrase (whether it is a phrase's place),
     first_word, last_word and share of the template found.
 
-    A phrase is one exact diagonal with all its 2-grams.  A notice is a span of merged
-    diagonals with at least ``least_share`` of its 2-grams.  Rows with equal keys must have
+    A phrase is one exact diagonal with all its 2-grams.  A notice is a chain in merged
+    diagonals with at least ``least_share`` of its 2-grams, in their order.  Rows with equal keys must have
     equal texts; they give their spans once.  Texts that are null, empty or of one word
     have no 2-grams and give no span.
     """
@@ -95,23 +117,25 @@ def spans(
         *key, "template", "label", "phrase", "n_grams", "d_pos", (F.col("d_pos") - F.col("t_pos")).alias("diagonal")
     )
     group = [*key, "template", "label", "phrase", "n_grams"]
-    diagonals = votes.groupBy(*group, "diagonal").agg(F.collect_set("d_pos").alias("at"))
+    places = F.transform(F.collect_set("d_pos"), lambda d: F.struct(d.alias("d"), (F.col("diagonal") - d).alias("back")))
+    diagonals = votes.groupBy(*group, "diagonal").agg(places.alias("at"))
     beside = Window.partitionBy(*group).orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(beside) > F.when(F.col("phrase"), 0).otherwise(gap)
-    share = F.least(F.lit(1.0), F.size("at") / F.col("n_grams"))
     return (
         diagonals.withColumn("_new", apart.cast("int"))
         .withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(beside))
         .groupBy(*group, "_run")
         .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-        .withColumn("share", share)
+        .withColumn("at", longest_chain(F.col("at")))
+        .withColumn("share", F.col("at.n") / F.col("n_grams"))
         .where(F.col("share") >= F.when(F.col("phrase"), 1.0).otherwise(least_share))
+        .where(F.col("at.last") - F.col("at.first") + 2 <= MOST_STRETCH * (F.col("n_grams") + 1))
         .select(
             *key,
             "label",
             "phrase",
-            F.array_min("at").cast("bigint").alias("first_word"),
-            (F.array_max("at") + 1).cast("bigint").alias("last_word"),
+            F.col("at.first").cast("bigint").alias("first_word"),
+            (F.col("at.last") + 1).cast("bigint").alias("last_word"),
             "share",
         )
     )

@@ -256,6 +256,24 @@ def test_license_notice_with_gaps(spark):
     assert (span.first_word, span.last_word) == (2, len(text.split()) - 2)
 
 
+def test_license_needs_places_in_order(spark, prose):
+    mpl, bsd = license_scan.NOTICES["mpl"].split(), license_scan.NOTICES["bsd"].split()
+    texts = {
+        1: "this agreement is subject to the terms of the laws of the state",
+        2: "is subject to the terms of the of the of the of the of the",
+        3: "the lease is subject to the terms of the public license",
+        4: " ".join(["x", *mpl, "y"]),
+        5: f"{prose(50, 5)} {' '.join(bsd)} {prose(9, 6)} {' '.join(bsd)}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_labels(docs).collect()}
+    assert all(got[k].labels == "" and got[k].score == 0 for k in (1, 2, 3))
+    assert (got[4].labels, got[4].score, got[5].labels, got[5].score) == ("mpl", 1.0, "bsd", 1.0)
+    assert {(r.doc_id, r.first_word, r.last_word) for r in license_scan.spans(docs, ["doc_id"]).collect()} == {
+        (4, 1, 14), (5, 50, 70), (5, 80, 100),
+    }
+
+
 # --- 8 packing and 9 records ----------------------------------------------------------------
 
 
