@@ -159,6 +159,17 @@ def test_passages_are_cut_once(spark, prose):
         assert got[k].text == texts[k].replace(passage + " ", "")
 
 
+def test_passages_behind_a_common_line(spark, prose):
+    line = prose(40, 900)
+    rows = [(0, f"{prose(60, 901)} {line} {prose(60, 902)}")]
+    for k in range(8):
+        own = f"{prose(10, 910 + k)} {line} {prose(10, 930 + k)}"
+        rows += [(n, f"{prose(40, 950 + n)} {own} {prose(40, 990 + n)}") for n in (2 * k + 1, 2 * k + 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substring_dedup.drop_repeats(docs).collect()}
+    assert all(got[n] == (60 if n and n % 2 == 0 else 0) for n in got)
+
+
 def test_passages_odd(odd_docs, no_docs):
     got = substring_dedup.drop_repeats(odd_docs)
     assert got.count() == odd_docs.count() and got.columns.count("removed_words") == 1
