@@ -159,6 +159,31 @@ def test_passages_are_cut_once(spark, prose):
         assert got[k].text == texts[k].replace(passage + " ", "")
 
 
+def test_near_copies_of_passages_go(spark, prose):
+    rows = []
+    for k in range(12):
+        words = prose(180, 500 + k).split()
+        edited = list(words)
+        edited[90] = "changed"
+        if k % 2:
+            edited[45:45], edited[140:141] = ["put", "in"], []
+        rows += [(2 * k, f"{prose(30, 700 + k)} {' '.join(words)}"), (2 * k + 1, f"{' '.join(edited)} {prose(30, 800 + k)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substring_dedup.drop_repeats(docs).collect()}
+    assert all(got[2 * k] == 0 for k in range(12))
+    assert all(got[2 * k + 1] == (181 if k % 2 else 180) for k in range(12))
+
+
+def test_similar_passages_of_a_pair():
+    a = [b"w%d" % k for k in range(90)]
+    b = [b"x", *a[:44], b"y", *a[45:], b"z"]
+    assert substring_dedup.shared_spans(a, b, [(5, 6)], 16, 5, 0.8) == [(0, 90)]
+    far = [w if k % 6 else b"e%d" % k for k, w in enumerate(a)]  # an edit every six words is no copy
+    far[5:21] = a[5:21]
+    (low, high), = substring_dedup.shared_spans(a, far, [(5, 5)], 16, 5, 0.8)
+    assert high - low < 50
+
+
 def test_passages_behind_a_common_line(spark, prose):
     line = prose(40, 900)
     rows = [(0, f"{prose(60, 901)} {line} {prose(60, 902)}")]
