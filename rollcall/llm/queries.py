@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import embedding_dedup, exact_topk, language_mixture, license_scan, near_dedup, packing, quality_kn, records, source_mix, substring_dedup
+from rollcall.llm import embedding_dedup, exact_topk, filter_audit, language_mixture, license_scan, near_dedup, packing, quality_kn, records, source_mix, substring_dedup, token_alignment, url_filter
 from rollcall.llm.shipping import ship
 from rollcall.session import scratch_path
 from rollcall.tables import Tables
@@ -156,3 +156,67 @@ def op4(t: Tables) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     found = language_mixture.identify(docs, docs.where(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@case("op11_token_alignment")
+def op11(t: Tables) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.aligned_counts(t.documents, a, b)
+
+
+@case(
+    "op12_filter_audit",
+    r"""
+    with texts as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+        from documents
+    ), firsts as (
+        select text, min(doc_id) as first_id from texts group by text
+    ), said as (
+        select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+    ), bits as (
+        select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+               (case when len(words) < 100 then 1 else 0 end)
+               + (case when 100 * len(list_distinct(words)) < 80 * len(words) then 2 else 0 end)
+               + (case when 100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 10 * length(t.text) then 4 else 0 end)
+               + (case when regexp_matches(t.text, '[#$%&*|]') then 8 else 0 end)
+               + (case when t.doc_id > first_id then 16 else 0 end) as mask
+        from texts t join firsts f on f.text = t.text left join said on said.doc_id = t.doc_id
+    ), cells as (
+        select part, mask, count(*) as n, count_if(good) as good, count_if(toxic) as toxic from bits group by part, mask
+    ), letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders as (
+        select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order,
+               [a.bit, b.bit, c.bit, d.bit, e.bit] as taken
+        from letters a, letters b, letters c, letters d, letters e
+        where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ), steps as (
+        select filter_order, cast(k as integer) as step, taken[k] as bit,
+               cast(coalesce(list_sum(taken[1:k - 1]), 0) as integer) as before
+        from orders, (select unnest(range(1, 6)) as k)
+    ), counted as (
+        select part, filter_order, step, bit,
+               sum(case when mask & (before | bit) = 0 then n else 0 end) as kept,
+               sum(case when mask & before = 0 and mask & bit <> 0 then n else 0 end) as removed,
+               sum(case when mask & before <> 0 and mask & bit <> 0 then n else 0 end) as redundant,
+               sum(case when mask = bit then n else 0 end) as unique_fails,
+               sum(case when mask & before = 0 and mask & bit <> 0 then good else 0 end) as good_lost,
+               sum(case when mask & before = 0 and mask & bit <> 0 then toxic else 0 end) as toxic_lost
+        from cells, steps group by part, filter_order, step, bit
+    )
+    select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+           cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+           cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+           cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+    from counted
+    """,
+)
+def op12(t: Tables) -> DataFrame:
+    return filter_audit.audit(t.documents, t.labels)
+
+
+@case("op13_url_filter")
+def op13(t: Tables) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(t.spark))
+    return url_filter.judge(t.pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "score")
