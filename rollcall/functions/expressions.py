@@ -9,6 +9,7 @@ inlines, like views) for names whose meaning differs.
 from __future__ import annotations
 
 import re
+from functools import wraps
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -54,6 +55,7 @@ SQL_FUNCTIONS = [
     r" else true end)"
     r" and (contains(terms, '+') or not exists(split(terms, ' +'), t -> not startswith(t, '-'))"
     r" or arrays_overlap(split(lower(x), '[^\\p{L}\\p{N}_]+'), split(lower(terms), ' +')))",
+    "xor(a boolean, b boolean) returns boolean return a <> b",
     "rollcall_time(x string) returns string return date_format(try_cast(x as timestamp), 'HH:mm:ss')",
     "rollcall_plus(x timestamp, span interval) returns timestamp return x + span",
     "rollcall_minus(x timestamp, span interval) returns timestamp return x - span",
@@ -99,10 +101,13 @@ def _respell(found: re.Match) -> str:
     return FUNCTION_NAMES[found["name"].lower()] + "("
 
 
-_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|\[[A-Za-z_][^\]]*\]""")
-_NAME = re.compile(r"\s*-?\s*[\w.\x00]+\s*")
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|\[[A-Za-z_][^\]]*\]|/\*.*?\*/|--[^\n]*""", re.DOTALL)
+_INNERMOST = re.compile(r"(?P<cast>\bcast\s*)?\((?P<inside>[^()]*)\)", re.IGNORECASE)
 _TIME = re.compile(r"(.*)\bas\s+time\s*", re.IGNORECASE | re.DOTALL)
-_WORDS = "null|true|false|exists|case|in|between|like|rlike|regexp_like|cast"
+# What ends a side of xor, which binds looser than ``and`` and tighter than ``or``.
+_SIDES = re.compile(r"(,|\|\||\b(?:or|case|when|then|else|end|as|distinct)\b)", re.IGNORECASE)
+_XOR = re.compile(r"\bxor\b", re.IGNORECASE)
+_WORDS = "null|true|false|exists|case|in|between|like|rlike|regexp_like|cast|xor"
 _DENIED = re.compile(
     rf"(?<!\bis )(?:\bnot\s+|!(?!=)\s*)(?!(?:{_WORDS})\b)([A-Za-z_][\w.\x00]*|\x00[\w.\x00]*|\d+(?:\.\d+)?)"
     r"(?=\s*(?:$|[),]|&&|\|\||(?:and|or|xor|then|when|else|end)\b))",
@@ -110,91 +115,83 @@ _DENIED = re.compile(
 )
 
 
-def _closing(text: str, at: int) -> int:
-    """Where the parenthesis that opens at ``at`` closes."""
-    depth = 0
-    for i in range(at, len(text)):
-        depth += (text[i] == "(") - (text[i] == ")")
-        if not depth:
-            return i
-    raise ValueError("a parenthesis is not closed")
-
-
-def _operand_end(text: str, at: int) -> int:
-    """The end of the number, name, call or parentheses that begins at ``at``."""
-    found = _NAME.match(text, at)
-    end = found.end() if found else at + len(text[at:]) - len(text[at:].lstrip())
-    if end < len(text) and text[end] == "(":
-        end = _closing(text, end) + 1
-    return end
-
-
-def _divided(text: str) -> str:
-    """Division by zero gives null: every divisor becomes null where it is zero."""
-    at = text.rfind("/")
-    while at >= 0:
-        end = _operand_end(text, at + 1)
-        text = f"{text[: at + 1]} nullif({text[at + 1 : end].strip()}, 0) {text[end:]}"
-        at = text.rfind("/", 0, at)
-    return text
-
-
-def _timed(text: str) -> str:
-    """``cast(x as time)`` is the time of day of a timestamp or a text."""
-    for found in reversed(list(re.finditer(r"\bcast\s*\(", text, re.IGNORECASE))):
-        end = _closing(text, found.end() - 1)
-        inner = _TIME.fullmatch(text[found.end() : end])
-        if inner:
-            text = f"{text[: found.start()]}rollcall_time({inner[1].strip()}){text[end + 1 :]}"
-    return text
-
-
-def _parted(text: str, pattern: str) -> list[str]:
-    """``text`` cut at matches of ``pattern`` outside of parentheses."""
-    parts, last = [], 0
-    for found in re.finditer(pattern, text, re.IGNORECASE):
-        before = text[: found.start()]
-        if before.count("(") == before.count(")"):
-            parts.append(text[last : found.start()])
-            last = found.end()
-    return [*parts, text[last:]]
+def _exclusive(text: str) -> str:
+    """``a xor b`` in a text without parentheses as ``((a) <> (b))``; ``xor(a, b)`` is left to the function."""
+    parts = _SIDES.split(text)
+    for k, part in enumerate(parts):
+        sides = _XOR.split(part)
+        if len(sides) < 2 or not sides[0].strip():
+            continue
+        joined = sides[0].strip()
+        for side in sides[1:]:
+            joined = f"(({joined}) <> ({side.strip()}))"
+        parts[k] = f" {joined} "
+    return "".join(parts)
 
 
-def _exclusive(text: str) -> str:
-    """``a xor b`` as ``(a) <> (b)``: below ``and``, above ``or``, at every level of parentheses."""
-    if not re.search(r"\bxor\b", text, re.IGNORECASE):
+def _levels(text: str) -> str:
+    """What depends on the parentheses around it, from the innermost ones outwards: xor, and
+    ``cast(x as time)``, which is the time of day of a timestamp or a text."""
+    if not re.search(r"\bxor\b|\bas\s+time\b", text, re.IGNORECASE):
         return text
-    out, at = "", 0
-    while (opens := text.find("(", at)) >= 0:
-        closes = _closing(text, opens)
-        out += text[at : opens + 1] + ", ".join(_exclusive(p) for p in _parted(text[opens + 1 : closes], ","))
-        at = closes
-    text = out + text[at:]
-    either = []
-    for part in _parted(text, r"\bor\b|\|\|"):
-        sides = _parted(part, r"\bxor\b")
-        joined = sides[0]
-        for side in sides[1:]:
-            joined = f"(({joined.strip()}) <> ({side.strip()}))"
-        either.append(joined)
-    return " or ".join(either)
+    kept: list[str] = []
+
+    def keep(found: re.Match) -> str:
+        lead, inside = found["cast"] or "", found["inside"]
+        timed = _TIME.fullmatch(inside) if lead else None
+        if timed:
+            lead, inside = "rollcall_time", timed[1].strip()
+        kept.append(f"{lead}({_exclusive(inside)})")
+        return f"\x01{len(kept) - 1}\x01"
+
+    while True:
+        less = _INNERMOST.sub(keep, text)
+        if less == text:
+            break
+        text = less
+    text = _exclusive(text)
+    while "\x01" in text:
+        text = re.sub("\x01(\\d+)\x01", lambda found: kept[int(found[1])], text)
+    return text
 
 
 def spark_text(text: str) -> str:
-    """``text`` with what Spark spells differently swapped, quoted text untouched."""
+    """``text`` with what Spark spells differently swapped, quoted text and comments untouched."""
     kept: list[str] = []
 
     def keep(found: re.Match) -> str:
+        if found[0].startswith(("/*", "--")):
+            return " "
         kept.append(found[0])
         return f"\x00{len(kept) - 1}\x00"
 
     bare = _QUOTED.sub(keep, text)
-    bare = _exclusive(_DENIED.sub(r"not try_cast(\1 as boolean)", _timed(bare)))
-    bare = _divided(bare)
+    bare = _levels(_DENIED.sub(r"not try_cast(\1 as boolean)", bare))
     text = re.sub("\x00(\\d+)\x00", lambda found: kept[int(found[1])], bare)
     return _SPELLING.sub(_respell, text)
 
 
+ANSI = "spark.sql.ansi.enabled"
+
+
+def tool_arithmetic(fn):
+    """Inside ``fn`` expressions are resolved as the audience tool reads them: division by zero
+    and values that do not fit give null.  Spark settles that when a column is put into a
+    DataFrame, so it holds for what ``fn`` returns and for nothing else."""
+
+    @wraps(fn)
+    def inner(*args, **kwargs):
+        conf = SparkSession.active().conf
+        before = conf.get(ANSI)
+        conf.set(ANSI, "false")
+        try:
+            return fn(*args, **kwargs)
+        finally:
+            conf.set(ANSI, before)
+
+    return inner
+
+
 def register(spark: SparkSession) -> None:
     """Make the SQL functions that ``spark_text`` refers to known to the session."""
     for definition in SQL_FUNCTIONS:
@@ -204,7 +201,7 @@ def register(spark: SparkSession) -> None:
 def expression(text: str) -> Column:
     """A column from expression text."""
     spelled = spark_text(text)
-    if "rollcall_" in spelled:
+    if "rollcall_" in spelled or re.search(r"\bxor\s*\(", spelled, re.IGNORECASE):
         session = SparkSession.active()
         if not session.catalog.functionExists("rollcall_week"):
             register(session)

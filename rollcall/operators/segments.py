@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollcall.functions.expressions import expression
+from rollcall.functions.expressions import expression, tool_arithmetic
 from rollcall.operators.merge import new_rows
 from rollcall.operators.resources import CHUNK_ROWS, nest
 from rollcall.plans.query import run_query
@@ -112,6 +112,7 @@ def rules_to_predicate(rule: dict[str, Any]) -> Column:
     return ~test if rule.get("not") else test
 
 
+@tool_arithmetic
 def export_people(
     members: DataFrame,
     bindings: dict[str, dict | DataFrame],

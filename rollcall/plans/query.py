@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import BUCKETS
-from rollcall.functions.expressions import expression
+from rollcall.functions.expressions import expression, tool_arithmetic
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
@@ -181,6 +181,7 @@ def _joined(df: DataFrame, columns: dict[str, list[str]], joins: list, tables: d
     return df
 
 
+@tool_arithmetic
 def run_query(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
     items = spec.get("columns") or spec.get("fields")
     if not items:
@@ -235,6 +236,7 @@ def run_query(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
     return with_limit(df, spec.get("limit"), spec.get("offset"))
 
 
+@tool_arithmetic
 def keyed_lookup(
     table: DataFrame,
     keys: DataFrame,

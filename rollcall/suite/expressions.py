@@ -17,13 +17,22 @@ def _select(t, table, key, *conditions, **exprs):
 @case(
     "x1_arithmetic",
     """select o_orderkey, round((o_totalprice + o_custkey / 2) * 2 - 1, 4) as mixed,
-       round(o_totalprice / nullif(o_custkey % 3, 0), 4) as ratio from orders""",
+       round(o_totalprice / nullif(o_custkey % 3, 0), 4) as ratio, round(o_totalprice / 1e-3, 2) as scaled,
+       round(o_totalprice / nullif(case when o_custkey % 2 = 0 then 0 else 4 end, 0), 4) as cased,
+       round(o_totalprice / +nullif(o_custkey % 5, 0), 4) as plus, round(o_totalprice / -(nullif(o_custkey % 5, 0)), 4) as minus,
+       round(o_totalprice / (o_custkey + 1) / 2 * 3, 4) as chained, o_custkey % 7 * 2 / 4 as noted from orders""",
 )
 def _(t):
     return _select(
         t, "orders", "o_orderkey",
         mixed="round((o_totalprice + o_custkey / 2) * 2 - 1, 4)",
         ratio="round(o_totalprice / mod(o_custkey, 3), 4)",
+        scaled="round(o_totalprice / 1e-3, 2)",
+        cased="round(o_totalprice / case when mod(o_custkey, 2) = 0 then 0 else 4 end, 4)",
+        plus="round(o_totalprice / +mod(o_custkey, 5), 4)",
+        minus="round(o_totalprice / -(mod(o_custkey, 5)), 4)",
+        chained="round(o_totalprice / (o_custkey + 1) / 2 * 3, 4)",
+        noted="mod(o_custkey, 7) * 2 /* half of it: don't / touch */ / 4 -- quarter",
     )
 
 
@@ -70,9 +79,17 @@ def _(t):
     )
 
 
-@case("x5_xor", "select event_id, (value > 50) <> (event_type = 'view') as one_of, (user_id > 70) <> (value > 20) as other from events")
+@case("x5_xor", """select event_id, (value > 50) <> (event_type = 'view') as one_of, (user_id > 70) <> (value > 20) as other,
+       case when (value > 50) <> (value > 20) then 1 else 0 end::bigint as cased, (value > 50 and user_id > 70) <> (event_type = 'view') or user_id = 3 as mixed,
+       coalesce((value > 50) <> (user_id between 10 and 20), false) as called from events""")
 def _(t):
-    found = _select(t, "events", "event_id", one_of="value > 50 xor event_type = 'view'")
+    found = _select(
+        t, "events", "event_id",
+        one_of="value > 50 xor event_type = 'view'",
+        cased="case when value > 50 xor value > 20 then 1 else 0 end",
+        mixed="value > 50 and user_id > 70 xor event_type = 'view' or user_id = 3",
+        called="ifnull(xor(value > 50, user_id between 10 and 20), false)",
+    )
     other = t.events.select("event_id", xor(F.col("user_id") > 70, F.col("value") > 20).alias("other"))
     return found.join(other, "event_id")
 

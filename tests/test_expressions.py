@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.functions import dates, text
-from rollcall.functions.expressions import expression, spark_text
+from rollcall.functions.expressions import expression, spark_text, tool_arithmetic
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +13,7 @@ def one(spark):
 
 
 def value(one, text_):
-    return one.select(expression(text_)).first()[0]
+    return tool_arithmetic(lambda: one.select(expression(text_)))().first()[0]
 
 
 @pytest.mark.parametrize(
@@ -38,6 +38,21 @@ def value(one, text_):
         ("n + 1", None),
         ("n <=> null", True),
         ("(x = 1) xor (y = 1)", True),
+        ("x = 1 xor y = 2 xor z = 3", True),
+        ("case when x = 1 xor y = 1 then 'one' else 'none' end", "one"),
+        ("cast(x = 1 xor y = 2 as char)", "false"),
+        ("xor(x = 1, y = 2)", False),
+        ("'a xor b'", "a xor b"),
+        ("if((x = 1 xor (y = 2 xor z = 9)), 1, 2)", 2),
+        ("y / case when x = 1 then 2 else 0 end", 1.0),
+        ("y / 1e-1", 20.0),
+        ("y / +x", 2.0),
+        ("y / -(x)", -2.0),
+        ("z / array(3, 4)[0]", 1.0),
+        ("y / (x - 1)", None),
+        ("1 / (x - x) + 1", None),
+        ("z /* it's / not */ / x", 3.0),
+        ("y / cast(x as char)", 2.0),
         ("x = 1 && !(y = 1) || z = 9", True),
         ("(x = 1) is true", True),
         ("(n = 1) is not true", True),
@@ -153,3 +168,10 @@ def test_phone_email_names(spark):
     messy = spark.createDataFrame([(1, 2, 3)], "`A b` int, `a.B` int, `x` int")
     assert text.clean_columns(messy).columns == ["a_b", "x"]
     assert text.clean_columns(messy).first()[0] == 1
+
+
+def test_arithmetic_outside_of_expressions_stays_strict(spark, one):
+    tool_arithmetic(lambda: one.select(expression("x / 0")))().collect()
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        one.select(F.col("x") / F.lit(0)).collect()
