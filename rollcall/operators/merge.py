@@ -12,7 +12,7 @@ from rollcall.plans.skew import keep_latest
 from rollcall.session import materialize
 
 __all__ = [
-    "upsert", "upsert_files", "insert_ignore", "upsert_many", "keep_latest", "new_rows", "row_identity", "ensure_view",
+    "upsert", "upsert_files", "read_range", "insert_ignore", "upsert_many", "keep_latest", "new_rows", "row_identity", "ensure_view",
 ]
 
 # Filled in by the store, never taken from incoming rows.
@@ -76,12 +76,57 @@ def read_files(spark, path: str) -> DataFrame | None:
         raise
 
 
-def _touched(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """``stored`` in the folders that ``rows`` fall in.  The folder names are a table of known
-    size, so Spark reads them first and opens only those folders, however many they are.
-    (The comparison tells Spark that the names are a selection.)"""
-    names = materialize(rows.select("part").distinct(), "folders")
-    return stored.join(names.where("part >= 'p-'"), "part", "left_semi").select(*stored.columns)
+# Beside the folders of a stored table: the first and last time each of them holds.
+BOUNDS = "_bounds"
+
+
+def _within(stored: DataFrame, names: DataFrame) -> DataFrame:
+    """``stored`` in the folders ``names`` (part, selected from a table of known size): Spark
+    reads the names first and opens only those folders, however many they are."""
+    return stored.join(names.select("part"), "part", "left_semi").select(*stored.columns)
+
+
+def folder_bounds(spark, path: str) -> DataFrame | None:
+    """(part, low, high) of the table at ``path``; None if it keeps no bounds."""
+    return read_files(spark, f"{path}/{BOUNDS}")
+
+
+def _widen_bounds(path: str, stored: DataFrame | None, fresh: DataFrame, bounds: str) -> None:
+    """Bounds of the folders in ``fresh`` (part, low, high), never narrower than before.
+
+    They are written before the rows, so a failure in between leaves bounds that are too
+    wide, never too narrow.  A table that has no bounds yet gets them for all its folders."""
+    known = folder_bounds(fresh.sparkSession, path)
+    if known is None and stored is not None:
+        known = stored.groupBy("part").agg(F.min(bounds).alias("low"), F.max(bounds).alias("high"))
+        wide = known.unionByName(fresh)
+    elif known is not None:
+        wide = _within(known, fresh).unionByName(fresh)
+    else:
+        wide = fresh
+    wide = wide.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ready = materialize(wide, "bounds")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/{BOUNDS}")
+
+
+def read_range(spark, path: str, column: str, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Rows of the table stored at ``path`` with ``low <= column < high``.
+
+    Only folders whose bounds on ``column`` meet the range are opened, whatever decided the
+    folder of a row; without bounds on file the whole table is scanned."""
+    rows = spark.read.parquet(path)
+    known = folder_bounds(spark, path)
+    if low is not None:
+        rows = rows.where(F.col(column) >= low)
+    if high is not None:
+        rows = rows.where(F.col(column) < high)
+    if known is None or (low is None and high is None):
+        return rows
+    if low is not None:
+        known = known.where(F.col("high") >= low)
+    if high is not None:
+        known = known.where(F.col("low") < high)
+    return _within(rows, known)
 
 
 def upsert_files(
@@ -90,27 +135,30 @@ def upsert_files(
     keys: list[str],
     partition: Column | None = None,
     order: list[Column | str] = (),
+    bounds: str | None = None,
 ) -> None:
     """:func:`upsert` on a table stored as Parquet under ``path`` (made if missing).
 
     ``partition`` is computed from the keys.  Only the partitions the incoming rows
     fall in are read and replaced; the rest of the table is not touched.  The incoming
-    rows are worked out once.  The merged rows are written aside first, so nothing is
-    overwritten while it is being read, and doing the same upsert again gives the
-    same table.
+    rows are worked out once.  New folders are put in place of the old ones when all rows are
+    written, so nothing is overwritten while it is being read, and doing the same upsert
+    again gives the same table.  ``bounds`` names a column whose first and last value is kept
+    for each folder, for :func:`read_range`.
     """
     spark = incoming.sparkSession
     # The lead keeps Spark from reading folder names back as dates or numbers.
     part = F.concat(F.lit("p-"), F.lit("all") if partition is None else partition)
     rows = materialize(incoming.withColumn("part", part), "incoming")
+    ends = [F.min(bounds).alias("low"), F.max(bounds).alias("high")] if bounds else [F.count(F.lit(1)).alias("n")]
+    names = materialize(rows.groupBy("part").agg(*ends), "folders")
     stored = read_files(spark, path)
-    if stored is None:
-        stored = rows.limit(0)
-    else:
-        stored = _touched(stored, rows)
-    merged = upsert(stored, rows, keys, order)
+    if bounds:
+        _widen_bounds(path, stored, names, bounds)
+    # (The comparison tells Spark that the names are a selection.)
+    old = rows.limit(0) if stored is None else _within(stored, names.where("part >= 'p-'"))
     # Rebalancing brings a partition's rows together (few files) but splits a crowded one.
-    ready = materialize(merged, "merge").hint("rebalance", "part")
+    ready = upsert(old, rows, keys, order).hint("rebalance", "part")
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 

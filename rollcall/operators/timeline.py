@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollcall.functions.dates import date_window
+from rollcall.functions.dates import date_window, relative_bound
 from rollcall.functions.text import email_domain, normalize_lookup
 from rollcall.operators.clean import require_timeline
 from rollcall.operators.identity import load_people
-from rollcall.operators.merge import upsert, upsert_files
+from rollcall.operators.merge import read_range, upsert, upsert_files
 from rollcall.operators.profile import infer_types
 from rollcall.plans.skew import HOT_ROWS, dense_ids, keep_latest, top_per_group
 from rollcall.session import materialize
@@ -262,7 +262,7 @@ def load_timeline_files(rows: DataFrame, path: str, order: list[Column | str], i
     columns = [c for c in TIMELINE if c in rows.columns]
     # The last version of each entry is chosen here, so that what it is chosen by is not stored.
     latest = keep_latest(require_timeline(rows), ["id"], list(order)).select(*columns)
-    upsert_files(path, latest, ["id"], entry_day("id"))
+    upsert_files(path, latest, ["id"], entry_day("id"), bounds="ts")
 
 
 def detail_columns(df: DataFrame) -> list[str]:
@@ -328,6 +328,13 @@ def timeline_range(timeline: DataFrame, start=None, end=None, at: Column | None
     return date_window(timeline, "ts", start, end, at)
 
 
+def stored_range(spark, path: str, start=None, end=None, at: Column | None = None) -> DataFrame:
+    """:func:`timeline_range` of a timeline stored by ``load_timeline_files``: only folders
+    that hold times between the bounds are opened.  An entry is found by its own time even
+    if its id, which decides the folder, tells another day."""
+    return read_range(spark, path, "ts", relative_bound(start, at), relative_bound(end, at)).drop("part")
+
+
 # --- statistics -------------------------------------------------------------------------
 
 
@@ -367,37 +374,58 @@ def stats_by_email_domain(timeline: DataFrame, kind: str = "entry_type_id", n: i
     )
 
 
+def people_bitmaps(rows: DataFrame, by: list[str], person: str = "person_id") -> DataFrame:
+    """(by, bucket, records, people): who occurs in each group, as bitmaps.
+
+    A bitmap holds the persons of one bucket of 32,768 numbers; person ids are dense, so the
+    bitmaps are.  Groups merge by ``or``: any coarser table is summed up from this one, and
+    its distinct people are exact.  Bitmaps are built within tasks first, so a group with a
+    third of all rows moves no more than its bitmaps.  Rows without a person count as records.
+    """
+    number = F.col(person).cast("bigint")
+    bucket = F.bitmap_bucket_number(number).alias("bucket")
+    return rows.groupBy(*by, bucket).agg(
+        F.count(F.lit(1)).alias("records"), F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("people")
+    )
+
+
+def roll_up(bitmaps: DataFrame, by: list[str]) -> DataFrame:
+    """Records and distinct people by fewer columns than ``bitmaps`` has."""
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.sum("records").alias("records"), F.bitmap_or_agg("people").alias("people"))
+    return merged.groupBy(*by).agg(
+        F.sum("records").alias("records"), F.sum(F.bitmap_count("people")).cast("bigint").alias("distinct_people")
+    )
+
+
 def input_statistics(
     files: DataFrame, order: list[Column | str], source: str = "source", kind: str = "entry_type_id"
 ) -> dict[str, DataFrame]:
     """Total, by type, by type and date and (with email_domain) by domain, per source.
 
-    The last version of each entry by ``order`` is counted per person, type and day once; the four
-    tables are summed up from that.
+    The last version of each entry by ``order`` is counted, and who it is of kept as bitmaps
+    per person, type and day; the four tables are or-ed from that one.
     """
     domain = ["email_domain"] if "email_domain" in files.columns else []
     dated = keep_latest(files, [source, "id"], list(order)).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    number = F.col("person_id").cast("bigint")
     counted = materialize(
-        dated.groupBy(source, "date", kind, "person_id", *domain).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi")
+        dated.groupBy(source, "date", kind, *domain, F.bitmap_bucket_number(number).alias("bucket")).agg(
+            F.count(F.lit(1)).alias("records"), F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("people"),
+            F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
         ),
         "statistics",
     )
-    measures = [F.sum("_n").alias("records"), F.count_distinct("person_id").alias("distinct_people")]
-    bounds = [F.min("_lo").alias("min_ts"), F.max("_hi").alias("max_ts")]
+    total = counted.groupBy(source).agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
     out = {
-        "total": counted.groupBy(source).agg(*measures, *bounds),
-        "by_type": counted.groupBy(source, kind).agg(*measures),
-        "by_type_by_date": counted.groupBy(source, "date", kind).agg(*measures).orderBy(source, "date", kind),
+        "total": roll_up(counted, [source]).join(total, source),
+        "by_type": roll_up(counted, [source, kind]),
+        "by_type_by_date": roll_up(counted, [source, "date", kind]).orderBy(source, "date", kind),
     }
     if domain:
-        sizes = counted.groupBy(source, "email_domain").agg(F.sum("_n").alias("_size"))
+        sizes = counted.groupBy(source, "email_domain").agg(F.sum("records").alias("_size"))
         largest = top_per_group(sizes, [source], [F.desc("_size"), F.col("email_domain")], TOP_DOMAINS)
-        out["by_email_domain"] = (
-            counted.join(largest.select(source, "email_domain"), [source, "email_domain"], "left_semi")
-            .groupBy(source, "email_domain", kind)
-            .agg(*measures)
-        )
+        kept = counted.join(largest.select(source, "email_domain"), [source, "email_domain"], "left_semi")
+        out["by_email_domain"] = roll_up(kept, [source, "email_domain", kind])
     return out
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rollcall.operators.merge import read_files, upsert_files
-from rollcall.operators.timeline import entry_day
+from rollcall.operators.merge import folder_bounds, read_files, upsert_files
+from rollcall.operators.timeline import entry_day, people_bitmaps, roll_up
 from rollcall.session import materialize
 from rollcall.sources.stored import input_from_path, with_path
 
@@ -65,7 +65,7 @@ def stream_upsert(
     part = entry_day(keys[0]) if partition is None else partition
 
     def merge(batch: DataFrame, _: int) -> None:
-        upsert_files(path, batch, list(keys), part, list(order))
+        upsert_files(path, batch, list(keys), part, list(order), bounds="ts" if "ts" in batch.columns else None)
 
     return (
         rows.writeStream.foreachBatch(merge)
@@ -75,22 +75,34 @@ def stream_upsert(
     )
 
 
-def recount_days(timeline: DataFrame, days: DataFrame, kind: str = "entry_type_id") -> DataFrame:
-    """Records and distinct people per day and type, of the ``days`` (column date) alone."""
-    bounds = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-    if bounds["a"] is None:
-        return daily_statistics(timeline.limit(0), kind)
-    # The bounds reach the scan; the join leaves only the days themselves.
-    low, high = F.lit(bounds["a"]).cast("timestamp"), F.date_add(F.lit(bounds["b"]).cast("date"), 1).cast("timestamp")
-    dated = timeline.where((F.col("ts") >= low) & (F.col("ts") < high))
-    return daily_statistics(dated.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).join(days, "date", "left_semi"), kind)
+def day_of(column: str = "ts") -> Column:
+    return F.date_format(column, "yyyy-MM-dd")
 
 
-def daily_statistics(rows: DataFrame, kind: str = "entry_type_id") -> DataFrame:
-    """Records and distinct people per day and type."""
-    return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), kind).agg(
-        F.count(F.lit(1)).alias("records"), F.count_distinct("person_id").alias("distinct_people")
-    )
+def folders_of_days(spark: SparkSession, timeline: str, days: DataFrame) -> DataFrame:
+    """The folders of the stored timeline that may hold entries of ``days`` (column date)."""
+    known = folder_bounds(spark, timeline)
+    first, last = F.to_date("low"), F.to_date("high")
+    spread = known.where("low is not null").select("part", F.explode(F.sequence(first, last)).alias("_day"))
+    return spread.join(days.select(F.to_date("date").alias("_day")), "_day", "left_semi").select("part").distinct()
+
+
+def recount_days(spark: SparkSession, timeline: str, days: DataFrame, kind: str = "entry_type_id") -> DataFrame:
+    """Who was active on each of ``days``, by type, as bitmaps: (day, date, kind, bucket, records, people).
+
+    Only the folders that hold such days are read.  A day that has no entries (any more) gets
+    one row without records, which takes the place of what was counted before."""
+    names = materialize(folders_of_days(spark, timeline, days), "day-folders")
+    rows = spark.read.parquet(timeline).join(names.where("part >= 'p-'"), "part", "left_semi").withColumn("date", day_of())
+    counted = people_bitmaps(rows.join(days, "date", "left_semi"), ["date", kind])
+    whole = days.join(counted, "date", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    return whole.select(F.concat(F.lit("d-"), "date").alias("day"), "date", kind, "bucket", "records", "people")
+
+
+def read_statistics(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """Records and distinct people of the statistics at ``path`` by any of date and the type,
+    or in total: or-ed from the bitmaps of the days."""
+    return roll_up(spark.read.parquet(path).where("records > 0"), by)
 
 
 def stream_statistics(
@@ -105,29 +117,35 @@ def stream_statistics(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Every micro-batch written over the timeline at ``timeline``, and the days it touched
-    counted again into ``path``: one row per day and type, exact whatever the order in which
-    entries arrive.
+    counted again into ``path``, a folder per day, exact whatever the order in which entries
+    arrive (read it by :func:`read_statistics`).
 
-    A day an entry is moved away from counts as touched.  Repeating a batch gives the same
-    tables."""
+    A day an entry is moved away from counts as touched.  The days' folders are replaced when
+    all of them are written; other days are neither read nor written.  Repeating a batch gives
+    the same tables, also after a failure between the timeline and the statistics."""
     part = entry_day(keys[0]) if partition is None else partition
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = materialize(batch, "batch")
-        day = F.date_format("ts", "yyyy-MM-dd").alias("date")
+        batch = materialize(batch.withColumn("_part", F.concat(F.lit("p-"), part)), "batch")
+        day = day_of().alias("date")
         days = batch.select(day)
         stored = read_files(spark, timeline)
         if stored is not None:
-            days = days.unionByName(stored.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(day))
+            # An id's folder follows from the id: the versions on file are in the batch's folders.
+            names = batch.select(F.col("_part").alias("part")).where("part >= 'p-'").distinct()
+            before = stored.join(names, "part", "left_semi").join(batch.select(*keys).distinct(), list(keys), "left_semi")
+            days = days.unionByName(before.select(day))
         days = materialize(days.where("date is not null").distinct(), "days")
-        upsert_files(timeline, batch, list(keys), part, list(order))
-        counted = recount_days(spark.read.parquet(timeline), days, kind)
-        old = read_files(spark, path)
-        if old is not None:
-            # Types that a touched day no longer has go; other days stay as they are.
-            counted = old.join(days, "date", "left_anti").select(*counted.columns).unionByName(counted)
-        materialize(counted, "statistics").write.mode("overwrite").parquet(path)
+        previous = read_files(spark, f"{timeline}/_touched")
+        if previous is not None:  # a batch that failed half way: its days are counted as well
+            days = materialize(days.unionByName(previous.select("date")).distinct(), "days")
+        days.write.mode("overwrite").parquet(f"{timeline}/_touched")
+        upsert_files(timeline, batch.drop("_part"), list(keys), part, list(order), bounds="ts")
+        counted = recount_days(spark, timeline, days, kind)
+        ready = counted.hint("rebalance", "day")
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        days.limit(0).write.mode("overwrite").parquet(f"{timeline}/_touched")
 
     return (
         rows.writeStream.foreachBatch(merge)

@@ -32,24 +32,27 @@ def _(t):
     return t.spark.read.parquet(out).groupBy("input_id").agg(F.count(F.lit(1)).alias("records"), money("c_acctbal").alias("balance"))
 
 
-def _arrivals(t):
-    """Timeline entries as files, the newest days delivered first and some entries twice."""
+def _deliver(t, pick_up):
+    """Timeline entries as files, the newest days delivered first and some entries twice; each
+    delivery is a folder of its own and picked up when it is complete."""
     path = scratch_path(t.spark, "arrivals")
     rows = entries(t).select("id", "ts", "person_id", "entry_type_id", "source_code_id", "value")
     rows = rows.unionByName(rows.where("entry_type_id = 3"))
     day = F.dayofmonth("ts")
     for low, high in ((21, 31), (11, 20), (1, 10)):
-        rows.where(day.between(low, high)).coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
+        rows.where(day.between(low, high)).write.parquet(f"{path}/from-{low:02d}")
+        pick_up(st.stream_inputs(t.spark, f"{path}/*", rows.schema, from_path=False, file_time="file_time")).awaitTermination()
 
 
 @case("w2_stream_timeline_dedupe", "select event_type as kind, count(*) as records, count(distinct user_id) as people from events group by 1")
 def _(t):
-    path, schema = _arrivals(t)
-    out = scratch_path(t.spark, "deduped")
-    rows = st.stream_inputs(t.spark, path, schema, files_per_batch=1, from_path=False)
-    query = st.stream_timeline_dedupe(rows).writeStream.format("parquet").option("path", out)
-    query.option("checkpointLocation", scratch_path(t.spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    out, marks = scratch_path(t.spark, "deduped"), scratch_path(t.spark, "marks")
+
+    def pick_up(rows):
+        query = st.stream_timeline_dedupe(rows).writeStream.format("parquet").option("path", out)
+        return query.option("checkpointLocation", marks).trigger(availableNow=True).start()
+
+    _deliver(t, pick_up)
     names = F.element_at(F.array(*[F.lit(n) for n in ("click", "signup", "view", "purchase", "error")]), F.col("entry_type_id"))
     found = t.spark.read.parquet(out).groupBy(names.alias("kind"))
     return found.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("person_id").alias("people"))
@@ -60,10 +63,8 @@ def _(t):
     """select strftime(ts, '%Y-%m-%d') as day, count(*) as records, cast(sum(cast(value as decimal(19,2))) as double) as total from events group by 1""",
 )
 def _(t):
-    path, schema = _arrivals(t)
-    out = scratch_path(t.spark, "timeline")
-    rows = st.stream_inputs(t.spark, path, schema, files_per_batch=1, from_path=False, file_time="file_time")
-    st.stream_upsert(rows, out, scratch_path(t.spark, "marks"), ["file_time"]).awaitTermination()
+    out, marks = scratch_path(t.spark, "timeline"), scratch_path(t.spark, "marks")
+    _deliver(t, lambda rows: st.stream_upsert(rows, out, marks, ["file_time"]))
     stored = t.spark.read.parquet(out)
     return stored.groupBy(entry_day("id").alias("day")).agg(F.count(F.lit(1)).alias("records"), money("value").alias("total"))
 
@@ -74,8 +75,22 @@ def _(t):
        count(*) as records, count(distinct user_id) as distinct_people from events group by 1, 2""",
 )
 def _(t):
-    path, schema = _arrivals(t)
-    timeline, out = scratch_path(t.spark, "timeline"), scratch_path(t.spark, "statistics")
-    rows = st.stream_inputs(t.spark, path, schema, files_per_batch=1, from_path=False, file_time="file_time")
-    st.stream_statistics(rows, timeline, out, scratch_path(t.spark, "marks"), ["file_time"]).awaitTermination()
-    return t.spark.read.parquet(out).withColumn("entry_type_id", F.col("entry_type_id").cast("bigint"))
+    timeline, out, marks = (scratch_path(t.spark, name) for name in ("timeline", "statistics", "marks"))
+    _deliver(t, lambda rows: st.stream_statistics(rows, timeline, out, marks, ["file_time"]))
+    counted = st.read_statistics(t.spark, out, ["date", "entry_type_id"])
+    return counted.withColumn("entry_type_id", F.col("entry_type_id").cast("bigint"))
+
+
+@case(
+    "w4_statistics_totals",
+    """select case event_type when 'click' then 1 when 'signup' then 2 when 'view' then 3 when 'purchase' then 4 else 5 end::bigint as entry_type_id,
+       count(*) as records, count(distinct user_id) as distinct_people from events group by 1
+       union all select null, count(*), count(distinct user_id) from events""",
+)
+def _(t):
+    # Totals over all days come from the bitmaps of the days alone.
+    timeline, out, marks = (scratch_path(t.spark, name) for name in ("timeline", "statistics", "marks"))
+    _deliver(t, lambda rows: st.stream_statistics(rows, timeline, out, marks, ["file_time"]))
+    by_type = st.read_statistics(t.spark, out, ["entry_type_id"]).withColumn("entry_type_id", F.col("entry_type_id").cast("bigint"))
+    whole = st.read_statistics(t.spark, out, []).withColumn("entry_type_id", F.lit(None).cast("bigint"))
+    return by_type.unionByName(whole)

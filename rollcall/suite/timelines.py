@@ -281,13 +281,28 @@ def _(t):
     return tl.timeline_range(t.events, "2024-01-05", "2024-01-12 06:00:00").select("event_id", "user_id")
 
 
+@case(
+    "l6_stored_range",
+    f"""select event_id, {_TYPE_SQL}::bigint as entry_type_id from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12 06:00:00'""",
+)
+def _(t):
+    path = scratch_path(t.spark, "timeline")
+    rows = entries(t).withColumn("source_code_id", F.col("remote_entry_id").cast("bigint"))
+    # Every fortieth entry came with an id of its own, which tells no day or a wrong one.
+    own = F.when(F.col("remote_entry_id") % 80 == 0, F.concat(F.lit("7b1c2d3e-0000-4000-8000-"), F.lpad("remote_entry_id", 12, "0")))
+    wrong = F.when(F.col("remote_entry_id") % 80 == 40, F.concat(F.lit("018d0000-0000-7000-8000-"), F.lpad("remote_entry_id", 12, "0")))
+    tl.load_timeline_files(rows.withColumn("id", F.coalesce(own, wrong, "id")), path, ["value"], "input-1")
+    found = tl.stored_range(t.spark, path, "2024-01-05", "2024-01-12 06:00:00")
+    return found.select(F.col("source_code_id").alias("event_id"), F.col("entry_type_id").cast("bigint").alias("entry_type_id"))
+
+
 def delivered_twice(t):
     """Entries as files hold them after a second delivery: some ids occur twice, with another
     type and person in the first one."""
     rows = t.events.select(
         F.col("event_id").alias("id"), "ts", F.col("user_id").alias("person_id"), F.col("event_type").alias("entry_type"),
         F.concat(F.lit("mail"), (F.col("user_id") % 60).cast("string"), F.lit(".org")).alias("email_domain"),
-        (F.col("user_id") % 20).alias("source"),
+        (F.col("event_id") % 3).alias("source"),
     )
     first = rows.where("entry_type = 'view'").withColumn("entry_type", F.lit("draft"))
     first = first.withColumn("person_id", F.lit(-1).cast("bigint")).withColumn("delivery", F.lit(1))
@@ -331,10 +346,12 @@ def _(t):
 
 @case(
     "l11_input_statistics",
-    f"""select 'total' as part, user_id % 20 as source, null as date, null as entry_type, null as email_domain, count(*) as records, count(distinct user_id) as distinct_people from events group by 2
-        union all select 'by_type', user_id % 20, null, event_type, null, count(*), count(distinct user_id) from events group by 2, 4
-        union all select 'by_type_by_date', user_id % 20, strftime(ts, '%Y-%m-%d'), event_type, null, count(*), count(distinct user_id) from events group by 2, 3, 4
-        union all select 'by_email_domain', user_id % 20, null, event_type, {_DOMAIN}, count(*), count(distinct user_id) from events group by 2, 4, 5""",
+    f"""with sizes as (select event_id % 3 as source, {_DOMAIN} as d, row_number() over (partition by event_id % 3 order by count(*) desc, {_DOMAIN}) as place from events group by 1, 2)
+        select 'total' as part, event_id % 3 as source, null as date, null as entry_type, null as email_domain, count(*) as records, count(distinct user_id) as distinct_people from events group by 2
+        union all select 'by_type', event_id % 3, null, event_type, null, count(*), count(distinct user_id) from events group by 2, 4
+        union all select 'by_type_by_date', event_id % 3, strftime(ts, '%Y-%m-%d'), event_type, null, count(*), count(distinct user_id) from events group by 2, 3, 4
+        union all select 'by_email_domain', event_id % 3, null, event_type, {_DOMAIN}, count(*), count(distinct user_id) from events
+        join sizes on sizes.source = event_id % 3 and sizes.d = {_DOMAIN} and sizes.place <= 50 group by 2, 4, 5""",
 )
 def _(t):
     stats = tl.input_statistics(delivered_twice(t), ["delivery"], "source", "entry_type")
