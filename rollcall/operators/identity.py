@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.functions.dates import date_window
 from rollcall.functions.text import hash_v1, normalize_phone
-from rollcall.operators.merge import upsert
-from rollcall.plans.skew import HOT_ROWS, dense_ids, join_weighted
+from rollcall.operators.merge import read_files, upsert, upsert_files
+from rollcall.plans.skew import HOT_ROWS, dense_ids, join_weighted, keep_latest
 from rollcall.session import materialize
 
 IDENTIFIERS = "array<struct<type:string,value:string>>"
@@ -303,24 +303,8 @@ def custom_fields(df: DataFrame, table: str, key: str = "person_id") -> DataFram
     return df.where(some).select(key, *values)
 
 
-def load_people(
-    df: DataFrame,
-    state: dict[str, DataFrame],
-    plugin_id: str | None = None,
-    input_id: str | None = None,
-    row_id: str | None = None,
-    order: str | None = None,
-    custom_tables: dict[str, list[str]] | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Resolve ``df`` to people and write them into ``state``.
-
-    Returns the rows with person_id, and the updated person tables.  Rows may carry
-    their own plugin_id and input_id; the arguments fill in for those that do not.
-    ``row_id`` names a unique column; without one a row is known by its content, so copies
-    of a row are one.  ``order`` decides which of several rows for one person
-    has the last word.
-    """
+def _prepared(df: DataFrame, plugin_id: str | None, input_id: str | None, row_id: str | None) -> tuple[DataFrame, str]:
+    """``df`` with input_id and identifiers, and the column its rows are known by."""
 
     def own_or(name: str, value: str | None) -> Column:
         fallback = F.lit(value).cast("string")
@@ -333,19 +317,13 @@ def load_people(
         rows = rows.dropDuplicates(df.columns).withColumn(
             row_id, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
         )
-    if "given_name" not in rows.columns and "family_name" not in rows.columns:
-        named = None
-    else:
-        named = [c for c in ("given_name", "family_name") if c in rows.columns]
-    top = F.coalesce(state["person"].agg(F.max("id")).scalar(), F.lit(0))
-    rows = materialize(
-        assign_person_ids(rows, row_id, state["person_identifier"], top, hot_rows), "people"
-    )
-    last = [order] if order else [row_id]
+    return rows, row_id
+
 
-    incoming: dict[str, DataFrame] = {
-        "person": rows.select(F.col("person_id").alias("id"), *(named or []), *last),
-    }
+def _person_rows(rows: DataFrame, last: list[str]) -> dict[str, DataFrame]:
+    """What resolved ``rows`` say about people, by table; ``last`` decides whose word counts."""
+    named = [c for c in ("given_name", "family_name") if c in rows.columns]
+    incoming = {"person": rows.select(F.col("person_id").alias("id"), *named, *last)}
     if "email" in rows.columns:
         kind = F.col("email_type") if "email_type" in rows.columns else F.lit(None).cast("string")
         incoming["person_email"] = rows.where(F.trim("email") != "").select(
@@ -359,6 +337,35 @@ def load_people(
             "person_id", F.col("phone"), kind.alias("phone_type"), hash_v1(phone).alias("phone_hash_v1"),
             *[c for c in last if c != "phone"],
         )
+    return incoming
+
+
+def load_people(
+    df: DataFrame,
+    state: dict[str, DataFrame],
+    plugin_id: str | None = None,
+    input_id: str | None = None,
+    row_id: str | None = None,
+    order: str | None = None,
+    custom_tables: dict[str, list[str]] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Resolve ``df`` to people and write them into ``state``.
+
+    Returns the rows with person_id, and the updated person tables.  Rows may carry
+    their own plugin_id and input_id; the arguments fill in for those that do not.
+    ``row_id`` names a unique column; without one a row is known by its content, so copies
+    of a row are one.  ``order`` decides which of several rows for one person
+    has the last word.
+    """
+
+    rows, row_id = _prepared(df, plugin_id, input_id, row_id)
+    top = F.coalesce(state["person"].agg(F.max("id")).scalar(), F.lit(0))
+    rows = materialize(
+        assign_person_ids(rows, row_id, state["person_identifier"], top, hot_rows), "people"
+    )
+    last = [order] if order else [row_id]
+    incoming = _person_rows(rows, last)
     out = dict(state)
     for name, frame in incoming.items():
         out[name] = upsert(state[name], frame, PERSON_KEYS[name], last)
@@ -370,3 +377,90 @@ def load_people(
             out[table] = upsert(state[table], fields, ["person_id"]) if table in state else fields
     changed = {name: materialize(frame, name) for name, frame in out.items() if frame is not state.get(name)}
     return rows.drop("_row"), {**state, **changed}
+
+
+# --- people kept in files --------------------------------------------------------------
+
+# Hexadecimal digits of a key's hash that name its folder: 256 folders.
+FOLDER_DIGITS = 2
+# What decides the folder of a row: people by their id, identifiers by their value.
+FOLDER_KEYS = {"person": "id", "person_identifier": "id_value", "person_email": "person_id", "person_phone": "person_id"}
+
+
+def folder_of(key: Column | str, digits: int = FOLDER_DIGITS) -> Column:
+    value = F.col(key) if isinstance(key, str) else key
+    return F.substring(F.md5(value.cast("string").cast("binary")), 1, digits)
+
+
+def stored_people(spark, path: str) -> dict[str, DataFrame]:
+    """The person tables kept at ``path``; tables nothing was written to are empty."""
+    state = empty_state(spark)
+    for name in state:
+        found = read_files(spark, f"{path}/{name}")
+        if found is not None:
+            state[name] = found.drop("part").select(*state[name].columns)
+    return state
+
+
+def _stored_identifiers(spark, path: str, wanted: DataFrame, digits: int) -> DataFrame:
+    """The stored identifiers among ``wanted`` (id_value); only the folders their hashes name are opened."""
+    stored = read_files(spark, f"{path}/person_identifier")
+    if stored is None:
+        return spark.createDataFrame([], PERSON_STATE["person_identifier"])
+    wanted = materialize(wanted.withColumn("part", F.concat(F.lit("p-"), folder_of("id_value", digits))), "wanted")
+    names = wanted.where("part >= 'p-'").select("part").distinct()
+    near = stored.join(names, "part", "left_semi")
+    return near.join(wanted.select("id_value"), "id_value", "left_semi").drop("part")
+
+
+def load_people_files(
+    df: DataFrame,
+    path: str,
+    plugin_id: str | None = None,
+    input_id: str | None = None,
+    row_id: str | None = None,
+    order: str | None = None,
+    hot_rows: int = HOT_ROWS,
+    digits: int = FOLDER_DIGITS,
+) -> DataFrame:
+    """:func:`load_people` into person tables stored at ``path`` (made if missing); returns
+    the rows with person_id.
+
+    Tables are kept in folders by a hash of the person or of the identifier.  A load reads the
+    identifier folders its own identifiers fall in, contracts its rows together with what
+    those say (each stored identifier points straight to its person), and replaces only the
+    folders of people and identifiers that it adds to or changes.  ``digits`` (hexadecimal, 16
+    ** digits folders) must be the same for all loads of a store.  The same load twice changes
+    nothing; tables are written one after the other, identifiers last, so a load that failed
+    half way is simply repeated.
+    """
+    spark = df.sparkSession
+    rows, row_id = _prepared(df, plugin_id, input_id, row_id)
+    rows = materialize(rows, "input")
+    wanted = rows.select(F.explode("identifiers.value").alias("id_value")).distinct()
+    known = materialize(_stored_identifiers(spark, path, wanted, digits), "known")
+    people = read_files(spark, f"{path}/person")
+    top = 0 if people is None else F.coalesce(people.agg(F.max("id")).scalar(), F.lit(0))
+    rows = materialize(assign_person_ids(rows, row_id, known, top, hot_rows), "people")
+    last = [order] if order else [row_id]
+    tables = _person_rows(rows, last) | {"person_identifier": new_identifiers(rows, known)}
+    for name, frame in tables.items():
+        columns = [c.split()[0] for c in PERSON_STATE[name].split(", ")]
+        frame = frame.select(*[c for c in columns if c in frame.columns], *[c for c in last if c not in columns and c in frame.columns])
+        kinds = dict(c.split() for c in PERSON_STATE[name].split(", "))
+        frame = frame.withColumns({c: F.lit(None).cast(kinds[c]) for c in columns if c not in frame.columns})
+        stored = read_files(spark, f"{path}/{name}")
+        if stored is not None:
+            frame = _changed(frame, stored, name, columns, last, digits)
+        upsert_files(f"{path}/{name}", frame, PERSON_KEYS[name], folder_of(FOLDER_KEYS[name], digits), [c for c in last if c in frame.columns])
+    return rows.drop("_row")
+
+
+def _changed(frame: DataFrame, stored: DataFrame, name: str, columns: list[str], last: list[str], digits: int) -> DataFrame:
+    """The last row per key of ``frame``, without those that ``stored`` has already."""
+    keys = PERSON_KEYS[name]
+    latest = keep_latest(frame, keys, [c for c in last if c in frame.columns]).select(*columns)
+    names = latest.select(F.concat(F.lit("p-"), folder_of(FOLDER_KEYS[name], digits)).alias("part")).distinct()
+    near = stored.join(materialize(names, "folders").where("part >= 'p-'"), "part", "left_semi").select(*columns)
+    # Rows are compared by value, nulls included; each key has one row on either side.
+    return latest.subtract(near)

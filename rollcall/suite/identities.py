@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.text import hash_v1
 from rollcall.operators import identity as i
+from rollcall.session import scratch_path
 from rollcall.suite import case, plain
 
 
@@ -154,24 +155,59 @@ def _(t):
     return plain(i.transactions_from_table(table, "shop", start="1997-01-01"))
 
 
+# The components of customers by e-mail and phone, which link some of them through others.
+_LINKED = f"""with recursive ids as (select c_custkey as k, 'm' || {_EMAIL} as v from customer
+      union all select c_custkey, 'p' || {_PHONE} from customer where c_mktsegment <> 'BUILDING'),
+    edges as (select distinct a.k as x, b.k as y from ids a join ids b on a.v = b.v),
+    reach as (select k, k as y from ids union select r.k, e.y from reach r join edges e on r.y = e.x),
+    comp as (select k, min(y) as root from reach group by k)"""
+
+
+def rooted(found, row, person="person_id"):
+    """Each row with the smallest row of its person."""
+    return found.join(found.groupBy(person).agg(F.min(row).alias("root")), person).select(row, "root")
+
+
 @case(
     "i8_load_people",
-    f"""select count(distinct {_EMAIL}) as people, count(distinct {_EMAIL}) as emails, count(*) + count(distinct {_EMAIL}) as identifiers,
-        count(*) as customers from customer""",
+    f"""{_LINKED} select c_custkey, root, (select count(distinct root) from comp) as people,
+        (select count(distinct (root, {_EMAIL})) from comp join customer on k = c_custkey) as emails,
+        (select count(distinct (root, {_PHONE})) from comp join customer on k = c_custkey where c_mktsegment <> 'BUILDING') as phones,
+        (select count(*) + count(distinct {_EMAIL}) + count(distinct {_PHONE}) filter (c_mktsegment <> 'BUILDING') from customer) as identifiers
+        from customer join comp on k = c_custkey""",
 )
 def _(t):
-    rows = contacts(t).drop("phone")
+    rows = contacts(t)
     state = i.empty_state(t.spark)
     first, state = i.load_people(rows, state, "shop", "input-1", "c_custkey")
     again, state = i.load_people(rows, state, "shop", "input-2", "c_custkey")
-    same = first.select("c_custkey", "person_id").join(again.select("c_custkey", "person_id"), ["c_custkey", "person_id"])
     # Loading the file a second time must find the same people and add nothing.
-    counts = [
-        state["person"].select(F.lit("people").alias("what")),
-        state["person_email"].select(F.lit("emails").alias("what")),
-        state["person_identifier"].select(F.lit("identifiers").alias("what")),
-        same.select(F.lit("customers").alias("what")),
-    ]
-    together = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
-    names = ["people", "emails", "identifiers", "customers"]
-    return together.agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
+    same = first.select("c_custkey", "person_id").join(again.select("c_custkey", "person_id"), ["c_custkey", "person_id"])
+    tables = {"people": "person", "emails": "person_email", "phones": "person_phone", "identifiers": "person_identifier"}
+    out = rooted(same, "c_custkey")
+    for name, table in tables.items():
+        out = out.withColumn(name, state[table].agg(F.count(F.lit(1))).scalar())
+    return out
+
+
+@case(
+    "i8_load_people_files",
+    """select c_custkey, min(c_custkey) over (partition by c_custkey // 4) as root,
+       (select count(distinct c_custkey // 4) from customer) as people, (select count(distinct c_custkey // 4) from customer) as emails from customer""",
+)
+def _(t):
+    # Four neighbours share an e-mail; one in eight of them comes with a later, second load.
+    rows = t.customer.select(
+        "c_custkey", F.col("c_custkey").alias("remote_person_id"),
+        F.concat(F.lit("u"), F.floor(F.col("c_custkey") / 4).cast("string"), F.lit("@example.org")).alias("email"),
+    )
+    path = scratch_path(t.spark, "people")
+    late = F.col("c_custkey") % 8 == 3
+    found = i.load_people_files(rows.where(~late), path, "shop", "input-1", "c_custkey", digits=1)
+    later = i.load_people_files(rows.where(late), path, "shop", "input-2", "c_custkey", digits=1)
+    i.load_people_files(rows.where(late), path, "shop", "input-2", "c_custkey", digits=1)
+    out = rooted(found.unionByName(later), "c_custkey")
+    state = i.stored_people(t.spark, path)
+    return out.withColumns({
+        "people": state["person"].agg(F.count(F.lit(1))).scalar(), "emails": state["person_email"].agg(F.count(F.lit(1))).scalar(),
+    })

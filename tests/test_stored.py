@@ -128,3 +128,36 @@ def test_bitmaps_merge_to_exact_people(spark):
     assert tuple(rolled.first()) == tuple(want)
     by_day = {r.day: (r.records, r.distinct_people) for r in tl.roll_up(tl.people_bitmaps(rows, ["day"]), ["day"]).collect()}
     assert by_day == {r[0]: (r[1], r[2]) for r in rows.groupBy("day").agg(F.count("*"), F.count_distinct("person_id")).collect()}
+
+
+def people_files(path):
+    return {f.removeprefix(path): os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/part=*/*.parquet")}
+
+
+def test_second_load_rewrites_only_touched_folders(spark):
+    from rollcall.operators import identity
+
+    path = scratch_path(spark, "people")
+    first = spark.createDataFrame([(k, k, f"u{k // 2}@a.org", f"555000{k:04d}", f"Name{k}") for k in range(40)], "n long, remote_person_id long, email string, phone string, given_name string")
+    found = {r.n: r.person_id for r in identity.load_people_files(first, path, "shop", "in", "n", digits=1).collect()}
+    assert len(set(found.values())) == 20 and found[0] == found[1]
+    before = people_files(path)
+    assert len({f.split("/")[2] for f in before if f.startswith("/person/")}) > 8
+    # One new row of a person on file: a new phone and remote id, a new name.
+    more = spark.createDataFrame([(100, 100, "u3@a.org", "5559990000", "Other")], first.schema)
+    again = identity.load_people_files(more, path, "shop", "in", "n", digits=1).collect()
+    assert again[0].person_id == found[6]
+    after = people_files(path)
+    changed = {f for f in before if after.get(f) != before[f]}
+    folders = lambda files, table: {f.split("/")[2] for f in files if f.startswith(f"/{table}/")}
+    own = identity.folder_of(F.lit(found[6]).cast("bigint"), 1)
+    folder = spark.range(1).select(F.concat(F.lit("part=p-"), own)).first()[0]
+    assert folders(changed, "person") == folders(changed, "person_phone") == {folder}
+    assert not folders(changed, "person_email")  # the address was known
+    assert len(folders(set(after) - set(before), "person_identifier")) <= 2
+    state = {k: v.count() for k, v in identity.stored_people(spark, path).items()}
+    assert state == {"person": 20, "person_identifier": 40 + 20 + 40 + 2, "person_email": 20, "person_phone": 41}
+    # The same load again changes no file at all.
+    identity.load_people_files(more, path, "shop", "in", "n", digits=1)
+    assert people_files(path) == after
+    assert identity.stored_people(spark, path)["person"].where(F.col("id") == found[6]).first().given_name == "Other"
