@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import BUCKETS
 from rollcall.functions.expressions import expression, tool_arithmetic
+from rollcall.plans.ranges import range_join
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
@@ -169,14 +170,21 @@ def _base(spec: dict, tables: dict[str, DataFrame]) -> tuple[str, DataFrame]:
 
 def _joined(df: DataFrame, columns: dict[str, list[str]], joins: list, tables: dict[str, DataFrame]) -> DataFrame:
     for join in joins:
-        if not isinstance(join, dict) or not join.get("table") or not join.get("join_eql"):
-            raise ValueError(f"a join needs table and join_eql: {join}")
+        if not isinstance(join, dict) or not join.get("table") or not (join.get("join_eql") or join.get("range")):
+            raise ValueError(f"a join needs table and join_eql or range: {join}")
         kind = join.get("type", "inner")
         if kind not in JOINS:
             raise ValueError(f"join type must be one of {', '.join(JOINS)}, not {kind}")
         alias = join.get("alias") or join["table"]
         other = tables[join["table"]]
         columns[alias] = other.columns
+        if join.get("range"):
+            if kind != "inner":
+                raise ValueError(f"a range join in a query is inner, not {kind}")
+            value, low, high = (expression(join["range"][k]) for k in ("value", "low", "high"))
+            also = expression(join["join_eql"]) if join.get("join_eql") else None
+            df = range_join(df, other.alias(alias), value, low, high, also)
+            continue
         df = df.join(other.alias(alias), expression(join["join_eql"]), JOINS[kind])
     return df
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollcall.operators.resources import attach_children
 from rollcall.operators.segments import segment_people
 from rollcall.operators.timeline import timeline_detail_summary
+from rollcall.plans.ranges import range_join
 from rollcall.plans.query import run_query
 from rollcall.suite import case, plain
 
@@ -108,6 +109,43 @@ def _(t):
     return plain(run_query(spec, t.named("orders", "lineitem")))
 
 
+@case(
+    "j5_range",
+    """select p_partkey, count(*) as items, cast(sum(l_quantity) as bigint) as quantity, min(l_orderkey) as first_order from lineitem join part
+       on l_extendedprice between p_retailprice * 10 and p_retailprice * 10 + p_size * p_size * 4 group by 1""",
+)
+def _(t):
+    # A pure range condition: intervals from 4 to 10,000 wide, no equality.
+    spec = {
+        "table": "lineitem",
+        "columns": [
+            {"table": "part", "column": "p_partkey"}, {"eql": "count(*)", "name": "items"}, {"eql": "cast(sum(l_quantity) as signed)", "name": "quantity"},
+            {"eql": "min(l_orderkey)", "name": "first_order"},
+        ],
+        "joins": [{
+            "table": "part",
+            "range": {"value": "lineitem.l_extendedprice", "low": "part.p_retailprice * 10", "high": "part.p_retailprice * 10 + part.p_size * part.p_size * 4"},
+        }],
+        "groupBy": [{"table": "part", "column": "p_partkey"}],
+    }
+    return plain(run_query(spec, t.named("lineitem", "part")))
+
+
+@case(
+    "j5_range_left",
+    """select o_orderkey, count(event_id) as events, min(event_id) as first_event from orders left join events
+       on ts >= o_orderdate + interval 27 year and ts < o_orderdate + interval 27 year + interval (o_custkey % 5) hour where o_orderkey % 4 = 0 group by 1""",
+)
+def _(t):
+    # Intervals on the left of the question, so events are the values and orders without any come back by their key.
+    spans = t.orders.where("o_orderkey % 4 = 0").selectExpr(
+        "o_orderkey", "o_orderdate + interval 27 year as opens", "o_orderdate + interval 27 year + make_interval(0, 0, 0, 0, cast(o_custkey % 5 as int)) as closes"
+    )
+    pairs = range_join(t.events.select("event_id", "ts"), spans, "ts", "opens", "closes", F.col("ts") < F.col("closes"))
+    counted = pairs.groupBy("o_orderkey").agg(F.count("event_id").alias("events"), F.min("event_id").alias("first_event"))
+    return spans.select("o_orderkey").join(counted, "o_orderkey", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
+
 @case("j6_semi", "select c_custkey as person_id from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
 def _(t):
     part = {
