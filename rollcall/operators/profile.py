@@ -1,8 +1,8 @@
 """Column profiles, type inference, and storage suggestions.
 
-Everything is computed from one long table of (column, value) pairs, so the
-plan has the same few stages whether the input has three columns or three
-hundred.
+Figures come from one wide aggregate; what needs a column's distinct values comes from a
+long table of (column, hash of value) pairs, so the plan has the same few stages whether
+the input has three columns or three hundred.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from rollcall.operators.clean import UUID, whole_cast
+from rollcall.session import materialize
 
 SAMPLE_SIZE = 32
 TABLE_SAMPLE = 25_000
@@ -115,44 +116,108 @@ def infer_types(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame
     return found.select("position", "name", _type(hints).alias("type"))
 
 
+# Candidates per column that are recounted by a broadcast of their hashes.
+FEW_CANDIDATES = 1024
+
+
+def _figures(df: DataFrame) -> DataFrame:
+    """Everything about a column but what needs its distinct values, in one aggregate: all
+    that is shuffled is a row per task."""
+    results = []
+    for i, column in enumerate(df.columns):
+        value = F.col(f"`{column}`").cast("string")
+        number = _number(value)
+        by_number = F.when(number.isNotNull(), F.struct(number.alias("n"), value.alias("v")))
+        results.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(column).alias("name"),
+                *[test.alias(name) for name, test in _class_tests(value).items()],
+                F.count(F.lit(1)).alias("records"),
+                F.count_if(value.isNull()).alias("empty"),
+                F.min(value).alias("_min_text"),
+                F.max(value).alias("_max_text"),
+                F.min(by_number)["v"].alias("_min_number"),
+                F.max(by_number)["v"].alias("_max_number"),
+                F.min(F.length(value)).alias("_min_length"),
+                F.max(F.length(value)).alias("_max_length"),
+            )
+        )
+    return df.agg(F.array(*results).alias("_columns")).select(F.inline("_columns"))
+
+
+def _hashed(cells: DataFrame) -> DataFrame:
+    """Cells with 128 bits that stand for their text."""
+    return cells.withColumns({"_a": F.xxhash64("value"), "_b": F.xxhash64(F.lit("second"), "value")})
+
+
+def _counted_cells(df: DataFrame) -> DataFrame:
+    """(position, _a, _b, _n): how often each value occurs, without the value.  Counters are
+    kept within tasks and merged; a value is 16 bytes however long its text is."""
+    cells = _hashed(melt(df).where(F.col("value").isNotNull()))
+    return materialize(cells.groupBy("position", "_a", "_b").agg(F.count(F.lit(1)).alias("_n")), "cell-counts")
+
+
+def _frequent(df: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """(position, value, _n) of the ``n`` most frequent values of each column, ties in text order.
+
+    The counts decide which hashes can be among them; only those cells are looked at again,
+    and counted by their text.  If a great many values tie for the last places (a key column,
+    where all of them are unique), those of the smallest texts are wanted: every task passes
+    on its smallest ones alone.
+    """
+    order = Window.partitionBy("position").orderBy(F.col("_n").desc())
+    top = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    last = top.groupBy("position").agg(F.min("_n").alias("_last"))
+    least = counts.groupBy("position").agg(F.min("_n").alias("_least"))
+    marked = counts.join(F.broadcast(last), "position").where("_n >= _last")
+    ties = marked.where("_n = _last").groupBy("position").agg(F.count(F.lit(1)).alias("_ties"))
+    # One row per column.
+    found = {r["position"]: r for r in last.join(least, "position").join(ties, "position").collect()}
+    crowded = [p for p, r in found.items() if r["_ties"] > FEW_CANDIDATES]
+    sure = marked.where((F.col("_n") > F.col("_last")) | ~F.col("position").isin(crowded)) if crowded else marked
+    sure = sure.select("position", "_a", "_b")  # at most n + FEW_CANDIDATES per column
+    cells = _hashed(melt(df).where(F.col("value").isNotNull()))
+    key = ["position", "_a", "_b"]
+    out = cells.join(F.broadcast(sure), key, "left_semi").groupBy("position", "value").agg(F.count(F.lit(1)).alias("_n"))
+    for p in crowded:
+        own = cells.where(F.col("position") == p)
+        if found[p]["_last"] == found[p]["_least"]:  # all but the more frequent ones tie
+            tied = own.join(F.broadcast(sure), key, "left_anti")
+        else:
+            tied = own.join(marked.where((F.col("position") == p) & (F.col("_n") == F.col("_last"))).select(*key), key, "left_semi")
+        smallest = Window.partitionBy("position").orderBy("value")
+        tied = tied.select("position", "value").withColumn("_d", F.dense_rank().over(smallest)).where(F.col("_d") <= n)
+        out = out.unionByName(tied.select("position", "value", F.lit(found[p]["_last"]).alias("_n")).distinct())
+    return out
+
+
 def profile(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
     """One row per column: type, records, empty, min, max, lengths, distinct, sample.
 
-    The cells are counted per distinct value first; all other figures come from
-    that much smaller table, and are exact.  ``min`` and ``max`` compare by number
+    Figures come from one wide aggregate, distinct values from counts by hash, and the texts
+    of the most frequent values from a second look at those alone, so what is shuffled does not
+    grow with the length of the texts.  ``min`` and ``max`` compare by number
     for numeric columns and by text otherwise; ``sample`` holds the 32 most
     frequent values, ties in text order.
     """
-    counts = melt(df).groupBy("position", "name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    value = F.col("value")
-    classed = counts.withColumn("_number", _number(value))
-    by_number = F.when(F.col("_number").isNotNull(), F.struct("_number", "value"))
-    stats = classed.groupBy("position", "name").agg(
-        *[test.alias(name) for name, test in _class_tests(value).items()],
-        F.sum("_n").alias("records"),
-        F.sum(F.when(value.isNull(), F.col("_n")).otherwise(0)).alias("empty"),
-        F.count("value").alias("distinct"),
-        F.min("value").alias("_min_text"),
-        F.max("value").alias("_max_text"),
-        F.min(by_number)["value"].alias("_min_number"),
-        F.max(by_number)["value"].alias("_max_number"),
-        F.min(F.length("value")).alias("_min_length"),
-        F.max(F.length("value")).alias("_max_length"),
-    )
-    # Nulls are ranked last and dropped after the cut, so that this reads the same
-    # shuffled counts as the figures above.
-    window = Window.partitionBy("position").orderBy(value.isNull(), F.col("_n").desc(), value.asc())
+    counts = _counted_cells(df)
+    distinct = counts.groupBy("position").agg(F.count(F.lit(1)).alias("distinct"))
+    window = Window.partitionBy("position").orderBy(F.col("_n").desc(), F.col("value").asc())
     frequent = (
-        counts.withColumn("_rank", F.row_number().over(window))
-        .where((F.col("_rank") <= SAMPLE_SIZE) & value.isNotNull())
+        _frequent(df, counts, SAMPLE_SIZE)
+        .withColumn("_rank", F.row_number().over(window))
+        .where(F.col("_rank") <= SAMPLE_SIZE)
         .groupBy("position")
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "value")))["value"].alias("sample"))
     )
     numeric = F.col("type").isin("int", "double", "decimal")
     text = F.col("type") == "string"
     return (
-        stats.withColumn("type", _type(hints))
+        _figures(df).withColumn("type", _type(hints))
+        .join(distinct, "position", "left")
         .join(frequent, "position", "left")
+        .where("records > 0")
         .select(
             "position",
             "name",
@@ -163,7 +228,7 @@ def profile(df: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
             F.when(numeric, F.col("_max_number")).otherwise(F.col("_max_text")).alias("max"),
             F.when(text, F.col("_min_length")).alias("min_length"),
             F.when(text, F.col("_max_length")).alias("max_length"),
-            "distinct",
+            F.coalesce("distinct", F.lit(0)).alias("distinct"),
             F.coalesce("sample", F.array().cast("array<string>")).alias("sample"),
         )
     )
@@ -192,7 +257,7 @@ def schema_hints(df: DataFrame) -> dict[str, str]:
 
 
 def profile_table(df: DataFrame, key: list[str], n: int = TABLE_SAMPLE) -> DataFrame:
-    return profile(both_ends(df, key, n), schema_hints(df))
+    return profile(materialize(both_ends(df, key, n), "both-ends"), schema_hints(df))
 
 
 def suggest_storage(profiled: DataFrame) -> DataFrame:

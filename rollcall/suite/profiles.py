@@ -33,6 +33,19 @@ def _(t):
     return plain(profile(t.part).drop("position").withColumn("sample", F.array_join("sample", "|")))
 
 
+DOCUMENT = {"text": "string", "lang": "string", "source": "string", "n_chars": "int", "label": "string"}
+
+
+@case(
+    "p1_profile_long_texts",
+    "with d as (select text, lang, source, n_chars, left(text, 3) || doc_id // 2 as label from documents) " + _profile_sql("d", DOCUMENT),
+)
+def _(t):
+    # Long texts, a few of them repeated, and a column whose values tie in their hundreds.
+    rows = t.documents.select("text", "lang", "source", "n_chars", F.concat(F.substring("text", 1, 3), F.floor(F.col("doc_id") / 2).cast("string")).alias("label"))
+    return plain(profile(rows).drop("position").withColumn("sample", F.array_join("sample", "|")))
+
+
 @case(
     "p2_infer_types",
     """select * from (values ('key', 'int'), ('day', 'date'), ('moment', 'datetime'), ('amount', 'double'), ('paid', 'decimal'),

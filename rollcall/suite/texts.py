@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rollcall.functions import text as x
 from rollcall.functions.expressions import cast_int, generated_uuid
 from rollcall.plans.query import run_query
+from rollcall.operators import fulltext
+from rollcall.session import scratch_path
 from rollcall.suite import case, plain
 
 
@@ -56,6 +60,42 @@ def _(t):
     return run_query(spec, t.named("documents")).join(must, "doc_id")
 
 
+_LINE = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''), ' ') || ' '"
+_SEARCHES = {
+    "phrase": ('+"of the" -is', "l like '% of the %' and l not like '% is %'"),
+    "prefix": ("+th* +(der die) -wor*", "l like '% th%' and (l like '% der %' or l like '% die %') and l not like '% wor%'"),
+    "either": ('"de la" (+the +and -for) worthless', "l like '% de la %' or (l like '% the %' and l like '% and %' and l not like '% for %') or l like '% worthless %'"),
+    "never": ("-the -de", "l not like '% the %' and l not like '% de %'"),
+}
+
+
+@case(
+    "t4_fulltext_phrases",
+    f"select doc_id, {', '.join(f'{test} as {name}' for name, (_, test) in _SEARCHES.items())} from (select doc_id, {_LINE} as l from documents)",
+)
+def _(t):
+    return t.documents.select("doc_id", *[fulltext.text_matches("text", search).alias(name) for name, (search, _) in _SEARCHES.items()])
+
+
+@case(
+    "t4_fulltext_index",
+    "with lines as (select doc_id, " + _LINE + " as l from documents) "
+    + " union all ".join(f"select '{name}' as search, doc_id from lines where {test}" for name, (_, test) in _SEARCHES.items()),
+)
+def _(t):
+    path = scratch_path(t.spark, "fulltext")
+    late = F.col("doc_id") % 10 == 3
+    # A tenth of the texts is indexed with other words first and replaced later.
+    before = t.documents.withColumn("text", F.when(late, F.lit("of the worthless")).otherwise(F.col("text")))
+    fulltext.index_documents(before, path)
+    fulltext.index_documents(t.documents.where(late), path, version=2)
+    found = [
+        fulltext.search_index(t.spark, path, search).select(F.lit(name).alias("search"), F.col("doc").alias("doc_id"))
+        for name, (search, _) in _SEARCHES.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @case("t5_hash_v1", "select doc_id, sha256(lower(trim(coalesce(nullif(source, 'src1'), '')))) as source_hash, sha256(lower(trim(text, ' '))) as text_hash from documents")
 def _(t):
     return t.documents.select(
