@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -91,15 +92,20 @@ class TextEncoder:
             data.byteswap()
         return data.tobytes()
 
+    def _all_letters(self, word: str) -> bool:
+        """Whether the tokenizer sees letters alone: where it lowers and normalizes a word, a
+        capital or a composed letter may come apart into a letter and a mark."""
+        return not self.lowers or word.isascii() or unicodedata.normalize("NFC", word.lower()).isalpha()
+
     def _word(self, word: str, known: _Words) -> bytes:
-        if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER):
+        if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER and self._all_letters(word)):
             letters = word.lower() if self.lowers else word
             piece = letters if word.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
             if known.before:
                 piece = self.space + piece
             return self._bytes([t.id for t in self.model.tokenize(piece)])
         mark = self.marks.get(word[-1:])
-        if mark and word[:-1].isalpha():
+        if mark and word[:-1].isalpha() and self._all_letters(word[:-1]):
             return known[word[:-1]] + mark
         if not PLAIN.fullmatch(word):
             raise _Odd

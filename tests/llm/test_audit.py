@@ -284,3 +284,19 @@ def test_urls_without_labels_or_rows(spark):
 def test_bounded_training_table(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MOST_LABELLED", 5)
     assert url_filter.train(url_filter.labelled_urls(spark)).count() == 1
+
+
+# --- token ids of operators 8 and 9 ------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_ids_of_every_letter_are_the_library_s(name):
+    from rollcall.llm.tokens import TextEncoder
+
+    own = TextEncoder(public_tokenizers.path(name))
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    points = [c for c in range(0x21, 0x20000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum() and not 0x3400 <= c < 0xA000 and not 0xAC00 <= c < 0xD7A4]
+    texts = [f"{chr(c)} a{chr(c)}b x{chr(c)}. {chr(c)}, {chr(c)}z; b{chr(c)}! {chr(c)}{chr(c)}? e{chr(c)}:" for c in points]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = [int.from_bytes(own.encode(text)[k : k + own.dtype.itemsize], "little") for k in range(0, len(own.encode(text)), own.dtype.itemsize)]
+        assert ids == found.ids, (text, hex(ord(text[0])))
