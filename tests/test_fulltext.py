@@ -89,4 +89,4 @@ def test_profile_shuffles_no_texts(spark):
     short = spark.range(300).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("v"))
     long = short.select(F.repeat("v", 100).alias("v"))
     assert pr._counted_cells(long).columns == pr._counted_cells(short).columns == ["position", "_a", "_b", "_n"]
-    assert pr.profile(long).first().sample == [v * 100 for v in pr.profile(short).first().sample]
+    assert pr.profile(long).first().sample == sorted(f"x{k}" * 100 for k in range(300))[:32]

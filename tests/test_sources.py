@@ -113,3 +113,27 @@ def test_identified(spark):
 def test_nothing_is_left_in_the_repository():
     root = pathlib.Path(__file__).resolve().parent.parent
     assert not [p for p in root.rglob("*.parquet")]
+
+
+def test_relaxed_lines_equal_their_strict_twins(spark, tmp_path):
+    relaxed = tmp_path / "relaxed.jsonl"
+    strict = tmp_path / "strict.jsonl"
+    relaxed.write_text(
+        "{a: 'x, }', b: +1, c: [1, +2.5,], /* , } */ d: {e: +0.5 , },}\n"
+        '{"a": "+1, ] \\" ,}", "b": -2, "c": [], "d": {"e": 1e+3,},  }\n'
+        "\n"
+        "{'a': 'it\\'s ,]', b: +30 , c: [+7 ,], d: null, } // , }\n"
+    )
+    strict.write_text(
+        '{"a": "x, }", "b": 1, "c": [1, 2.5], "d": {"e": 0.5}}\n'
+        '{"a": "+1, ] \\" ,}", "b": -2, "c": [], "d": {"e": 1000}}\n'
+        '{"a": "it\'s ,]", "b": 30, "c": [7], "d": null}\n'
+    )
+    schema = "a string, b int, c array<double>, d struct<e: double>"
+    want = rows(jsonlines.read_jsonl(spark, str(strict), schema))
+    assert rows(jsonlines.read_jsonl(spark, str(relaxed), schema)) == want and len(want) == 3
+    found = jsonlines.read_jsonl(spark, str(relaxed))
+    assert found.columns == ["a", "b", "c", "d"] and {r.b for r in found.collect()} == {1, -2, 30}
+    header = tmp_path / "header.jsonl"
+    header.write_text("['a', 'b',]\n[+1, 'x,]',]\n")
+    assert rows(jsonlines.read_jsonl_header(spark, str(header))) == [("1", "x,]")]
