@@ -264,6 +264,23 @@ def _(t):
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), money("o_totalprice").alias("total"))
 
 
+@case(
+    "s15_sync_compacted",
+    """select o_orderstatus, count(*) as orders, cast(sum(cast(case when o_orderdate < timestamp '1998-01-01' then o_totalprice else o_totalprice + 1 end as decimal(19,2))) as double) as total
+       from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '2000-01-01' group by 1""",
+)
+def _(t):
+    path = scratch_path(t.spark, "kept")
+    source = t.orders.withColumnRenamed("o_orderdate", "modified_at")
+    # What is copied again has changed; a last copy brings nothing new, and an older version of some rows.
+    later = source.withColumn("o_totalprice", F.when(F.col("modified_at") >= "1998-01-01", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    stale = source.withColumns({"o_totalprice": F.lit(0.0), "modified_at": F.col("modified_at") - F.expr("interval 1 hour")})
+    for rows, start, end in ((source, "1996-01-01", "1999-01-01"), (later, "1998-01-01", "2000-01-01"), (stale, "1997-01-01", "1998-01-01"), (later, "1998-01-01", "2000-01-01")):
+        tb.sync_compacted(rows, path, ["o_orderkey"], ["modified_at"], start, end, buckets=8)
+    rows = tb.current_compacted(t.spark, path, ["o_orderkey"], ["modified_at"])
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), money("o_totalprice").alias("total"))
+
+
 @case(
     "s16_sync_tables",
     "select 'customer' as name, count(*) as records from customer union all select 'nation', count(*) from nation union all select 'supplier', count(*) from supplier",

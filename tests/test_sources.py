@@ -137,3 +137,35 @@ def test_relaxed_lines_equal_their_strict_twins(spark, tmp_path):
     header = tmp_path / "header.jsonl"
     header.write_text("['a', 'b',]\n[+1, 'x,]',]\n")
     assert rows(jsonlines.read_jsonl_header(spark, str(header))) == [("1", "x,]")]
+
+
+def test_compacted_copy_stays_small_and_repeats_write_nothing(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "copy")
+    state = {k: (k, f"v{k}", 0) for k in range(60)}
+
+    def copy(changes):
+        table = spark.createDataFrame(list(changes), "k long, v string, n int")
+        return tb.sync_compacted(table, path, ["k"], ["n"], buckets=2)
+
+    def files():
+        return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+    copy(state.values())
+    for n in range(1, 7):
+        changed = {k: (k, f"v{k}-{n}", n) for k in range(n, 60, 6)} | {100 + n: (100 + n, "new", n)}
+        state |= changed
+        copy(changed.values())
+    assert sorted(map(tuple, tb.current_compacted(spark, path, ["k"], ["n"]).collect())) == sorted(state.values())
+    base, changes = tb._layers(spark, path)
+    assert changes.count() <= tb.MOST_CHANGED * base.count() + 1  # reading is bounded by the base
+    assert base.count() > 60  # merges took place
+    before = files()
+    copy(list(state.values())[:20])
+    copy([(1, "old", -5)])  # an older version does not come back
+    assert files() == before
+    copy([])
+    assert sorted(map(tuple, tb.current_compacted(spark, path, ["k"], ["n"]).collect())) == sorted(state.values())
+    with pytest.raises(Exception, match="without a key"):
+        copy([(None, "x", 1)])
