@@ -12,7 +12,7 @@ from rollcall.plans.skew import keep_latest
 from rollcall.session import materialize
 
 __all__ = [
-    "upsert", "upsert_files", "read_range", "insert_ignore", "upsert_many", "keep_latest", "new_rows", "row_identity", "ensure_view",
+    "upsert", "upsert_files", "read_range", "insert_ignore", "upsert_many", "keep_latest", "new_rows", "new_rows_since", "remember_rows", "row_identity", "ensure_view",
 ]
 
 # Filled in by the store, never taken from incoming rows.
@@ -189,6 +189,20 @@ def row_identity(df: DataFrame, identity: list[str] | None = None) -> Column:
     return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}).cast("binary"))
 
 
+def _one_per_identity(df: DataFrame, identity: list[str] | None, order: list[Column | str]) -> DataFrame:
+    """``df`` with ``_identity``, one row for each: the first by ``order``."""
+    columns = identity or df.columns
+    marked = df.withColumn("_identity", row_identity(df, identity))
+    if not identity:
+        return marked.dropDuplicates(["_identity"])
+    ranks = [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order]
+    others = [c for c in df.columns if c not in columns]
+    window = Window.partitionBy("_identity").orderBy(
+        *ranks, F.struct(*[F.col(f"`{c}`") for c in others or columns]).asc()
+    )
+    return marked.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
+
+
 def new_rows(
     df: DataFrame,
     existing: DataFrame,
@@ -200,22 +214,58 @@ def new_rows(
     Copies are dropped inside each task before anything is shuffled, on both
     sides, so a row repeated millions of times costs no more than any other.
     ``order`` decides which of several rows with one identity stays (the first).
+    A history that is asked again and again is better kept as hashes: :func:`new_rows_since`.
     """
-    columns = identity or df.columns
-    marked = df.withColumn("_identity", row_identity(df, identity))
-    if identity:
-        ranks = [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order]
-        others = [c for c in df.columns if c not in columns]
-        window = Window.partitionBy("_identity").orderBy(
-            *ranks, F.struct(*[F.col(f"`{c}`") for c in others or columns]).asc()
-        )
-        marked = marked.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
-    else:
-        marked = marked.dropDuplicates(["_identity"])
-    seen = existing.select(row_identity(existing, columns).alias("_identity")).distinct()
+    marked = _one_per_identity(df, identity, order)
+    seen = existing.select(row_identity(existing, identity or df.columns).alias("_identity")).distinct()
     return marked.join(seen, "_identity", "left_anti").drop("_identity")
 
 
+# Hexadecimal digits of a row's hash that name its folder: 256 folders.
+HASH_DIGITS = 2
+
+
+def _hash_folder(digits: int) -> Column:
+    return F.concat(F.lit("p-"), F.substring("_identity", 1, digits)).alias("part")
+
+
+def remember_rows(df: DataFrame, path: str, identity: list[str] | None = None, digits: int = HASH_DIGITS) -> None:
+    """Add the rows' hashes (128 bits each) to the store at ``path``, in folders by their first
+    digits.  Hashes the store has are not added again, so a repeated call changes nothing."""
+    own = df.select(row_identity(df, identity).alias("_identity")).distinct()
+    fresh = materialize(_not_remembered(own, path, digits), "hashes")
+    if fresh.isEmpty():
+        return
+    ready = fresh.select(F.unhex("_identity").alias("hash"), _hash_folder(digits)).hint("rebalance", "part")
+    ready.write.mode("append").partitionBy("part").parquet(path)
+
+
+def _not_remembered(marked: DataFrame, path: str, digits: int) -> DataFrame:
+    """Rows (with ``_identity``) whose hash is not stored.  Only the folders their hashes fall in
+    are opened, and of these Spark reads what passes a Bloom filter of the rows' hashes."""
+    stored = read_files(marked.sparkSession, path)
+    if stored is None:
+        return marked
+    names = materialize(marked.select(_hash_folder(digits)).distinct(), "folders").where("part >= 'p-'")
+    seen = stored.join(names, "part", "left_semi").select(F.lower(F.hex("hash")).alias("_identity"))
+    return marked.join(seen, "_identity", "left_anti")
+
+
+def new_rows_since(
+    df: DataFrame,
+    path: str,
+    identity: list[str] | None = None,
+    order: list[Column | str] = (),
+    digits: int = HASH_DIGITS,
+) -> DataFrame:
+    """:func:`new_rows` against everything that :func:`remember_rows` has put at ``path``: the
+    history's rows are not read again, only hashes of the folders that ``df`` falls in.
+
+    Nothing is remembered by asking; do that when the rows have got where they should."""
+    marked = materialize(_one_per_identity(df, identity, order), "delta")
+    return _not_remembered(marked, path, digits).drop("_identity")
+
+
 def ensure_view(name: str, source: DataFrame | str, replace: bool = False, spark=None) -> DataFrame:
     """A view over a DataFrame or SQL text: made if missing, remade on request."""
     session = spark or source.sparkSession

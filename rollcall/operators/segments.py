@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.functions.expressions import expression, tool_arithmetic
-from rollcall.operators.merge import new_rows
+from rollcall.operators.merge import new_rows, new_rows_since
 from rollcall.operators.resources import CHUNK_ROWS, nest
 from rollcall.plans.query import run_query
 from rollcall.session import materialize
@@ -153,3 +153,8 @@ def export_delta(export: DataFrame, previous: DataFrame, by_person: bool = False
     if by_person:
         return export.join(previous.select("person_id").distinct(), "person_id", "left_anti")
     return new_rows(export, previous)
+
+
+def export_delta_since(export: DataFrame, path: str) -> DataFrame:
+    """Rows of an export that no earlier export remembered at ``path`` had (``remember_rows``)."""
+    return new_rows_since(export, path)

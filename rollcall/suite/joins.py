@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators.resources import attach_children
 from rollcall.operators.segments import segment_people
-from rollcall.operators.timeline import timeline_detail_summary
+from rollcall.operators.timeline import append_dictionary_id, timeline_detail_summary
 from rollcall.plans.ranges import range_join
 from rollcall.plans.query import run_query
 from rollcall.suite import case, plain
@@ -238,15 +238,13 @@ def _(t):
 
 @case(
     "j10_dimension_lookup",
-    """select o_orderkey, coalesce(d.id, 0)::bigint as priority_id from orders left join
-       (select lower(trim(o_orderpriority)) as k, left(o_orderpriority, 1)::bigint as id
-        from (select distinct o_orderpriority from orders where o_orderpriority <> '5-LOW')) d on d.k = lower(trim(o_orderpriority))""",
+    """select o_orderkey, case when o_orderkey % 10 = 0 then 0 when o_orderpriority = '5-LOW' then 5 else left(o_orderpriority, 1)::bigint end as priority_id from orders""",
 )
 def _(t):
-    names = t.orders.where("o_orderpriority <> '5-LOW'").select(F.lower(F.trim("o_orderpriority")).alias("k")).distinct()
-    dimension = names.withColumn("id", F.substring("k", 1, 1).cast("bigint"))
-    return (
-        t.orders.withColumn("k", F.lower(F.trim("o_orderpriority")))
-        .join(dimension, "k", "left")
-        .select("o_orderkey", F.coalesce("id", F.lit(0)).cast("bigint").alias("priority_id"))
-    )
+    # Spellings vary and some are blank; one value is not in the dimension yet and gets the next number.
+    known = t.orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("priority")).distinct()
+    dimension = known.withColumn("id", F.substring("priority", 1, 1).cast("bigint"))
+    typed = F.when(F.col("o_orderkey") % 2 == 0, F.upper("o_orderpriority")).otherwise(F.concat(F.lit(" "), F.lower("o_orderpriority")))
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, " ").otherwise(typed).alias("priority"))
+    found, _ = append_dictionary_id(rows, dimension, "priority", "priority_id", order=["o_orderkey"])
+    return found.select("o_orderkey", F.col("priority_id").cast("bigint").alias("priority_id"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollcall.operators.merge import new_rows
+from rollcall.operators.merge import new_rows, new_rows_since, remember_rows
 from rollcall.operators.profile import both_ends, profile
 from rollcall.operators.segments import segment_people
 from rollcall.plans.query import fetch_by_id, keyed_lookup, override_limit, run_query
 from rollcall.operators.timeline import stats_by_type, top_groups
+from rollcall.session import scratch_path
 from rollcall.suite import case, money, plain
 
 
@@ -341,3 +342,17 @@ def _(t):
     late = t.orders.where("o_orderdate >= '1998-01-01'").select(*columns)
     early = t.orders.where("o_orderdate < '1998-01-01'").select(*columns)
     return new_rows(late, early)
+
+
+@case(
+    "e4_new_rows_since",
+    """select distinct o_custkey, o_orderstatus, o_orderpriority from orders where o_orderdate >= timestamp '1998-01-01'
+       except select o_custkey, o_orderstatus, o_orderpriority from orders where o_orderdate < timestamp '1998-01-01'""",
+)
+def _(t):
+    columns = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    path = scratch_path(t.spark, "hashes")
+    # The history arrives in two parts, one of them twice; it is asked for by its hashes alone.
+    for since, until in (("1990-01-01", "1995-01-01"), ("1994-01-01", "1998-01-01"), ("1990-01-01", "1995-01-01")):
+        remember_rows(t.orders.where(f"o_orderdate >= '{since}' and o_orderdate < '{until}'").select(*columns), path, digits=1)
+    return new_rows_since(t.orders.where("o_orderdate >= '1998-01-01'").select(*columns), path, digits=1)

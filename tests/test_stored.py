@@ -161,3 +161,27 @@ def test_second_load_rewrites_only_touched_folders(spark):
     identity.load_people_files(more, path, "shop", "in", "n", digits=1)
     assert people_files(path) == after
     assert identity.stored_people(spark, path)["person"].where(F.col("id") == found[6]).first().given_name == "Other"
+
+
+def test_new_rows_by_stored_hashes(spark):
+    from rollcall.operators.merge import new_rows, new_rows_since, remember_rows
+
+    path = scratch_path(spark, "hashes")
+    schema = "k long, v string, n double"
+    history = [(k, f"v{k % 7}" if k % 5 else None, float(k)) for k in range(200)]
+    df = spark.createDataFrame(history, schema)
+    assert new_rows_since(df, path).count() == 200  # nothing is remembered yet
+    remember_rows(df, path)
+    delta = spark.createDataFrame([*history[:3], (3, "other", 3.0), (None, None, None), (None, None, None), (500, "x", 0.0)], schema)
+    want = sorted(map(repr, new_rows(delta, df).collect()))
+    found = new_rows_since(delta, path)
+    assert sorted(map(repr, found.collect())) == want and len(want) == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<hash:binary>" in plan and "dynamicpruning" in plan
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*.parquet")}
+    remember_rows(df, path)
+    assert before == {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*.parquet")}
+    by_key = spark.createDataFrame([(7, "b", 1.0), (7, "a", 2.0), (900, "b", 1.0), (900, "c", 0.5)], schema)
+    keys = scratch_path(spark, "hashes")
+    remember_rows(df.select("k"), keys, ["k"])
+    assert [tuple(r) for r in new_rows_since(by_key, keys, ["k"], ["n"]).collect()] == [(900, "c", 0.5)]
