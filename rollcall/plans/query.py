@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.dates import BUCKETS
 from rollcall.functions.expressions import expression, tool_arithmetic
+from rollcall.plans.pages import Pages
 from rollcall.plans.ranges import range_join
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
@@ -55,6 +56,10 @@ CONDITIONS = {
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
+# An offset from here on is read by pages (a query with one runs when it is built).
+DEEP = 10_000
+
+
 class Scope:
     """The columns a query object may name, by table alias."""
 
@@ -237,11 +242,15 @@ def run_query(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
         df = df.where(test)
     if distinct:
         df = df.distinct()
-    if order:
+    limit, offset = spec.get("limit"), spec.get("offset")
+    if order and _whole(limit, "limit") and _whole(offset, "offset") >= DEEP:
+        # The same rows, read from where they lie instead of gathered from the top.
+        df, limit, offset = Pages(df, order).page(_whole(offset, "offset"), _whole(limit, "limit")), None, None
+    elif order:
         df = df.orderBy(*order)
     if df.columns != outputs:
         df = df.select(*[f"`{name}`" for name in outputs])
-    return with_limit(df, spec.get("limit"), spec.get("offset"))
+    return with_limit(df, limit, offset)
 
 
 @tool_arithmetic

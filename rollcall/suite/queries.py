@@ -356,3 +356,20 @@ def _(t):
     for since, until in (("1990-01-01", "1995-01-01"), ("1994-01-01", "1998-01-01"), ("1990-01-01", "1995-01-01")):
         remember_rows(t.orders.where(f"o_orderdate >= '{since}' and o_orderdate < '{until}'").select(*columns), path, digits=1)
     return new_rows_since(t.orders.where("o_orderdate >= '1998-01-01'").select(*columns), path, digits=1)
+
+
+@case(
+    "o2_deep_page",
+    """select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey, l_extendedprice from lineitem
+       order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 250
+       offset (select count(*) * 5 // 6 from lineitem)""",
+)
+def _(t):
+    spec = {
+        "table": "lineitem",
+        "columns": ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
+        "orderBy": [{"eql": "l_extendedprice", "orderByDirection": "desc"}, "l_orderkey", "l_linenumber", "l_partkey", {"eql": "l_suppkey"}],
+        "limit": 250,
+        "offset": t.lineitem.count() * 5 // 6,
+    }
+    return plain(run_query(spec, t.named("lineitem")))
