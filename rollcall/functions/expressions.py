@@ -199,7 +199,8 @@ def register(spark: SparkSession) -> None:
 
 
 def expression(text: str) -> Column:
-    """A column from expression text."""
+    """A column from expression text.  Put it into a DataFrame inside of :func:`tool_arithmetic`
+    (query objects, lookups and exports do) if division by zero is to be null."""
     spelled = spark_text(text)
     if "rollcall_" in spelled or re.search(r"\bxor\s*\(", spelled, re.IGNORECASE):
         session = SparkSession.active()

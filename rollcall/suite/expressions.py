@@ -17,21 +17,21 @@ def _select(t, table, key, *conditions, **exprs):
 @case(
     "x1_arithmetic",
     """select o_orderkey, round((o_totalprice + o_custkey / 2) * 2 - 1, 4) as mixed,
-       round(o_totalprice / nullif(o_custkey % 3, 0), 4) as ratio, round(o_totalprice / 1e-3, 2) as scaled,
-       round(o_totalprice / nullif(case when o_custkey % 2 = 0 then 0 else 4 end, 0), 4) as cased,
-       round(o_totalprice / +nullif(o_custkey % 5, 0), 4) as plus, round(o_totalprice / -(nullif(o_custkey % 5, 0)), 4) as minus,
-       round(o_totalprice / (o_custkey + 1) / 2 * 3, 4) as chained, o_custkey % 7 * 2 / 4 as noted from orders""",
+       round(o_totalprice / nullif(o_custkey % 3, 0), 4) as ratio, o_totalprice / 1e-3 as scaled,
+       o_totalprice / nullif(case when o_custkey % 2 = 0 then 0 else 4 end, 0) as cased,
+       o_totalprice / +nullif(o_custkey % 5, 0) as plus, o_totalprice / -(nullif(o_custkey % 5, 0)) as minus,
+       o_totalprice / (o_custkey + 1) / 2 * 3 as chained, o_custkey % 7 * 2 / 4 as noted from orders""",
 )
 def _(t):
     return _select(
         t, "orders", "o_orderkey",
         mixed="round((o_totalprice + o_custkey / 2) * 2 - 1, 4)",
         ratio="round(o_totalprice / mod(o_custkey, 3), 4)",
-        scaled="round(o_totalprice / 1e-3, 2)",
-        cased="round(o_totalprice / case when mod(o_custkey, 2) = 0 then 0 else 4 end, 4)",
-        plus="round(o_totalprice / +mod(o_custkey, 5), 4)",
-        minus="round(o_totalprice / -(mod(o_custkey, 5)), 4)",
-        chained="round(o_totalprice / (o_custkey + 1) / 2 * 3, 4)",
+        scaled="o_totalprice / 1e-3",
+        cased="o_totalprice / case when mod(o_custkey, 2) = 0 then 0 else 4 end",
+        plus="o_totalprice / +mod(o_custkey, 5)",
+        minus="o_totalprice / -(mod(o_custkey, 5))",
+        chained="o_totalprice / (o_custkey + 1) / 2 * 3",
         noted="mod(o_custkey, 7) * 2 /* half of it: don't / touch */ / 4 -- quarter",
     )
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.functions.expressions import expression
+from rollcall.functions.expressions import expression, tool_arithmetic
 from rollcall.operators import clean, merge, resources, segments, timeline as tl
 from rollcall.plans.query import fetch_by_id
 from rollcall.plans.reports import run_report
@@ -37,7 +37,7 @@ def test_statistics_count_late_days_exactly(spark):
     schema = spark.read.parquet(path).schema
     rows = st.stream_inputs(spark, path, schema, files_per_batch=1, from_path=False, file_time="at")
     st.stream_statistics(rows, stored, out, scratch_path(spark, "marks"), ["at"]).awaitTermination()
-    got = sorted((r.date, r.records, r.distinct_people) for r in spark.read.parquet(out).collect())
+    got = sorted((r.date, r.records, r.distinct_people) for r in st.read_statistics(spark, out, ["date"]).collect())
     assert got == [("2024-01-01", 2, 2), ("2024-01-02", 2, 2), ("2024-01-31", 2, 2)]
 
 
@@ -57,7 +57,7 @@ def test_any_number_of_folders_is_reloaded(spark):
         merge.upsert_files(path, rows, ["id"], F.col("id").cast("string"))
         assert spark.read.parquet(path).count() == 40
     stored = spark.read.parquet(path)
-    touched = merge._touched(stored, stored.where("id in (1, 2)"))
+    touched = merge._within(stored, stored.where("id in (1, 2) and part >= 'p-'"))
     assert "dynamicpruning" in touched._jdf.queryExecution().executedPlan().toString()
     assert touched.count() == 2
 
@@ -135,4 +135,4 @@ def test_each_file_by_its_own_header(spark):
 )
 def test_spellings(spark, text, value):
     df = spark.createDataFrame([(6, 0, "x")], "a int, b int, c string")
-    assert df.select(expression(text).alias("v")).first().v == value
+    assert tool_arithmetic(lambda: df.select(expression(text).alias("v")))().first().v == value
