@@ -403,28 +403,34 @@ def input_statistics(
     """Total, by type, by type and date and (with email_domain) by domain, per source.
 
     The last version of each entry by ``order`` is counted, and who it is of kept as bitmaps
-    per person, type and day; the four tables are or-ed from that one.
+    by type and day and by type and domain; the four tables are or-ed from those.
     """
     domain = ["email_domain"] if "email_domain" in files.columns else []
     dated = keep_latest(files, [source, "id"], list(order)).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
     number = F.col("person_id").cast("bigint")
+    dated = dated.withColumns({"bucket": F.bitmap_bucket_number(number), "_bit": F.bitmap_bit_position(number)})
+    # By day and, in the same pass, by domain: days times domains would be many thin bitmaps.
+    keys = [source, "date", kind, "bucket", *domain]
+    sets = [[source, "date", kind, "bucket"], *([[source, kind, "bucket", *domain]] if domain else [])]
     counted = materialize(
-        dated.groupBy(source, "date", kind, *domain, F.bitmap_bucket_number(number).alias("bucket")).agg(
-            F.count(F.lit(1)).alias("records"), F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("people"),
-            F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        dated.groupingSets(sets, *keys).agg(
+            F.count(F.lit(1)).alias("records"), F.bitmap_construct_agg("_bit").alias("people"),
+            F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.grouping("date").alias("_by_domain"),
         ),
         "statistics",
     )
-    total = counted.groupBy(source).agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+    daily = counted.where("_by_domain = 0")
+    total = daily.groupBy(source).agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
     out = {
-        "total": roll_up(counted, [source]).join(total, source),
-        "by_type": roll_up(counted, [source, kind]),
-        "by_type_by_date": roll_up(counted, [source, "date", kind]).orderBy(source, "date", kind),
+        "total": roll_up(daily, [source]).join(total, source),
+        "by_type": roll_up(daily, [source, kind]),
+        "by_type_by_date": roll_up(daily, [source, "date", kind]).orderBy(source, "date", kind),
     }
     if domain:
-        sizes = counted.groupBy(source, "email_domain").agg(F.sum("records").alias("_size"))
+        domains = counted.where("_by_domain = 1")
+        sizes = domains.groupBy(source, "email_domain").agg(F.sum("records").alias("_size"))
         largest = top_per_group(sizes, [source], [F.desc("_size"), F.col("email_domain")], TOP_DOMAINS)
-        kept = counted.join(largest.select(source, "email_domain"), [source, "email_domain"], "left_semi")
+        kept = domains.join(largest.select(source, "email_domain"), [source, "email_domain"], "left_semi")
         out["by_email_domain"] = roll_up(kept, [source, "email_domain", kind])
     return out
 
