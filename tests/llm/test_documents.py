@@ -184,6 +184,46 @@ def test_similar_passages_of_a_pair():
     assert high - low < 50
 
 
+def test_near_passages_are_found_over_edits_of_any_size():
+    """Passages of Jaccard 0.8 to 0.95 in unlike texts, from their band keys on."""
+    make = substring_dedup.Paragraphs(16, 36, 5, substring_dedup.tune_bands(0.8, 0.95), 2)
+    shingles = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    found, asked = 0, 0
+    for trial in range(300):
+        draw = random.Random(trial)
+        some = lambda n: [b"w%d" % draw.randrange(5000) for _ in range(n)]
+        passage = some(draw.randint(90, 240))
+        edited, cut = list(passage), draw.randrange(20, len(passage) - 20)
+        if trial % 2:
+            edited[cut:cut] = some(1 + trial % 15)
+        else:
+            for k in range(cut, len(edited) - 5, 60):
+                edited[k] = b"edit%d" % k
+        x, y = shingles(passage), shingles(edited)
+        if not 0.8 <= len(x & y) / len(x | y) <= 0.95:
+            continue
+        asked += 1
+        a, b = some(100) + edited + some(80), some(60) + passage + some(90)
+        (ats, keys), (others, other_keys) = (make.keys(b" ".join(t).decode()) for t in (a, b))
+        first = {}
+        for at, row in zip(others, other_keys, strict=True):
+            for key in row:
+                first.setdefault(key, int(at))
+        places = {(int(at), first[key]) for at, row in zip(ats, keys, strict=True) for key in row if key in first}
+        spans = substring_dedup.shared_spans(a, b, list(places), 16, 5, 0.8)
+        end = 100 + len(edited)
+        found += any(low <= 102 and end - 2 <= high and 98 <= low and high <= end + 2 for low, high in spans)
+    assert asked > 150 and found >= 0.97 * asked
+
+
+def test_regions_of_texts_that_repeat_themselves():
+    few = [b"w%d" % random.Random(k).randrange(4) for k in range(1500)]
+    assert substring_dedup.shared_spans(few, few, [(0, 0), (40, 40)], 16, 5, 0.8) == [(0, 1500)]
+    same = [b"a"] * 900
+    assert substring_dedup.shared_spans(same, same[:300], [(0, 0)], 16, 5, 0.8)[0][0] == 0
+    assert substring_dedup.shared_spans([b"a"] * 3, same, [], 16, 5, 0.8) == []
+
+
 def test_passages_behind_a_common_line(spark, prose):
     line = prose(40, 900)
     rows = [(0, f"{prose(60, 901)} {line} {prose(60, 902)}")]
