@@ -235,6 +235,48 @@ def test_passages_behind_a_common_line(spark, prose):
     assert all(got[n] == (60 if n and n % 2 == 0 else 0) for n in got)
 
 
+def test_near_copies_of_short_passages_hold_a_paragraph():
+    """Any passage of 50 words with one edit has 24 words in a row, and those a whole paragraph."""
+    run = substring_dedup.least_run(50, 5, 0.8)
+    assert run == 24 and substring_dedup.least_run(50, 5, 1.0) == 50
+    make = substring_dedup.Paragraphs(16, run - 15, 5, 1, 2)
+    for trial in range(200):
+        draw = random.Random(trial)
+        some = lambda n: [b"w%d" % draw.randrange(5000) for _ in range(n)]
+        common = some(run)
+        a, b = some(draw.randrange(80)) + common + some(60), some(draw.randrange(80)) + common + some(60)
+        (ats, keys), (others, other_keys) = (make.keys(b" ".join(x).decode()) for x in (a, b))
+        places = {tuple(a[at : at + 16]) for at in ats} & {tuple(b[at : at + 16]) for at in others}
+        assert places and set(keys.ravel()) & set(other_keys.ravel())
+
+
+def test_short_near_copies_go(spark, prose):
+    rows = []
+    for k in range(40):
+        words = prose(50, 2000 + k).split()
+        rows.append((2 * k, f"{prose(30, 2100 + k)} {' '.join(words)} {prose(30, 2200 + k)}"))
+        words[25] = "changed"
+        rows.append((2 * k + 1, f"{prose(20, 2300 + k)} {' '.join(words)} {prose(40, 2400 + k)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substring_dedup.drop_repeats(docs).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] >= 50 for k in range(40))
+
+
+def test_near_copies_behind_a_common_line(spark, prose):
+    """The first document has the line that all paragraphs of a near copy stand in, and no more."""
+    line = prose(40, 3000)
+    rows = [(0, f"{prose(60, 3001)} {line} {prose(60, 3002)}")]
+    for n, tail in ((1, "put"), (2, "in")):
+        rows.append((n, f"{prose(40, 3003 + n)} {line} {tail} {prose(14, 3010)} {prose(50, 3020 + n)}"))
+    # Places of the first document beyond its first one count, too.
+    twice = prose(20, 3030)
+    rows.append((10, f"{twice} {prose(60, 3031)} {twice} {prose(20, 3032)} changed {prose(25, 3033)} {prose(30, 3034)}"))
+    rows.append((11, f"{prose(60, 3035)} {twice} {prose(20, 3032)} other {prose(25, 3033)} {prose(30, 3036)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substring_dedup.drop_repeats(docs).collect()}
+    assert got[0] == got[1] == got[10] == 0 and got[2] >= 55 and got[11] >= 66
+
+
 def test_passages_odd(odd_docs, no_docs):
     got = substring_dedup.drop_repeats(odd_docs)
     assert got.count() == odd_docs.count() and got.columns.count("removed_words") == 1
