@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rollcall.functions.dates import BUCKETS
 from rollcall.functions.expressions import expression, tool_arithmetic
 from rollcall.plans.pages import Pages
-from rollcall.plans.ranges import range_join
+from rollcall.plans.ranges import range_join, range_totals
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
+TOTAL = re.compile(r"\b(count|sum|min|max)\(\s*(\*|[\w.]+)\s*\)", re.I)
+
 # Aggregate names of a query object.
 AGGREGATES = {
     "NONE": lambda c: c,
@@ -194,11 +196,61 @@ def _joined(df: DataFrame, columns: dict[str, list[str]], joins: list, tables: d
     return df
 
 
+def _as_totals(spec: dict, tables: dict[str, DataFrame]) -> DataFrame | None:
+    """A query that only counts, adds up or takes the least or greatest of a table's columns by columns of
+    one that it meets in ranges, without making the pairs; None if it asks for anything else."""
+    joins, groups, items = (spec.get(k) or [] for k in ("joins", "groupBy", "columns"))
+    if len(joins) != 1 or not groups or not items or any(spec.get(k) for k in ("conditions", "having", "orderBy", "fields", "subquery")):
+        return None
+    join, base = joins[0], spec.get("table")
+    if not isinstance(join, dict) or not join.get("range") or join.get("join_eql") or join.get("type", "inner") != "inner":
+        return None
+    alias, other = join.get("alias") or join.get("table"), tables.get(join.get("table"))
+    if other is None or base not in tables or alias == base:
+        return None
+    plain = lambda x: isinstance(x, dict) and x.get("table") == alias and set(x) <= {"table", "column", "name"} and x.get("column") in other.columns
+    if not all(plain(g) for g in groups):
+        return None
+    left = tables[base].alias(base)
+    kinds = {f.name: f.dataType.typeName() for f in left.schema.fields}
+    totals: dict[str, tuple[str, Column]] = {}
+
+    def part(found: re.Match) -> str:
+        kind, name = found[1].lower(), found[2].removeprefix(f"{base}.")
+        known = name == "*" if kind == "count" and name == "*" else name in kinds and (name != found[2] or name not in other.columns)
+        if not known or (kind == "sum" and kinds[name] not in ("double", "integer", "long", "short")):
+            return found[0]
+        totals[f"_total{len(totals)}"] = kind, F.lit(1) if name == "*" else F.col(f"{base}.{name}")
+        return f"{'sum' if kind == 'count' else kind}(_total{len(totals) - 1})"
+
+    out = []
+    for item in items:
+        if plain(item):
+            if not any(item["column"] == g["column"] for g in groups):
+                return None
+            out.append(item)
+            continue
+        if not isinstance(item, dict) or set(item) != {"eql", "name"}:
+            return None
+        eql = TOTAL.sub(part, item["eql"])
+        if not re.fullmatch(r"(?:sum|min|max)\(_total\d+\)|cast\((?:sum|min|max)\(_total\d+\) as \w+\)", eql.strip(), re.I):
+            return None
+        out.append({**item, "eql": eql})
+    if not totals:
+        return None
+    value, low, high = (expression(join["range"][k]) for k in ("value", "low", "high"))
+    rows = range_totals(left, other.alias(alias), value, low, high, totals)
+    return run_query({**spec, "table": alias, "joins": None, "columns": out}, {alias: rows})
+
+
 @tool_arithmetic
 def run_query(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
     items = spec.get("columns") or spec.get("fields")
     if not items:
         raise ValueError("no columns; at least specify columns=['*']")
+    totals = _as_totals(spec, tables)
+    if totals is not None:
+        return totals
     base, df = _base(spec, tables)
     columns = {base: df.columns}
     df = _joined(df.alias(base), columns, spec.get("joins") or [], tables)

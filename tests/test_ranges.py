@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.plans.query import run_query
 from rollcall.plans.ranges import range_join
 
 
@@ -54,3 +55,29 @@ def test_range_join_of_times_and_empty_sides(spark):
     assert range_join(left, right.where("s = 'y'"), "t", "a", "b").count() == 0
     assert range_join(left.where("p = 7"), right, "t", "a", "b").count() == 0
     assert range_join(left, right.where("s = 'y'"), "t", "a", "b", how="left", key=["p"]).count() == 2
+
+
+def test_totals_by_range_make_no_pairs(spark):
+    points, spans, left, right = both(spark, 5)
+    points = [(k, v) for k, v in points] + [(1000 + k, float(k % 700) / 3) for k in range(3000)]
+    left = spark.createDataFrame(points, "p long, v double")
+    spec = {
+        "table": "left",
+        "columns": [{"table": "right", "column": "s"}, {"eql": "count(*)", "name": "n"}, {"eql": "cast(sum(p) as signed)", "name": "total"},
+                    {"eql": "min(p)", "name": "least"}, {"eql": "max(left.v)", "name": "most"}],
+        "joins": [{"table": "right", "range": {"value": "left.v", "low": "right.low", "high": "right.high"}}],
+        "groupBy": [{"table": "right", "column": "s"}],
+    }
+    want = {}
+    for s, a, b in spans:
+        own = [(p, v) for p, v in points if v is not None and a is not None and b is not None and a <= v <= b]
+        if own:
+            want[s] = (len(own), sum(p for p, _ in own), min(p for p, _ in own), max(v for _, v in own))
+    # An interval that comes twice counts twice.
+    for times, table in ((1, right), (2, right.union(right))):
+        result = run_query(spec, {"left": left, "right": table})
+        got = {r.s: (r.n, r.total, r.least, r.most) for r in result.collect()}
+        assert got == {s: (n * times, t * times, a, b) for s, (n, t, a, b) in want.items()} and len(got) > 40
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "_node" in plan and "_at_level" not in plan
+    assert run_query(spec, {"left": left.where("p < 0"), "right": right}).count() == 0
