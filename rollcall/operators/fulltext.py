@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions.text import WORD_BREAK
 from rollcall.operators.merge import read_files, upsert_files
+from rollcall.session import materialize
 
 _PART = re.compile(r'\s*(?P<sign>[+-]?)(?:"(?P<phrase>[^"]*)"|(?P<open>\()|(?P<word>[^\s()"+-][^\s()"]*)|(?P<close>\)))')
 
@@ -82,6 +83,35 @@ def folder(term: Column) -> Column:
     return F.substring(F.md5(term.cast("binary")), 1, 2)
 
 
+def one_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, text): of rows with one id the longest text.  Only texts of ids that repeat are moved."""
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    repeated = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
+    repeated = materialize(repeated, "repeated-ids")
+    longest = rows.join(repeated, "doc", "left_semi").groupBy("doc").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"))
+    return rows.join(repeated, "doc", "left_anti").unionByName(longest)
+
+
+def postings_of(own: DataFrame) -> DataFrame:
+    """(term, doc, positions) of ``own`` (doc, text).  A text's words are put in order within its
+    row, so that postings are neither moved nor sorted to be made."""
+    at_term = F.sort_array(F.transform(words("text"), lambda w, at: F.struct(w.alias("term"), at.alias("at"))))
+    placed = own.select("doc", at_term.alias("placed"))
+
+    def begins(k: Column) -> Column:
+        return (k == 0) | (F.get("placed", k - 1)["term"] != F.get("placed", k)["term"])
+
+    begun = placed.withColumn("first", F.filter(F.transform("placed", lambda _, k: k), begins))
+
+    def posting(low: Column, k: Column) -> Column:
+        upto = F.coalesce(F.get("first", k + 1), F.size("placed"))
+        positions = F.transform(F.slice("placed", low + 1, upto - low), lambda x: x["at"])
+        return F.struct(F.get("placed", low)["term"].alias("term"), positions.alias("positions"))
+
+    spread = begun.select("doc", F.explode(F.transform("first", posting)).alias("_p"))
+    return spread.select("_p.term", "doc", "_p.positions")
+
+
 def index_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", version: int = 1) -> None:
     """Put ``docs`` into the index at ``path`` (made if missing).
 
@@ -89,10 +119,8 @@ def index_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
     are not touched, and nothing is rebuilt.  Doing the same again changes no result.  Of rows
     with one id the longest text counts; rows without an id are left out.
     """
-    own = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc"))
-    own = own.agg(F.max_by(text, F.struct(F.length(text), F.col(text))).alias("text"))
-    spread = own.select("doc", F.posexplode(words("text")).alias("at", "term"))
-    postings = spread.groupBy("term", "doc").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    own = one_text(docs, doc_id, text)
+    postings = postings_of(own)
     postings = postings.withColumns({"version": F.lit(version), "part": F.concat(F.lit("p-"), folder(F.col("term")))})
     # A crowded folder (that of a frequent word) is split into files of even size.
     ready = postings.hint("rebalance", "part").sortWithinPartitions("part", "term", "doc")

@@ -62,6 +62,22 @@ def test_index_search_and_update(spark, texts):
         assert got == sorted(k for k, x in now.items() if plain(x, fulltext.parts_of(search))), search
 
 
+def test_postings_are_made_within_rows(spark, texts):
+    """Neither words nor texts of ids that stand once are moved; of rows with one id the longest counts."""
+    rows = [*texts, (1, "a much longer text with other words in it, zebra"), (60, "once null"), (None, "a b")]
+    own = fulltext.one_text(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = fulltext.postings_of(own)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Union")[0]
+    assert "Exchange" not in above and "Aggregate" not in above and plan.count("Exchange hashpartitioning") == 1
+    want = {}
+    for k, x in (dict(texts) | {1: rows[-3][1], 60: "once null"}).items():
+        for at, w in enumerate("".join(c.lower() if c.isalnum() or c == "_" else " " for c in x or "").split()):
+            want.setdefault((w, k), []).append(at)
+    got = [((r.term, r.doc), r.positions) for r in found.collect()]
+    assert dict(got) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("search", ["(a", "a)"])
 def test_groups_must_be_closed(search):
     with pytest.raises(ValueError):
