@@ -6,6 +6,7 @@ import itertools
 from collections import Counter, defaultdict
 from math import exp, sqrt
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -300,3 +301,19 @@ def test_word_ids_of_every_letter_are_the_library_s(name):
     for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         ids = [int.from_bytes(own.encode(text)[k : k + own.dtype.itemsize], "little") for k in range(0, len(own.encode(text)), own.dtype.itemsize)]
         assert ids == found.ids, (text, hex(ord(text[0])))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_marks_after_letters_are_encoded_once(name, monkeypatch):
+    from rollcall.llm.tokens import MARKS, TextEncoder
+
+    own, asked = TextEncoder(public_tokenizers.path(name)), []
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    ask = own._library
+    monkeypatch.setattr(own, "_library", lambda text: asked.append(text) or ask(text))
+    runs = [*MARKS, "***", "&&&", "$$$", "...", "?!", ")).", "_-", "#|", "<|", "|>"]
+    text = " ".join(f"{word}{run}" for run in runs for word in ("quidditch", "Élan", "zu", "s", "don't", "x1"))
+    assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    asked.clear()
+    own.encode(" ".join(f"new{chr(97 + k)}{run}" for run in runs for k in range(26)))
+    assert not asked

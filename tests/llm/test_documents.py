@@ -432,6 +432,17 @@ def test_windows_hold_the_shares(spark):
     assert np.abs(given - ranks[:, None] * totals / totals.sum()).max() <= 2
 
 
+def test_windows_are_found_in_few_steps(monkeypatch):
+    totals, calls, due = np.array([7_000_000, 2_000_000, 900_001, 13, 13], np.int64), [], packing.due_before
+    monkeypatch.setattr(packing, "due_before", lambda *a: calls.append(1) or due(*a))
+    queue = np.repeat(np.arange(5), [500, 500, 500, 13, 13])
+    token = np.concatenate([np.arange(0, n, step) for n, step in zip(totals, (14_000, 4_000, 1_801, 1, 1), strict=True)])
+    found = packing.rank_of(totals, queue, token, 2048)
+    assert len(calls) <= 4
+    assert (due(totals, (found + 1) * 2048)[np.arange(len(queue)), queue] > token).all()
+    assert (due(totals, found * 2048)[np.arange(len(queue)), queue] <= token).all()
+
+
 def test_records_round_trip(spark, odd_docs, no_docs):
     path, index = scratch_path(spark, "records"), scratch_path(spark, "index")
     records.write_records(odd_docs, path, BYTES_50K, 2)
