@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from rollcall.llm.tokens import encoder
+from rollcall.session import materialize
 
 END = b"\n"
 HEAD = struct.Struct("<QI")
@@ -193,7 +194,8 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     over one row per file.
     """
     found = scan_records(spark, path, with_ids=False).select("path", "doc_id", "file_start", "n_tokens", "ids_crc32")
-    found = found.withColumn("_file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
+    found = found.withColumn("_file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int")).drop("path")
+    found = materialize(found, "token-offsets")  # read for the totals as well
     totals = found.groupBy("_file").agg(F.sum("n_tokens").alias("_tokens"))
     before = F.coalesce(F.sum("_tokens").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("_file", before.alias("_start"))

@@ -443,6 +443,13 @@ def test_windows_are_found_in_few_steps(monkeypatch):
     assert (due(totals, found * 2048)[np.arange(len(queue)), queue] <= token).all()
 
 
+def test_offsets_read_the_files_once(spark, odd_docs):
+    path = scratch_path(spark, "records")
+    records.write_records(odd_docs, path, BYTES_50K, 2)
+    plan = records.token_offsets(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan
+
+
 def test_records_round_trip(spark, odd_docs, no_docs):
     path, index = scratch_path(spark, "records"), scratch_path(spark, "index")
     records.write_records(odd_docs, path, BYTES_50K, 2)
