@@ -432,6 +432,15 @@ def test_windows_hold_the_shares(spark):
     assert np.abs(given - ranks[:, None] * totals / totals.sum()).max() <= 2
 
 
+def test_longest_runs_of_all_places_at_once():
+    equal = np.random.default_rng(3).random((300, 16)) < 0.8
+    equal[0], equal[1] = True, False
+    for row, first, size in zip(equal, *substring_dedup.longest_runs(equal), strict=True):
+        runs = [(m.end() - m.start(), -m.start()) for m in re.finditer("1+", "".join("01"[int(x)] for x in row))]
+        want = max(runs, default=(0, 0))
+        assert size == want[0] and (size == 0 or first == -want[1])
+
+
 def test_windows_are_found_in_few_steps(monkeypatch):
     totals, calls, due = np.array([7_000_000, 2_000_000, 900_001, 13, 13], np.int64), [], packing.due_before
     monkeypatch.setattr(packing, "due_before", lambda *a: calls.append(1) or due(*a))
