@@ -22,7 +22,7 @@ from rollcall.llm import (
     source_mix,
     substring_dedup,
 )
-from rollcall.llm.text import ascii_words, shingle_set
+from rollcall.llm.text import ascii_words, chained, mixed, shingle_set, word_hashes
 from rollcall.session import scratch_path
 
 WORDS_49K = public_tokenizers.path("word_bpe_49k.json")
@@ -441,6 +441,54 @@ def test_longest_runs_of_all_places_at_once():
         assert size == want[0] and (size == 0 or first == -want[1])
 
 
+def plain_paragraphs(make, text):
+    """Anchors window by window and band keys shingle by shingle, for one text."""
+    words = [int(x) for x in word_hashes(ascii_words(text))]
+    mix = lambda columns: int(chained([np.array([c], np.uint64) for c in columns])[0])
+    pairs = [int(mixed(np.array([mix(x)], np.uint64))[0]) >> 20 for x in zip(words, words[1:])]
+    at = sorted({min(range(i, i + make.reach), key=lambda k: (pairs[k], k)) for i in range(len(pairs) - make.reach + 1)})
+    at = [i for i in at if i + make.length <= len(words)]
+    least = lambda i, f: min(mix(words[k : k + 5]) * int(f) % 2**64 for k in range(i, i + make.length - 4))
+    return [(i, np.array([mix([0, *(least(i, f) for f in make.factors)])], np.uint64).view(np.int64)[0]) for i in at]
+
+
+def test_paragraphs_of_texts_taken_together(odd_docs, prose):
+    texts = [r.text for r in odd_docs.where("doc_id <> 6 or doc_id is null").collect()]
+    texts += [prose(n, 3000 + n) for n in (15, 16, 17, 24, 25, 200)] + ["a " * 40, "a b " * 30, None, ""]
+    for reach in (1, 3, 9):
+        make = substring_dedup.Paragraphs(16, reach, 5, 1, 2)
+        owner, at, keys = make.keys_of(texts)
+        got = list(zip(owner.tolist(), at.tolist(), keys[:, 0].tolist(), strict=True))
+        assert got == [(n, i, key) for n, text in enumerate(texts) for i, key in plain_paragraphs(make, text or "")]
+        assert len(make.keys_of([None, "", "one"])[0]) == 0
+
+
+def test_texts_that_agree_again_are_found_as_by_trying_all():
+    for trial in range(40):
+        draw = random.Random(trial)
+        some = lambda n: [b"w%d" % draw.randrange(2 + trial % 9) for _ in range(n)]
+        a = some(150)
+        b = some(30) + a[20:110] + some(30)
+        x, y = (substring_dedup.Text(word_hashes(w), 5) for w in (a, b))
+        pair = substring_dedup.Pair(x, y, 0.8)
+        runs = [(i, j) for i in range(146) for j in range(146) if a[i : i + 5] == b[j : j + 5]]
+        for _ in range(60):
+            i, j, most = draw.randrange(150), draw.randrange(150), draw.randrange(1, 120)
+            after = {(p, q): p - i + q - j for p, q in runs if p >= i and q >= j}
+            before = {(p + 4, q + 4): i - p + j - q - 8 for p, q in runs if p + 4 <= i and q + 4 <= j}
+            for found, costs in ((pair.ahead(i, j, most), after), (pair.behind(i, j, most), before)):
+                least = min(costs.values(), default=most + 1)
+                assert (costs[found] == least) if least <= most else found is None
+
+
+def test_texts_meet_spans_alike_at_any_size(spark, prose):
+    docs = spark.createDataFrame([(k, prose(80, 60 + k // 2)) for k in range(8)], "doc_id long, text string")
+    cut = substring_dedup.drop_repeats(docs)
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.doc_id: r.removed_words for r in cut.collect()} == {k: 80 * (k % 2) for k in range(8)}
+
+
 def test_windows_are_found_in_few_steps(monkeypatch):
     totals, calls, due = np.array([7_000_000, 2_000_000, 900_001, 13, 13], np.int64), [], packing.due_before
     monkeypatch.setattr(packing, "due_before", lambda *a: calls.append(1) or due(*a))
