@@ -74,7 +74,7 @@ SUPPLIER = {"s_suppkey": "int", "s_name": "string", "s_nationkey": "int", "s_acc
 
 @case("p3_profile_table", _profile_sql("supplier", SUPPLIER))
 def _(t):
-    found = profile_table(t.supplier, ["s_suppkey"])
+    found = profile_table(t.supplier)
     return plain(found.drop("position").withColumn("sample", F.array_join("sample", "|")))
 
 

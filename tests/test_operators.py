@@ -171,6 +171,17 @@ def test_storage(spark):
     assert pr.narrow(df, pr.suggest_storage(pr.profile(df))).schema["a"].dataType.simpleString() == "tinyint"
 
 
+def test_profile_table_looks_at_all_rows(spark):
+    # The only text, null and fraction stand in the middle of 60,001 rows; one row comes twice.
+    middle = F.col("id") == 30_000
+    df = spark.range(60_000).select("id", F.when(middle, "x").otherwise(F.col("id").cast("string")).alias("v"), F.when(~middle, F.col("id") / 2).alias("d"))
+    got = {r.name: r for r in pr.profile_table(df.union(df.where("id = 7"))).collect()}
+    assert [(got[c].type, got[c].records, got[c].empty, got[c].distinct) for c in ("id", "v", "d")] == [
+        ("int", 60_001, 0, 60_000), ("string", 60_001, 0, 60_000), ("double", 60_001, 1, 59_999)
+    ]
+    assert got["id"].sample[0] == "7"
+
+
 # --- timeline -------------------------------------------------------------------------
 
 
