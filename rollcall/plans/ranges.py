@@ -111,7 +111,8 @@ def range_totals(
 
     ends = spans.withColumn("_bin", F.explode(F.array_distinct(F.array("_from", "_to"))))
     inside = (F.col("_value") >= F.col("_low")) & (F.col("_value") <= F.col("_high"))
-    ends = ends.join(points.withColumnRenamed("_bin", "_at_bin"), (F.col("_bin") == F.col("_at_bin")) & inside)
+    # Rows made by explode are more than Spark's estimate of them: neither side goes to the driver whole.
+    ends = ends.join(points.withColumnRenamed("_bin", "_at_bin").hint("merge"), (F.col("_bin") == F.col("_at_bin")) & inside)
 
     nodes = points.groupBy("_bin").agg(*merge.values()).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     nodes = nodes.withColumn("_node", F.expr("shiftright(_bin, 2 * _step)")).groupBy("_step", "_node").agg(*merge.values())
@@ -126,6 +127,6 @@ def range_totals(
     split = f"concat({run.format('_first', '_wide_first')}, {run.format('_wide_last', '_last')})"
     taken = F.expr(f"if(_level < {steps} and _wide_first < _wide_last, {split}, if(_level = {steps} or _wide_first >= _wide_last, {run.format('_first', '_last')}, null))")
     whole = whole.withColumn("_wanted", F.explode(taken))
-    whole = whole.join(nodes, (F.col("_level") == F.col("_step")) & (F.col("_wanted") == F.col("_node")))
+    whole = whole.join(nodes.hint("merge"), (F.col("_level") == F.col("_step")) & (F.col("_wanted") == F.col("_node")))
     columns = [*right.columns, *totals]
     return ends.select(*columns).unionByName(whole.select(*columns))

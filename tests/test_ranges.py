@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.plans.query import run_query
-from rollcall.plans.ranges import range_join
+from rollcall.plans.ranges import range_join, range_totals
 
 
 def both(spark, seed=3):
@@ -81,3 +81,13 @@ def test_totals_by_range_make_no_pairs(spark):
     plan = result._jdf.queryExecution().optimizedPlan().toString()
     assert "_node" in plan and "_at_level" not in plan
     assert run_query(spec, {"left": left.where("p < 0"), "right": right}).count() == 0
+
+
+def test_totals_by_range_broadcast_nothing(spark):
+    # What an interval is repeated for is not in Spark's estimate of its size.
+    _, _, left, right = both(spark, 6)
+    totals = {"n": ("count", F.lit(1))}
+    rows = range_totals(left, right, F.col("v"), F.col("low"), F.col("high"), totals)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
