@@ -277,6 +277,32 @@ def test_near_copies_behind_a_common_line(spark, prose):
     assert got[0] == got[1] == got[10] == 0 and got[2] >= 55 and got[11] >= 66
 
 
+def test_near_copies_behind_a_line_of_many_documents(spark, prose):
+    """More documents have the line than are taken as leaders, and the only near copy is none of theirs."""
+    line = prose(35, 3100)
+    rows = [(n, f"{prose(60, 3110 + n)} {line} {prose(60, 3130 + n)}") for n in range(8)]
+    for n, tail in ((8, "put"), (9, "in")):
+        rows.append((n, f"{prose(40, 3150 + n)} {line} {tail} {prose(14, 3160)} {prose(50, 3170 + n)}"))
+    # The same in front of the line.
+    other = prose(35, 3200)
+    rows += [(20 + n, f"{prose(60, 3210 + n)} {other} {prose(60, 3230 + n)}") for n in range(8)]
+    for n, head in ((28, "put"), (29, "in")):
+        rows.append((n, f"{prose(40, 3250 + n)} {prose(14, 3260)} {head} {other} {prose(50, 3270 + n)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substring_dedup.drop_repeats(docs).collect()}
+    assert got.pop(9) == got.pop(29) == 50 and not any(got.values())
+
+
+def test_near_copies_of_a_middle_place(spark, prose):
+    """The smallest document has the line three times, and the near copy is around the second."""
+    line, tail = prose(35, 3300), prose(14, 3301)
+    rows = [(0, f"{prose(60, 3302)} {line} {prose(60, 3303)} {line} put {tail} {prose(60, 3304)} {line} {prose(60, 3305)}")]
+    rows.append((1, f"{prose(40, 3306)} {line} in {tail} {prose(50, 3307)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substring_dedup.drop_repeats(docs).collect()}
+    assert got == {0: 0, 1: 50}
+
+
 def test_passages_odd(odd_docs, no_docs):
     got = substring_dedup.drop_repeats(odd_docs)
     assert got.count() == odd_docs.count() and got.columns.count("removed_words") == 1
