@@ -293,6 +293,16 @@ def test_near_copies_behind_a_line_of_many_documents(spark, prose):
     assert got.pop(9) == got.pop(29) == 50 and not any(got.values())
 
 
+def test_runs_beside_a_gap_make_up_for_it():
+    steps = substring_dedup.beside_gap(16, 9, 5, 0.8)
+    for long in range(24, 80):
+        for short in range(5, long + 1):
+            for gap in range(1, 15):
+                common = long + short - 8
+                if common >= 0.8 * (common + gap + 8):  # a paragraph ends at most 8 words before the gap
+                    assert any(long - 24 >= more and short >= size for more, size in steps)
+
+
 def test_near_copies_of_a_middle_place(spark, prose):
     """The smallest document has the line three times, and the near copy is around the second."""
     line, tail = prose(35, 3300), prose(14, 3301)
